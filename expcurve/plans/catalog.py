@@ -37,7 +37,7 @@ class Ctx:
     """The test domain plus the stored-query outputs built on it."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.d = TD.TestDomain(spark, sf_dir)
+        self.d = TD.domain(spark, sf_dir)
 
     @property
     def params(self) -> dict:
@@ -98,13 +98,20 @@ class Ctx:
         return U.update_inputs(self.d.outputs, self.d.input_costs, self.d.capacity_factors,
                                self.d.cooling_tech_map)
 
+    def calibration_params(self) -> tuple[DataFrame, DataFrame]:
+        """Non-learning capital and calibration adders of the reference
+        scenario, written by the calibration job and read by the update."""
+        ref = K.REFERENCE_SCENARIO
+        nl = self.d.store("non_learning_capital",
+                          lambda: CAL.for_scenario(self.calibration().nonlearning, ref))
+        ca = self.d.store("cal_adders",
+                          lambda: CAL.for_scenario(self.calibration().adders, ref))
+        return nl, ca
+
     def cost_update(self) -> DataFrame:
-        cal = self.calibration()
+        nl, ca = self.calibration_params()
         gen_all, _, cf_all = self.update_inputs()
-        ref = K.REFERENCE_SCENARIO
-        return U.period_cost_update(gen_all, cf_all, self.params,
-                                    CAL.for_scenario(cal.nonlearning, ref),
-                                    CAL.for_scenario(cal.adders, ref),
+        return U.period_cost_update(gen_all, cf_all, self.params, nl, ca,
                                     base_year=TD.BASE_YEAR, step=TD.PERIOD_STEP,
                                     update_years=UPDATE_YEARS)
 

@@ -27,6 +27,7 @@ The same definitions are written once more in SQL for the DuckDB oracle
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import small
+from ..session import ensure_checkpoint_dir
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES of the test domain
@@ -86,6 +88,17 @@ FUEL_RULES = (("anvil", "anvil"), ("bolt", "bolt"), ("gear", "gear"), ("gizmo",
 FUEL_LEVELS = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod")
 
 
+def stored(fn):
+    """A table of the domain that is written once per application (Parquet
+    under the shared checkpoint folder) and read back by every query, as
+    the flattened model output is in production."""
+    @cached_property
+    def prop(self):
+        return self.store(fn.__name__, lambda: fn(self))
+    prop.__doc__ = fn.__doc__
+    return prop
+
+
 def _lookup(c: Column, pairs) -> Column:
     out = F.lit(None).cast("string")
     for k, v in reversed(pairs):
@@ -124,8 +137,26 @@ class TestDomain:
 
     spark: SparkSession
     sf_dir: str
+    materialize: bool = True
     _cache: dict = field(default_factory=dict)
 
+    @cached_property
+    def store_dir(self) -> str:
+        root = ensure_checkpoint_dir(self.spark).rstrip("/")
+        key = hashlib.sha1(self.sf_dir.encode()).hexdigest()[:12]
+        app = self.spark.sparkContext.applicationId
+        return f"{root}/expcurve-tables/{app}/{key}"
+
+    def store(self, name: str, build) -> DataFrame:
+        """Write ``build()`` once as Parquet and return the stored table."""
+        if not self.materialize:
+            return build()
+        if name not in self._cache:
+            path = f"{self.store_dir}/{name}"
+            build().write.mode("overwrite").parquet(path)
+            self._cache[name] = self.spark.read.parquet(path)
+        return self._cache[name]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -182,7 +213,7 @@ class TestDomain:
                       F.max("l_extendedprice").alias("price"),
                       F.min("p_size").alias("min_size")))
 
-    @cached_property
+    @stored
     def outputs(self) -> DataFrame:
         keys = ["scenario", "region", "sector", "subsector", "technology", "period", "year"]
         g = self.base.groupBy(*keys).agg((F.sum("qty") * F.lit(GENERATION_SCALE)).alias("value"))
@@ -190,13 +221,13 @@ class TestDomain:
                 .select("scenario", "region", "sector", "subsector", "technology", "period",
                         "output", "year", "value")
 
-    @cached_property
+    @stored
     def capacity_factors(self) -> DataFrame:
         keys = ["scenario", "region", "sector", "subsector", "technology", "period"]
         return self.base.groupBy(*keys).agg(
             ((F.min("min_size") % 10) / F.lit(10.0)).alias("value"))
 
-    @cached_property
+    @stored
     def input_costs(self) -> DataFrame:
         inp = F.when(F.col("l_linestatus") == F.lit(CAPITAL_LINESTATUS), F.lit("capital")) \
                .otherwise(F.lit(OTHER_INPUT))
@@ -205,7 +236,7 @@ class TestDomain:
                              (F.col("price") / F.lit(COST_SCALE)).alias("value"))
         return b
 
-    @cached_property
+    @stored
     def market_prices(self) -> DataFrame:
         o = self.table("orders").select("o_custkey", "o_orderstatus", "o_totalprice",
                                         "o_orderdate")
@@ -222,7 +253,7 @@ class TestDomain:
                  .agg((F.max("o_totalprice") / F.lit(PRICE_SCALE)).alias("value")))
 
     # --- parameter tables (rules over the distinct names) ----------------------
-    @cached_property
+    @stored
     def cooling_tech_map(self) -> DataFrame:
         n = F.col("noun")
         ccs = F.concat(n, F.lit(" (conv CCS)"))
@@ -232,7 +263,7 @@ class TestDomain:
                         F.concat(F.lit("elec_"), ccs).alias("sector"), ccs.alias("subsector"),
                         F.concat(ccs, F.lit(" (recirculating)")).alias("technology")))
 
-    @cached_property
+    @stored
     def deployment_map(self) -> DataFrame:
         adj, n = F.col("adj"), F.col("noun")
         sector, subsector, technology = technology_names(adj, n)
@@ -261,7 +292,7 @@ class TestDomain:
                         F.col("e.c").alias("learning_component"),
                         F.col("e.m").cast("int").alias("multiplier")))
 
-    @cached_property
+    @stored
     def learning_map(self) -> DataFrame:
         # thermal (conv) twins learn nothing: their deployment counts, their cost stays
         return (self.deployment_map.where(F.col("role") != "old")
@@ -279,13 +310,13 @@ class TestDomain:
         return techs.join(small(dm), ["sector", "subsector", "technology"]) \
                     .select("region", "learning_component").distinct()
 
-    @cached_property
+    @stored
     def learning_rates(self) -> DataFrame:
         c = F.col("learning_component")
         return self.region_components.select(
             "region", c, (F.lit(0.05) + F.lit(0.01) * F.length(c)).alias("learning_rate"))
 
-    @cached_property
+    @stored
     def t0_cost_deployment(self) -> DataFrame:
         c = F.col("learning_component")
         first_of_a_kind = c.startswith("CCS ") | c.endswith("_offshore")
@@ -294,7 +325,7 @@ class TestDomain:
             F.when(first_of_a_kind, F.lit(1.0))
              .otherwise(F.lit(1000.0) * F.length(c)).alias("t0_deployment"))
 
-    @cached_property
+    @stored
     def tech_FCR(self) -> DataFrame:
         techs = self.outputs.select("region", "sector", "subsector", "technology").distinct()
         lm = self.learning_map.select("sector", "subsector", "technology").distinct()
@@ -302,7 +333,7 @@ class TestDomain:
         return techs.join(small(lm), ["sector", "subsector", "technology"], "left_semi") \
                     .select("region", "sector", "subsector", "technology", fcr.alias("FCR"))
 
-    @cached_property
+    @stored
     def label_rewrites(self) -> DataFrame:
         cm = self.cooling_tech_map
         sec = cm.select(F.lit("sector").alias("level"), F.col("sector").alias("from"),
@@ -312,5 +343,12 @@ class TestDomain:
         return sec.unionByName(sub).distinct()
 
 
-def domain(spark: SparkSession, sf_dir: str) -> TestDomain:
-    return TestDomain(spark, sf_dir)
+_DOMAINS: dict[tuple[str, str], TestDomain] = {}
+
+
+def domain(spark: SparkSession, sf_dir: str, materialize: bool = True) -> TestDomain:
+    """The session's test domain for ``sf_dir`` (tables stored once)."""
+    key = (spark.sparkContext.applicationId, sf_dir, materialize)
+    if key not in _DOMAINS:
+        _DOMAINS[key] = TestDomain(spark, sf_dir, materialize)
+    return _DOMAINS[key]
