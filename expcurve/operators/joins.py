@@ -14,10 +14,11 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimized plan (no job is run)."""
+    """Catalyst's size estimate of the (already analyzed) plan; no job and
+    no optimizer run.  Without column pruning it is an upper bound."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        stats = df._jdf.queryExecution().analyzed().stats()
+        return int(str(stats.sizeInBytes()))
     except Exception:  # noqa: BLE001 - e.g. Spark Connect: no JVM handle
         return None
 

@@ -90,6 +90,11 @@ class Ctx:
     ccs_kw = {"include": TD.CCS_INCLUDE_REGEX, "exclude": TD.CCS_EXCLUDE_REGEX}
 
     def calibration(self) -> CAL.CalibrationResult:
+        if not hasattr(self, "_calibration"):
+            self._calibration = self._run_calibration()
+        return self._calibration
+
+    def _run_calibration(self) -> CAL.CalibrationResult:
         return CAL.run_calibration(self.q1(), self.q3(), self.q4(), self.params,
                                    TD.BASE_YEAR, TD.ADDER_FROM_YEAR, self.storage_kw,
                                    self.ccs_kw, TEST_YEARS)

@@ -195,7 +195,7 @@ class TestDomain:
                         F.split_part("p_name", F.lit(" "), F.lit(2)).alias("noun"))
 
     # --- facts ------------------------------------------------------------
-    @cached_property
+    @stored
     def base(self) -> DataFrame:
         """Lineitems aggregated to one row per technology, vintage, year and
         line status; the three model tables are all derived from it, so the
@@ -203,7 +203,10 @@ class TestDomain:
         li = self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity",
                                            "l_extendedprice", "l_returnflag", "l_linestatus",
                                            "l_shipdate")
-        j = (li.join(self.order_dim, F.col("l_orderkey") == F.col("o_orderkey"))
+        # lineitem is the fact table: it is never a broadcast side (its
+        # compressed-file estimate can fall under the auto-broadcast bound);
+        # the order join is a shuffle join on the order key
+        j = (li.hint("merge").join(self.order_dim, F.col("l_orderkey") == F.col("o_orderkey"))
                .join(small(self.part_dim), F.col("l_partkey") == F.col("p_partkey")))
         scenario = _lookup(F.col("l_returnflag"), SCENARIO_BY_RETURNFLAG)
         return (j.groupBy(scenario.alias("scenario"), "region", "sector", "subsector",
