@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A side is broadcast only when the optimizer's size estimate of it is below
-# this bound; above it the join is left to the planner, and AQE can still
-# switch to a broadcast at run time from the real shuffle sizes.
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+# this bound; above it the join is left to the planner (sort-merge / shuffled
+# hash join), and AQE can still switch to a broadcast at run time from the
+# real shuffle sizes.  File-based estimates are compressed sizes, so the
+# bound is kept well below what an executor can hold.
+BROADCAST_MAX_BYTES = 16 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:

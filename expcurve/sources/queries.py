@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.nasafe import contains, grepl
+from ..functions.nasafe import grepl
 from ..operators.joins import small
 from ..operators.techmap import rewrite_labels
 
@@ -27,8 +27,10 @@ def _region(df: DataFrame, region: str | None) -> DataFrame:
 def elec_sector_predicate(sectors: Sequence[str] = K.ELEC_SECTORS,
                           substring: str = K.ELEC_SECTOR_SUBSTRING,
                           excluded_substring: str = K.EXCLUDED_SECTOR_SUBSTRING):
+    # a row passes the first part only with a non-null sector, so the plain
+    # (pushable) predicates keep the missing-value meaning of the original
     s = F.col("sector")
-    return (s.isin(*sectors) | contains(s, substring)) & ~contains(s, excluded_substring)
+    return (s.isin(*sectors) | s.contains(substring)) & ~s.contains(excluded_substring)
 
 
 def _exclude_technologies(df: DataFrame, exclude: Exclusion) -> DataFrame:
@@ -105,12 +107,23 @@ def input_cost_query(input_costs: DataFrame, region: str | None = K.DEFAULT_REGI
 
 def market_price_query(market_prices: DataFrame, substring: str = "CO2") -> DataFrame:
     """Q6: prices of markets whose name contains ``substring``."""
-    return market_prices.where(contains(F.col("market"), substring))
+    return market_prices.where(F.col("market").contains(substring))
 
 
 # ---------------------------------------------------------------------------
 # path queries of the per-period update
 # ---------------------------------------------------------------------------
+_REGEX_META = set(".^$*+?{}[]()|\\")
+
+
+def regex_predicate(c, pattern: str):
+    """Regex match; an anchored literal prefix (``^elec_``) becomes a
+    ``startswith`` the Parquet reader can use for row-group pruning."""
+    if pattern.startswith("^") and not (set(pattern[1:]) & _REGEX_META):
+        return c.startswith(pattern[1:])
+    return grepl(c, pattern)
+
+
 def _path(df: DataFrame, value_name: str, sector: str | None = None,
           subsector: str | None = None, sector_regex: str | None = None) -> DataFrame:
     if sector is not None:
@@ -118,7 +131,7 @@ def _path(df: DataFrame, value_name: str, sector: str | None = None,
     if subsector is not None:
         df = df.where(F.col("subsector") == F.lit(subsector))
     if sector_regex is not None:
-        df = df.where(grepl(F.col("sector"), sector_regex))
+        df = df.where(regex_predicate(F.col("sector"), sector_regex))
     return df.withColumnRenamed("value", value_name)
 
 
