@@ -28,6 +28,7 @@ The same definitions are written once more in SQL for the DuckDB oracle
 from __future__ import annotations
 
 import hashlib
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -157,6 +158,24 @@ class TestDomain:
             self._cache[name] = self.spark.read.parquet(path)
         return self._cache[name]
 
+    # tables in dependency order: the tables of one wave only read tables of
+    # earlier waves, so each wave's (small) jobs can run concurrently
+    WAVES = (("base",),
+             ("outputs", "capacity_factors", "input_costs", "market_prices", "cooling_tech_map",
+              "deployment_map"),
+             ("learning_map", "label_rewrites", "learning_rates", "t0_cost_deployment"),
+             ("tech_FCR",))
+
+    def prepare(self, threads: int = 4) -> None:
+        """Write every stored table now, independent ones concurrently."""
+        for wave in self.WAVES:
+            if len(wave) == 1 or threads <= 1:
+                for name in wave:
+                    getattr(self, name)
+                continue
+            with ThreadPoolExecutor(max_workers=min(threads, len(wave))) as pool:
+                list(pool.map(lambda n: getattr(self, n), wave))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
