@@ -42,12 +42,16 @@ def get_session(app: str = "expcurve", master: str | None = None,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is
-    unset (local tests) fall back to a fresh local scratch folder."""
+    unset on a local master (tests) fall back to a fresh scratch folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = path.get() if path.isDefined() else None
     if not path:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(stored tables and checkpoints must survive executor loss)")
         path = tempfile.mkdtemp(prefix="expcurve-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
