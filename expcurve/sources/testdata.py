@@ -28,6 +28,8 @@ The same definitions are written once more in SQL for the DuckDB oracle
 from __future__ import annotations
 
 import hashlib
+import threading
+from collections import defaultdict
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -148,14 +150,21 @@ class TestDomain:
         app = self.spark.sparkContext.applicationId
         return f"{root}/expcurve-tables/{app}/{key}"
 
+    _locks: dict = field(default_factory=lambda: defaultdict(threading.Lock))
+    _locks_guard: threading.Lock = field(default_factory=threading.Lock)
+
     def store(self, name: str, build) -> DataFrame:
-        """Write ``build()`` once as Parquet and return the stored table."""
+        """Write ``build()`` once as Parquet and return the stored table
+        (callers in other threads wait for the first writer)."""
         if not self.materialize:
             return build()
-        if name not in self._cache:
-            path = f"{self.store_dir}/{name}"
-            build().write.mode("overwrite").parquet(path)
-            self._cache[name] = self.spark.read.parquet(path)
+        with self._locks_guard:
+            lock = self._locks[name]
+        with lock:
+            if name not in self._cache:
+                path = f"{self.store_dir}/{name}"
+                build().write.mode("overwrite").parquet(path)
+                self._cache[name] = self.spark.read.parquet(path)
         return self._cache[name]
 
     # tables in dependency order: the tables of one wave only read tables of
@@ -368,9 +377,13 @@ class TestDomain:
 _DOMAINS: dict[tuple[str, str], TestDomain] = {}
 
 
+_DOMAINS_LOCK = threading.Lock()
+
+
 def domain(spark: SparkSession, sf_dir: str, materialize: bool = True) -> TestDomain:
     """The session's test domain for ``sf_dir`` (tables stored once)."""
     key = (spark.sparkContext.applicationId, sf_dir, materialize)
-    if key not in _DOMAINS:
-        _DOMAINS[key] = TestDomain(spark, sf_dir, materialize)
-    return _DOMAINS[key]
+    with _DOMAINS_LOCK:
+        if key not in _DOMAINS:
+            _DOMAINS[key] = TestDomain(spark, sf_dir, materialize)
+        return _DOMAINS[key]
