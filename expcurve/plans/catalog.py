@@ -120,6 +120,13 @@ class Ctx:
                                     base_year=TD.BASE_YEAR, step=TD.PERIOD_STEP,
                                     update_years=UPDATE_YEARS)
 
+    def cost_update_one_period(self, current_year: int) -> DataFrame:
+        nl, ca = self.calibration_params()
+        gen_all, _, cf_all = self.update_inputs()
+        return U.period_cost_update(gen_all, cf_all, self.params, nl, ca,
+                                    base_year=TD.BASE_YEAR, step=TD.PERIOD_STEP,
+                                    current_year=current_year)
+
     def gen_by_fuel(self) -> DataFrame:
         return R.generation_by_fuel(self.q5(), TD.FUEL_RULES, levels=TD.FUEL_LEVELS)
 
@@ -182,6 +189,7 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
         "rooftop|storage"),
     # per-period update D13, D14
     "period_cost_update": lambda c: c.cost_update(),
+    "period_cost_update_one_period": lambda c: c.cost_update_one_period(1999),
     "cost_merge": lambda c: U.merge_costs(c.update_inputs()[1], c.cost_update(),
                                           [y + TD.PERIOD_STEP for y in UPDATE_YEARS]),
     # results D16-D26

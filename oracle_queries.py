@@ -418,6 +418,7 @@ FINAL = {
         "isnan(cap_cost) AND learned_cost_total IS NOT NULL AND NOT isnan(learned_cost_total)",
         ["cap_cost", "learned_cost_total"]),
     "period_cost_update": ("SELECT * FROM upd_adj", ["adj_cost_new"]),
+    "period_cost_update_one_period": ("SELECT * FROM upd_adj WHERE period = 2000", ["adj_cost_new"]),
     "cost_merge": (
         "SELECT c.scenario, c.region, c.sector, c.subsector, c.technology, c.period, c.input, "
         "c.year, coalesce(a.adj_cost_new, c.adjusted_cost) AS adjusted_cost FROM costs_all c "
