@@ -40,7 +40,7 @@ def new_capacity(generation: DataFrame, cap_factors: DataFrame, keys: Sequence[s
 
 def component_rollup(capacity: DataFrame, deployment_map: DataFrame,
                      keys: Sequence[str] = ("scenario", "region"), time_col: str = "year",
-                     value: str = "capacity") -> DataFrame:
+                     value: str = "capacity", cluster: bool = True) -> DataFrame:
     """D3: capacity of learning components = sum of capacity * multiplier of
     the technologies feeding them.  A missing capacity makes the component's
     sum missing and the row is dropped.
@@ -52,6 +52,12 @@ def component_rollup(capacity: DataFrame, deployment_map: DataFrame,
     m = deployment_map.select("sector", "subsector", "technology", "learning_component",
                               "multiplier")
     j = capacity.join(small(m), ["sector", "subsector", "technology"], "inner")
+    if cluster:
+        # cluster by the component key the next steps (year grid, running sum,
+        # lag) partition on: one exchange serves them all.  The rows here are
+        # already one per technology and year, so a key holds at most
+        # (technologies feeding it) x (years) rows.
+        j = j.repartition(*keys, "learning_component")
     g = j.groupBy(*keys, "learning_component", time_col).agg(
         strict_sum(F.col(value) * F.col("multiplier")).alias(value))
     return g.na.drop()

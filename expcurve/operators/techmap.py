@@ -30,8 +30,9 @@ def generation_union(outputs: DataFrame, cooling_map: DataFrame) -> DataFrame:
     mapped sectors (semi join) and rooftop generation, as one bag."""
     from ..sources import queries as Q
 
-    passthru = cooling_map.select(F.col("technology_passthru").alias("technology")).distinct()
-    cool_sectors = cooling_map.select("sector").distinct()
+    # semi / anti joins: duplicate map rows do not change them, no distinct needed
+    passthru = cooling_map.select(F.col("technology_passthru").alias("technology"))
+    cool_sectors = cooling_map.select("sector")
     tech = Q.path_generation(outputs).join(small(passthru), "technology", "left_anti")
     cooling = Q.path_cooling_generation(outputs).join(small(cool_sectors), "sector", "left_semi")
     rooftop = Q.path_rooftop_generation(outputs)

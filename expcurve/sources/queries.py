@@ -37,7 +37,8 @@ def _exclude_technologies(df: DataFrame, exclude: Exclusion) -> DataFrame:
     if exclude is None:
         return df
     if isinstance(exclude, DataFrame):
-        names = exclude.select(F.col(exclude.columns[0]).alias("technology")).distinct()
+        # an anti join needs no distinct right side: duplicates do not change it
+        names = exclude.select(F.col(exclude.columns[0]).alias("technology"))
         return df.join(small(names), "technology", "left_anti")
     # `not(@name = a or @name = b ...)`: a missing name is not excluded
     return df.where(~F.coalesce(F.col("technology").isin(*exclude), F.lit(False)))
