@@ -57,7 +57,10 @@ def cumulative_by_period(vcap: DataFrame, deployment_map: DataFrame,
     total missing; no vintage up to Y gives a missing total."""
     # unlike component_rollup, missing sums are kept here: they poison totals
     m = deployment_map.select(*TECH, "learning_component", "multiplier")
+    # vcap is one row per technology and vintage: clustering by the component
+    # key lets both aggregations below share one exchange (bounded per key)
     per = (vcap.join(small(m), list(TECH), "inner")
+               .repartition("scenario", "region", "learning_component")
                .groupBy("scenario", "region", "learning_component", "period")
                .agg(strict_sum(F.col("capacity") * F.col("multiplier")).alias("capacity")))
     keys = ["scenario", "region", "learning_component"]
