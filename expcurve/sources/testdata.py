@@ -12,7 +12,7 @@ Mapping (the "test domain"):
 * period     <- year of ``o_orderdate`` (the vintage);
   year       <- year of ``l_shipdate`` (the year the value applies to)
 * technology <- ``p_name`` = "<adjective> <noun>": the noun is the
-  technology family, the adjective its role (ROLES below), which fixes the
+  technology family, the adjective its role (ROLE_NAMES below), which fixes the
   sector / subsector / technology names in the model's naming grammar
 * generation <- sum(l_quantity) * 1e-6 (EJ); input costs <- max of
   ``l_extendedprice`` / 1e4 per input (``l_linestatus``: O = capital);
@@ -65,7 +65,6 @@ CO2_SUFFIX = "CO2"
 #   small building level          elect_td_bld / rooftop_pv / rooftop_n
 #   blue  first-of-a-kind         electricity / n / n_offshore
 #   red   water sector (excluded) elec_water_td / water_td / n (water)
-ROLES = ("new", "large", "old", "hot", "cold", "small", "blue", "red")
 
 # parameters of the test domain's analyses (the model's own are in constants)
 BASE_YEAR = 1996
@@ -102,6 +101,19 @@ def stored(fn):
     return prop
 
 
+# columns of the driver tables this adapter reads (explicit: no inference job)
+DRIVER_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_size int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, "
+                "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 def _lookup(c: Column, pairs) -> Column:
     out = F.lit(None).cast("string")
     for k, v in reversed(pairs):
@@ -109,29 +121,37 @@ def _lookup(c: Column, pairs) -> Column:
     return out
 
 
+# role -> (sector, subsector, technology) name templates; "{n}" is the noun
+ROLE_NAMES = {
+    "new": ("electricity", "{n}", "{n}"),
+    "large": ("electricity", "{n}", "{n}_storage"),
+    "old": ("electricity", "{n}", "{n} (conv)"),
+    "hot": ("electricity", "{n}", "{n} (conv CCS)"),
+    "cold": ("elec_{n} (conv CCS)", "{n} (conv CCS)", "{n} (conv CCS) (recirculating)"),
+    "small": ("elect_td_bld", "rooftop_pv", "rooftop_{n}"),
+    "blue": ("electricity", "{n}", "{n}_offshore"),
+    "red": ("elec_water_td", "water_td", "{n} (water)"),
+}
+
+
+def _template(adj: Column, noun: Column, level: int) -> Column:
+    """prefix[adj] + (noun if the template has one) + suffix[adj]; null for
+    an unknown role.  Three literal-map lookups instead of a CASE per role."""
+    pre, has, suf = [], [], []
+    for role, names in ROLE_NAMES.items():
+        t = names[level]
+        a, _, b = t.partition("{n}")
+        pre += [F.lit(role), F.lit(a)]
+        has += [F.lit(role), F.lit("{n}" in t)]
+        suf += [F.lit(role), F.lit(b)]
+    mid = F.when(F.try_element_at(F.create_map(*has), adj), noun).otherwise(F.lit(""))
+    return F.concat(F.try_element_at(F.create_map(*pre), adj), mid,
+                    F.try_element_at(F.create_map(*suf), adj))
+
+
 def technology_names(adj: Column, noun: Column) -> tuple[Column, Column, Column]:
     """(sector, subsector, technology) of a role + noun."""
-    ccs = F.concat(noun, F.lit(" (conv CCS)"))
-
-    def by_role(**kw) -> Column:
-        out = F.lit(None).cast("string")
-        for role in reversed(ROLES):
-            out = F.when(adj == F.lit(role), kw[role]).otherwise(out)
-        return out
-
-    lit = F.lit
-    sector = by_role(new=lit("electricity"), large=lit("electricity"), old=lit("electricity"),
-                     hot=lit("electricity"), cold=F.concat(lit("elec_"), ccs),
-                     small=lit("elect_td_bld"), blue=lit("electricity"), red=lit("elec_water_td"))
-    subsector = by_role(new=noun, large=noun, old=noun, hot=noun, cold=ccs,
-                        small=lit("rooftop_pv"), blue=noun, red=lit("water_td"))
-    technology = by_role(new=noun, large=F.concat(noun, lit("_storage")),
-                         old=F.concat(noun, lit(" (conv)")), hot=ccs,
-                         cold=F.concat(ccs, lit(" (recirculating)")),
-                         small=F.concat(lit("rooftop_"), noun),
-                         blue=F.concat(noun, lit("_offshore")),
-                         red=F.concat(noun, lit(" (water)")))
-    return sector, subsector, technology
+    return tuple(_template(adj, noun, i) for i in range(3))
 
 
 @dataclass
@@ -186,7 +206,10 @@ class TestDomain:
                 list(pool.map(lambda n: getattr(self, n), wave))
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        reader = self.spark.read
+        if name in DRIVER_SCHEMAS:
+            reader = reader.schema(DRIVER_SCHEMAS[name])
+        return reader.parquet(f"{self.sf_dir}/{name}.parquet")
 
     # --- dimensions -------------------------------------------------------
     @cached_property
