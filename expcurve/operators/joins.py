@@ -35,17 +35,12 @@ def small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
 
 def join_dim(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "left",
              null_safe: bool = False) -> DataFrame:
-    """Join a fact table to a dimension table on same-named keys.
-
-    ``how='right'`` (dimension kept whole) is planned as a left join with
-    the dimension on the left so the fact side is never the build side.
-    ``null_safe`` makes missing keys match each other (data-frame join
-    semantics) with ``<=>``; the keys are then taken from the kept side."""
+    """Join a fact table to a dimension table on same-named keys (the
+    dimension broadcast when its size is proven small).  ``null_safe`` makes
+    missing keys match each other, as data-frame joins do, with ``<=>``."""
     on = list(on)
-    if how == "right":
-        return join_dim(dim, fact, on, "left", null_safe).select(
-            *on, *[c for c in fact.columns if c not in on],
-            *[c for c in dim.columns if c not in on and c not in fact.columns])
+    if how not in ("left", "inner", "left_semi", "left_anti"):
+        raise ValueError(f"join_dim keeps the fact side: {how}")
     if not null_safe:
         return fact.join(small(dim), on, how)
     d = dim.select(*[F.col(k).alias(f"__k_{k}") for k in on],
