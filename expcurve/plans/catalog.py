@@ -16,7 +16,10 @@ from ..operators import capacity as C
 from ..operators import capital as P
 from ..operators import learning as L
 from ..operators import techmap as T
+from ..sinks import write_cost_updates, write_param_csv
 from ..sources import queries as Q
+from ..sources.params import read_param_csv
+from ..sources.scenarios import load_scenarios, write_scenarios
 from ..sources import testdata as TD
 from . import calibration as CAL
 from . import results as R
@@ -28,7 +31,9 @@ UPDATE_YEARS = TEST_YEARS
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+    """Round double columns; ``+ 0.0`` turns a negative zero into zero so
+    equal values have equal bits."""
+    return df.select(*[(F.round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name)
                        if isinstance(f.dataType, DoubleType) else F.col(f.name)
                        for f in df.schema.fields])
 
@@ -127,6 +132,29 @@ class Ctx:
                                     base_year=TD.BASE_YEAR, step=TD.PERIOD_STEP,
                                     current_year=current_year)
 
+    def round_trip(self, name: str, write, read) -> DataFrame:
+        """Write with a sink once per session, read back with a source."""
+        path = f"{self.d.store_dir}/files/{name}"
+        self.d.store(f"_written_{name}", lambda: _mark_written(self.d.spark, write, path))
+        return read(path)
+
+    def param_file(self, name: str) -> DataFrame:
+        nl, ca = self.calibration_params()
+        table = {"non_learning_capital": nl, "cal_adders": ca}[name]
+        return self.round_trip(name, lambda p: write_param_csv(table, p),
+                               lambda p: read_param_csv(self.d.spark, p, name))
+
+    def scenario_runs(self) -> DataFrame:
+        runs = lambda p: {s: f"{p}/scenario={s}" for s in K.SCENARIOS}
+        return self.round_trip("scenario_runs", lambda p: write_scenarios(self.d.outputs, p),
+                               lambda p: load_scenarios(self.d.spark, runs(p)))
+
+    def cost_write_back(self) -> DataFrame:
+        merged = U.merge_costs(self.update_inputs()[1], self.cost_update(),
+                               [y + TD.PERIOD_STEP for y in UPDATE_YEARS])
+        return self.round_trip("cost_write_back", lambda p: write_cost_updates(merged, p),
+                               lambda p: self.d.spark.read.parquet(p))
+
     def gen_by_fuel(self) -> DataFrame:
         return R.generation_by_fuel(self.q5(), TD.FUEL_RULES, levels=TD.FUEL_LEVELS)
 
@@ -135,6 +163,11 @@ class Ctx:
                               TD.CAPACITY_EXCLUDE_REGEX, TD.CAPACITY_RULES)
 
 
+def _mark_written(spark: SparkSession, write, path: str) -> DataFrame:
+    write(path)
+    return spark.range(1)
+
+
 QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     # minimum slice (flagship): D1, D2, D3, D4, D5, D6
     "learning_curve": lambda c: c.learned_components(),
@@ -192,6 +225,11 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "period_cost_update_one_period": lambda c: c.cost_update_one_period(1999),
     "cost_merge": lambda c: U.merge_costs(c.update_inputs()[1], c.cost_update(),
                                           [y + TD.PERIOD_STEP for y in UPDATE_YEARS]),
+    # sources and sinks on derived data: K1/K2 -> S1, S3, K3
+    "non_learning_capital_csv": lambda c: c.param_file("non_learning_capital"),
+    "cal_adders_csv": lambda c: c.param_file("cal_adders"),
+    "scenario_runs": lambda c: c.scenario_runs(),
+    "cost_write_back": lambda c: c.cost_write_back(),
     # results D16-D26
     "capital_cost_series": lambda c: P.capital_cost_series(
         c.q4(), TD.CAPITAL_COST_INCLUDE_REGEX, TD.CAPITAL_COST_EXCLUDE_REGEX,

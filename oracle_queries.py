@@ -13,7 +13,7 @@ DBL = "CAST({} AS DOUBLE)".format
 H = DBL(8760)
 KWH_EJ = "3.6e-12"
 KWH_GJ = "3.6e-3"
-R6 = "round({0}, 6) AS {0}".format
+R6 = "round({0}, 6) + 0.0 AS {0}".format           # + 0.0: no negative zero
 YEARS = (1996, 1997, 1998, 1999, 2000, 2001)
 YEARS_VALUES = "(VALUES " + ", ".join(f"({y})" for y in YEARS) + ") AS yy(y)"
 NEXT_YEARS = ", ".join(str(y + 1) for y in YEARS)
@@ -424,6 +424,15 @@ FINAL = {
         "c.year, coalesce(a.adj_cost_new, c.adjusted_cost) AS adjusted_cost FROM costs_all c "
         "LEFT JOIN upd_adj a USING (scenario, region, sector, subsector, technology, period, input) "
         f"WHERE c.period IN ({NEXT_YEARS})", ["adjusted_cost"]),
+    "non_learning_capital_csv": ("SELECT * FROM ref_nl", ["nonlearning_cap"]),
+    "cal_adders_csv": ("SELECT * FROM ref_ca", ["cal_adder"]),
+    "scenario_runs": ("SELECT * FROM outputs", ["value"]),
+    "cost_write_back": (
+        "SELECT c.region, c.sector, c.subsector, c.technology, c.input, c.year, "
+        "coalesce(a.adj_cost_new, c.adjusted_cost) AS adjusted_cost, c.scenario, c.period "
+        "FROM costs_all c LEFT JOIN upd_adj a "
+        "USING (scenario, region, sector, subsector, technology, period, input) "
+        f"WHERE c.period IN ({NEXT_YEARS})", ["adjusted_cost"]),
     "capital_cost_series": (SERIES, ["vintage", "value"]),
     "capital_cost_view": (
         "SELECT scenario_label AS scenario, * EXCLUDE (scenario, scenario_label) FROM ("
