@@ -26,8 +26,6 @@ from . import results as R
 from . import update as U
 
 DIGITS = 6
-TEST_YEARS = tuple(range(TD.BASE_YEAR, 2002))       # model periods from the base year on
-UPDATE_YEARS = TEST_YEARS
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -44,6 +42,12 @@ class Ctx:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.d = TD.domain(spark, sf_dir)
 
+    @property
+    def years(self) -> list[int]:
+        """The run's model periods from the base year on (year grid of the
+        cumulative sums and the update years), read from the data."""
+        return self.d.model_periods(TD.BASE_YEAR)
+
     @property
     def params(self) -> dict:
         d = self.d
@@ -80,7 +84,7 @@ class Ctx:
         p = self.params
         return CAL.learned_component_costs(self.q1(), self.q3(), p["cooling_tech_map"],
                                            p["deployment_map"], p["learning_rates"],
-                                           p["t0_cost_deployment"], TD.BASE_YEAR, TEST_YEARS)
+                                           p["t0_cost_deployment"], TD.BASE_YEAR, self.years)
 
     def capacity(self) -> DataFrame:
         gen = self.q1().withColumnRenamed("value", "generation")
@@ -102,7 +106,7 @@ class Ctx:
     def _run_calibration(self) -> CAL.CalibrationResult:
         return CAL.run_calibration(self.q1(), self.q3(), self.q4(), self.params,
                                    TD.BASE_YEAR, TD.ADDER_FROM_YEAR, self.storage_kw,
-                                   self.ccs_kw, TEST_YEARS)
+                                   self.ccs_kw, self.years)
 
     def update_inputs(self):
         return U.update_inputs(self.d.outputs, self.d.input_costs, self.d.capacity_factors,
@@ -123,7 +127,7 @@ class Ctx:
         gen_all, _, cf_all = self.update_inputs()
         return U.period_cost_update(gen_all, cf_all, self.params, nl, ca,
                                     base_year=TD.BASE_YEAR, step=TD.PERIOD_STEP,
-                                    update_years=UPDATE_YEARS)
+                                    update_years=self.years)
 
     def cost_update_one_period(self, current_year: int) -> DataFrame:
         nl, ca = self.calibration_params()
@@ -151,7 +155,7 @@ class Ctx:
 
     def cost_write_back(self) -> DataFrame:
         merged = U.merge_costs(self.update_inputs()[1], self.cost_update(),
-                               [y + TD.PERIOD_STEP for y in UPDATE_YEARS])
+                               [y + TD.PERIOD_STEP for y in self.years])
         return self.round_trip("cost_write_back", lambda p: write_cost_updates(merged, p),
                                lambda p: self.d.spark.read.parquet(p))
 
@@ -193,10 +197,10 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     # capacity and learning D3, D4, D5, D7
     "component_rollup": lambda c: C.component_rollup(c.capacity(), c.params["deployment_map"]),
     "cumulative_deployment": lambda c: C.cumulative_deployment(
-        C.component_rollup(c.capacity(), c.params["deployment_map"]), years=TEST_YEARS),
+        C.component_rollup(c.capacity(), c.params["deployment_map"]), years=c.years),
     "learned_cost_unlagged": lambda c: L.learning_curve(
         C.cumulative_deployment(C.component_rollup(c.capacity(), c.params["deployment_map"]),
-                                years=TEST_YEARS),
+                                years=c.years),
         c.params["learning_rates"], c.params["t0_cost_deployment"]),
     "technology_cost_narm": lambda c: L.technology_cost(c.learned_components(),
                                                         c.params["learning_map"], "ignore"),
@@ -224,7 +228,7 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "period_cost_update": lambda c: c.cost_update(),
     "period_cost_update_one_period": lambda c: c.cost_update_one_period(1999),
     "cost_merge": lambda c: U.merge_costs(c.update_inputs()[1], c.cost_update(),
-                                          [y + TD.PERIOD_STEP for y in UPDATE_YEARS]),
+                                          [y + TD.PERIOD_STEP for y in c.years]),
     # sources and sinks on derived data: K1/K2 -> S1, S3, K3
     "non_learning_capital_csv": lambda c: c.param_file("non_learning_capital"),
     "cal_adders_csv": lambda c: c.param_file("cal_adders"),

@@ -17,6 +17,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import capacity as C
@@ -37,7 +38,7 @@ def read_flat(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 def calibrate(spark: SparkSession, flat_root: str, params_root: str, out_root: str,
               scenario: str = K.REFERENCE_SCENARIO, region: str | None = K.DEFAULT_REGION) -> None:
     flat = read_flat(spark, flat_root)
-    outputs = flat["outputs"].where(f"scenario = '{scenario}'")
+    outputs = flat["outputs"].where(F.col("scenario") == F.lit(scenario))
     params = read_params(spark, params_root, names=["learning_rates", "t0_cost_deployment",
                                                     "tech_FCR", "cooling_tech_map",
                                                     "deployment_map", "learning_map"])

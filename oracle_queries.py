@@ -14,9 +14,9 @@ H = DBL(8760)
 KWH_EJ = "3.6e-12"
 KWH_GJ = "3.6e-3"
 R6 = "round({0}, 6) + 0.0 AS {0}".format           # + 0.0: no negative zero
-YEARS = (1996, 1997, 1998, 1999, 2000, 2001)
-YEARS_VALUES = "(VALUES " + ", ".join(f"({y})" for y in YEARS) + ") AS yy(y)"
-NEXT_YEARS = ", ".join(str(y + 1) for y in YEARS)
+# the run's model periods from the base year on, read from the data
+YEARS_VALUES = "(SELECT DISTINCT period AS y FROM outputs WHERE period >= 1996) AS yy"
+NEXT_YEARS = "SELECT DISTINCT period + 1 FROM outputs WHERE period >= 1996"
 REF, EXO, ENDO = "Reference_exogenous", "NZ_exogenous", "Reference_NZ_endogenous"
 
 
