@@ -168,6 +168,9 @@ def complete_years(df: DataFrame, keys: Sequence[str], value: str, years: Sequen
     years_arr = F.array(*[F.lit(int(y)) for y in years])
     pairs = F.map_from_entries(F.collect_list(F.struct(F.col(year_col), F.col(value))))
     grouped = df.groupBy(*keys).agg(pairs.alias("_by_year"))
-    out = grouped.select(*keys, F.explode(years_arr).alias(year_col), "_by_year")
+    # a key's own years are kept even when the given list misses them:
+    # completing only ever adds rows
+    grid = F.array_sort(F.array_union(years_arr, F.map_keys("_by_year")))
+    out = grouped.select(*keys, F.explode(grid).alias(year_col), "_by_year")
     filled = F.coalesce(F.try_element_at(F.col("_by_year"), F.col(year_col)), F.lit(fill))
     return out.select(*keys, year_col, filled.cast("double").alias(value))

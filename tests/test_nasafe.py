@@ -126,3 +126,9 @@ def test_na_drop_and_fill_treat_nan_as_missing(spark):  # R11 / R9
     assert df.na.drop().count() == 1
     assert sorted(r[0] for r in df.na.fill(0.0).collect()) == [0.0, 0.0, 1.0]
     assert not any(isinstance(r[0], float) and math.isnan(r[0]) for r in df.na.fill(0.0).collect())
+
+
+def test_complete_years_never_drops_rows(spark):
+    df = spark.createDataFrame([("a", 2015, 1.0), ("a", 2030, 2.0)], "k string, year int, v double")
+    out = rows(N.complete_years(df, ["k"], "v", years=[2015, 2020]), "k", "year", "v")
+    assert out == [("a", 2015, 1.0), ("a", 2020, 0.0), ("a", 2030, 2.0)]
