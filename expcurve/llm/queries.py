@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from expcurve.llm import packing, perspectives, sharding, simhash
+from expcurve.llm import packing, perspectives, sharding, simhash, suffixes, tiling, warc
 from expcurve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,16 +24,30 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048).drop("ids")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (warc.archive_round_trip(table(spark, sf_dir, "pages"))
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op5_sharding, op10_chat)}
+    return {f.__name__: f for f in (
+        op1_simhash, op2_packing, op3_decontamination, op4_warc, op5_sharding, op6_suffixes, op10_chat)}
 
 
 ORACLE = {
