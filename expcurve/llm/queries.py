@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from expcurve.llm import packing, perspectives, sharding, simhash, suffixes, tiling, warc
+from expcurve.llm import itq, packing, perspectives, rules, sharding, simhash, suffixes, tiling, toxicity, warc
 from expcurve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,13 +41,26 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_simhash, op2_packing, op3_decontamination, op4_warc, op5_sharding, op6_suffixes, op10_chat)}
+        op1_simhash, op2_packing, op3_decontamination, op4_warc, op5_sharding, op6_suffixes, op7_rules,
+        op8_toxicity, op9_embeddings, op10_chat)}
 
 
 ORACLE = {

@@ -261,8 +261,10 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8")
 
 
-def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans of ``repeated_spans`` cut out of the text column; other rows are as they were."""
+def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                  length_col: str | None = None) -> DataFrame:
+    """``docs`` with the spans of ``repeated_spans`` cut out of the text column, and its length in characters
+    put into ``length_col``.  Rows without a span are as they were; a text that repeats whole becomes empty."""
     cuts = (spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_cuts"))
             .withColumnRenamed("doc_id", "_doc"))
 
@@ -274,6 +276,11 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
                 texts = [t if not c else cut_words(t, [(s["start_word"], s["end_word"]) for s in c])
                          for t, c in zip(b.column(at).to_pylist(), cut, strict=True)]
                 b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+                if length_col is not None:
+                    at = b.schema.get_field_index(length_col)
+                    sizes = [n if not c else len(t)
+                             for n, t, c in zip(b.column(at).to_pylist(), texts, cut, strict=True)]
+                    b = b.set_column(at, b.schema.field(at), pa.array(sizes, b.schema.field(at).type))
             yield b.select(docs.columns)
 
     joined = docs.join(cuts, F.col(id_col).cast("long") == F.col("_doc"), "left").select(*docs.columns, "_cuts")
