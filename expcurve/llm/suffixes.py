@@ -267,6 +267,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
     put into ``length_col``.  Rows without a span are as they were; a text that repeats whole becomes empty."""
     cuts = (spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_cuts"))
             .withColumnRenamed("doc_id", "_doc"))
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -281,7 +282,7 @@ def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
                     sizes = [n if not c else len(t)
                              for n, t, c in zip(b.column(at).to_pylist(), texts, cut, strict=True)]
                     b = b.set_column(at, b.schema.field(at), pa.array(sizes, b.schema.field(at).type))
-            yield b.select(docs.columns)
+            yield b.select(columns)
 
-    joined = docs.join(cuts, F.col(id_col).cast("long") == F.col("_doc"), "left").select(*docs.columns, "_cuts")
+    joined = docs.join(cuts, F.col(id_col).cast("long") == F.col("_doc"), "left").select(*columns, "_cuts")
     return map_arrow(joined, run, docs.schema)
