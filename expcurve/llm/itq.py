@@ -30,7 +30,7 @@ BITS = 64
 CHUNKS = 8
 TABLES = list(combinations(range(CHUNKS), 2))
 SAMPLE_ROWS = 8192
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 
 
 def learn_rotation(x: np.ndarray, dim: int, rounds: int = 50, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
