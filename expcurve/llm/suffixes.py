@@ -42,7 +42,7 @@ _HASH_BYTES = 6
 def _kept_suffixes(doc_ids: list[int], words: list[list[bytes]], min_words: int, seed_words: int):
     """(seed, doc_id, first, shift, hashes) arrays of the kept suffixes of some documents."""
     flat = [w for ws in words for w in ws]
-    lengths = np.array([len(ws) for ws in words])
+    lengths = np.array([len(ws) for ws in words], dtype=np.int64)
     starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
     owner = np.repeat(np.arange(len(words)), lengths)
     n = len(flat) - min_words + 1
