@@ -66,3 +66,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_of(column):
     """CRC-32 of an id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def label_sample(labels: DataFrame, label_col: str, rows: int, balanced: bool) -> tuple[DataFrame, dict[int, int]]:
+    """((_id, _y) of about ``rows`` labelled ids, number of ids with each label).
+
+    Ids are taken by their hash, so the sample is the same in every run and each
+    id counts once however often it is repeated.  With ``balanced`` either label
+    gives up to half of the rows; otherwise all ids have the same chance.
+    """
+    ids = (labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"))
+           .where("_id is not null and _y in (0, 1)").distinct())
+    counts = {r["_y"]: r["count"] for r in ids.groupBy("_y").count().collect()}
+    total = sum(counts.values())
+    share = {y: min(1.0, (rows / 2 / n) if balanced else (rows / total)) for y, n in counts.items()}
+    cut = F.when(F.col("_y") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)) * (1 << 20)
+    return ids.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < cut), counts

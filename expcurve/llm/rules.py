@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from expcurve.llm.common import crc_of, map_arrow, stored, text_or_empty
+from expcurve.llm.common import crc_of, label_sample, map_arrow, stored, text_or_empty
 
 SAMPLE_ROWS = 20_000
 STATISTICS = ("n_bytes", "n_words", "bytes_per_word", "distinct_words", "top_word", "adjacent_repeats",
@@ -183,10 +183,11 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, shr
 
 
 def train(stats: DataFrame, labels: DataFrame, label_col: str, sample_rows: int = SAMPLE_ROWS) -> RuleModel:
-    """Fit on the ``sample_rows`` labelled rows with the least hash of their id; the bound is on rows, not on classes."""
-    wanted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("_y"))
-    rows = (stats.join(wanted.where("_y in (0, 1)"), "doc_id").orderBy(F.xxhash64("doc_id"), *STATISTICS, "_y")
-            .select(*STATISTICS, "_y").limit(sample_rows).toPandas())
+    """Fit on about ``sample_rows`` labelled ids, taken by hash; that bound makes the sample fit for a broadcast."""
+    sample, _ = label_sample(labels, label_col, sample_rows, balanced=False)
+    values = F.min(F.struct(*STATISTICS)).alias("s")    # one row for a repeated id
+    rows = (stats.join(F.broadcast(sample), stats["doc_id"] == sample["_id"])
+            .groupBy("_id", "_y").agg(values).orderBy("_id", "_y").select("s.*", "_y").toPandas())
     return fit_rules(rows[list(STATISTICS)].to_numpy(np.float64), rows["_y"].to_numpy(np.float64))
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from expcurve.llm.common import crc_of, map_arrow, text_or_empty
+from expcurve.llm.common import crc_of, label_sample, map_arrow, text_or_empty
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -258,19 +258,16 @@ def calibrate(model: ConvModel, raw: np.ndarray, y: np.ndarray, weight: np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ConvModel:
-    """Fit on at most ``sample_rows`` labelled texts: up to half of them of either label, those with the least
-    hash of their id, none over SAMPLE_CHARS characters.  Every fifth of them calibrates instead of training."""
-    wanted = (labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"))
-              .where("_y in (0, 1)"))
+    """Fit on about ``sample_rows`` labelled texts, up to half of them of either label, taken by their id's hash,
+    none over SAMPLE_CHARS characters.  Every fifth of them calibrates instead of training.  The bound makes
+    the sampled ids fit for a broadcast, so no text is shuffled."""
+    ids, rate = label_sample(labels, label_col, sample_rows, balanced=True)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
-    rows = (docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text"),
-                        F.coalesce(lang, F.lit("")).alias("lang"))
-            .where(F.length("text") <= SAMPLE_CHARS).join(wanted, "_id"))
-    rate = {r["_y"]: r["count"] for r in wanted.groupBy("_y").count().collect()}
-    sample = []
-    for y in (0, 1):
-        sample += (rows.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "text")
-                   .select("_id", "text", "lang", "_y").limit(sample_rows // 2).collect())
+    sample = (docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text"),
+                          F.coalesce(lang, F.lit("")).alias("lang"))
+              .where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "_id")
+              .groupBy("_id", "_y").agg(F.min(F.struct("text", "lang")).alias("d"))   # one row for a repeated id
+              .orderBy("_id", "_y").select("_id", "_y", "d.text", "d.lang").collect())
     y = np.array([r["_y"] for r in sample], dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 1.0) / (len(y) + 2.0)
