@@ -129,7 +129,7 @@ class ConvModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.offset, -30, 30)))
 
 
-def _log_odds(ids: list[np.ndarray], y: np.ndarray, sure: float = 2.5) -> np.ndarray:
+def _log_odds(ids: list[np.ndarray], y: np.ndarray, sure: float = 1.5) -> np.ndarray:
     """How much more often a feature occurs in documents of label 1, less what chance explains."""
     n1, n0 = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for f, label in zip(ids, y, strict=True):
@@ -141,11 +141,12 @@ def _log_odds(ids: list[np.ndarray], y: np.ndarray, sure: float = 2.5) -> np.nda
     return odds
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 4, batch: int = 32, seed: int = 5) -> ConvModel:
+def fit(texts: list[str], y: np.ndarray, seen: int = 24_000, batch: int = 32, seed: int = 5) -> ConvModel:
     """Train embeddings, filters and output layer by Adam on the logistic loss, classes weighted alike.
 
     The embeddings' first component starts as the feature's log odds and the
-    first narrow filter as its sum; the rest start at random.
+    first narrow filter as its sum; the rest start at random.  About ``seen``
+    documents are visited, in 4 to 12 rounds.
     """
     rng = np.random.default_rng(seed)
     features: dict[str, tuple[int, ...]] = {}
@@ -176,7 +177,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 4, batch: int = 32, seed:
         v += 0.001 * (grad ** 2 - v)
         value -= rate * (m / (1 - 0.9 ** steps)) / (np.sqrt(v / (1 - 0.999 ** steps)) + 1e-8)
 
-    for _ in range(epochs):
+    for _ in range(min(12, max(4, seen // max(len(docs), 1)))):
         order = rng.permutation(len(docs))
         for lo in range(0, len(order), batch):
             steps += 1
