@@ -190,7 +190,12 @@ def _compared(*columns) -> pa.RecordBatch:
 
 
 def _undecided_repeats(open_rows: DataFrame) -> DataFrame:
-    """Repeats among the suffixes of runs that no single task has seen whole."""
+    """Repeats among the suffixes of runs that no single task has seen whole.
+
+    Suffixes whose windows are all equal meet as one row each; single windows
+    are compared for the smallest document of every such class alone, so a
+    passage in very many documents costs a row per suffix, not per window.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,13 +207,21 @@ def _undecided_repeats(open_rows: DataFrame) -> DataFrame:
                      pa.array(w["hash"].view(np.int64)), pa.array(w["doc"]), pa.array(w["start"].astype(np.int32))],
                     ["seed", "place", "hash", "doc_id", "start"])
 
-    windows = stored(map_arrow(open_rows.select("seed", "doc_id", "first", "shift", "hashes"), explode,
-                               "seed long, place int, hash long, doc_id long, start int"), "windows")
+    open_rows = stored(open_rows.select("seed", "doc_id", "first", "shift", "hashes"), "open")
+    same = ["seed", "shift", "hashes"]
+    # suffixes with the same windows throughout: all but the smallest document's repeat as they stand
+    lows = stored(open_rows.groupBy(*same).agg(F.min("doc_id").alias("source")), "lows")
+    placed = open_rows.join(lows, same)
+    whole = placed.where("doc_id > source").select(
+        "doc_id", "first", (F.col("first") + F.length("hashes") / _HASH_BYTES - 1).cast("int").alias("last"), "source")
+    lowest = placed.where("doc_id = source").select("seed", "doc_id", "first", "shift", "hashes")
+
+    windows = stored(map_arrow(lowest, explode, "seed long, place int, hash long, doc_id long, start int"), "windows")
     key = ["seed", "place", "hash"]
     low = stored(windows.groupBy(*key).agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("high"))
                  .where("high > source").drop("high"), "sources")
     again = windows.join(low, key).where("doc_id > source")
-    return again.select("doc_id", F.col("start").alias("first"), F.col("start").alias("last"), "source")
+    return whole.union(again.select("doc_id", F.col("start").alias("first"), F.col("start").alias("last"), "source"))
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS,
