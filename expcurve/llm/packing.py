@@ -39,7 +39,7 @@ from expcurve.llm.common import map_arrow, text_or_empty
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 1
 CAPACITY = 2048
-KEPT_UNITS = 600_000
+KEPT_UNITS = 150_000
 LONGEST_KEPT = 64
 
 
@@ -74,12 +74,13 @@ class ByteBpe:
     def __init__(self, path: str, kept: int = KEPT_UNITS):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        self.added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+            stated = json.load(f)
+        vocabulary = stated["model"]["vocab"]
+        self.added = {t["content"] for t in stated["added_tokens"]}
         # the file writes every byte as a printable character; this finds each one's character
         alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
         plain = {c: ord(c) for c in alphabet if ord(c) < 256}
@@ -95,7 +96,7 @@ class ByteBpe:
 
     def encode(self, text: str) -> bytes:
         if any(t in text for t in self.added):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("I", reference_ids(self.path, text)).tobytes()
         head, *rest = text.split(" ")
         if head and head[-1].isspace():
             return self._merged(text)
@@ -105,6 +106,13 @@ class ByteBpe:
             return self._merged(text)
 
 
+def reference_ids(path: str, text: str) -> list[int]:
+    """Ids as the file's own library gives them; used for the rare texts that hold a special token."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 _LOADED: dict[str, ByteBpe] = {}
 
 

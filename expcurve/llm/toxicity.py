@@ -35,7 +35,7 @@ STEMS = (3, 4, 5, 6)
 _NONE = (0,) * (1 + len(STEMS))
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 200_000
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 17
 _GROUP_WORDS = 100_000
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_"
 
@@ -44,7 +44,7 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-@lru_cache(maxsize=1 << 17)
+@lru_cache(maxsize=1 << 16)
 def _stem_ids(start: str) -> tuple[int, ...]:
     """Buckets of the beginnings of all words longer than STEMS that start like this, or of this one short word."""
     return tuple(1 + zlib.crc32(start[:n].encode("utf-8", "replace"), n) % (BUCKETS - 1) if len(start) > n else 0
