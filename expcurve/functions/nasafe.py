@@ -24,6 +24,16 @@ def _c(c: ColumnOrName) -> Column:
 # ---------------------------------------------------------------------------
 # sums
 # ---------------------------------------------------------------------------
+def divide(n, d) -> Column:
+    """Floating-point division as the original computes it: a zero divisor
+    gives an infinity with the dividend's sign, 0/0 gives NaN, and a missing
+    value on either side stays missing."""
+    over_zero = (F.when(n > F.lit(0.0), F.lit(float("inf")))
+                 .when(n < F.lit(0.0), F.lit(float("-inf")))
+                 .when(n.isNotNull(), F.lit(float("nan"))))
+    return F.when(d == F.lit(0.0), over_zero).otherwise(F.try_divide(n, d))
+
+
 def strict_sum(c: ColumnOrName) -> Column:
     """``sum(x)``: one missing value makes the group's sum missing."""
     c = _c(c)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.nasafe import (categorise, complete_years, grepl, not_grepl, separate,
+from ..functions.nasafe import (categorise, complete_years, divide, grepl, not_grepl, separate,
                                 strict_cumsum, strict_sum)
 from .joins import small
 
@@ -18,9 +18,9 @@ CF_KEYS = ("year", "region", "sector", "subsector", "technology", "scenario")
 
 def capacity_expr(generation: Column, cap_factor: Column, unit: str = "kW") -> Column:
     """generation (EJ) / kWh-per-EJ / hours / capacity factor, left to right.
-    A zero or missing capacity factor gives a missing capacity."""
-    kw = F.try_divide(generation / F.lit(K.CONV_KWH_EJ) / F.lit(float(K.HOURS_PER_YEAR)),
-                      cap_factor)
+    A missing capacity factor gives a missing capacity, a zero one an
+    infinite capacity (its component is then free of cost, and dropped)."""
+    kw = divide(generation / F.lit(K.CONV_KWH_EJ) / F.lit(float(K.HOURS_PER_YEAR)), cap_factor)
     if unit == "GW":
         return kw * F.lit(K.CONV_KW_GW)
     if unit != "kW":

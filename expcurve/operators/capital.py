@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.nasafe import (grepl, not_grepl, ordinal, pivot_checked, separate, to_number)
+from ..functions.nasafe import (divide, grepl, not_grepl, ordinal, pivot_checked, separate, to_number)
 from .joins import small
 
 COST_KEYS = ("scenario", "region", "year", "sector", "subsector", "technology")
@@ -18,7 +18,7 @@ COST_KEYS = ("scenario", "region", "year", "sector", "subsector", "technology")
 def overnight_expr(value: Column, fcr: Column, cap_factor: Column) -> Column:
     """1975$/GJ levelised capital -> 1975$/kW overnight, left to right:
     value / FCR * hours * capacity factor * GJ-per-kWh."""
-    return (F.try_divide(value, fcr) * F.lit(float(K.HOURS_PER_YEAR)) * cap_factor
+    return (divide(value, fcr) * F.lit(float(K.HOURS_PER_YEAR)) * cap_factor
             * F.lit(K.CONV_KWH_GJ))
 
 

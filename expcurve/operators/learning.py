@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.nasafe import strict_sum, sum_na_rm
+from ..functions.nasafe import divide, strict_sum, sum_na_rm
 from .joins import small
 
 COMPONENT_KEYS = ("region", "learning_component")
@@ -20,7 +20,7 @@ def learned_cost_expr(cum: Column, t0_cost: Column, t0_deployment: Column,
                       learning_rate: Column) -> Column:
     """0 without deployment, else t0_cost * (cum / t0_deployment) ^ log2(1 - rate):
     every doubling of deployment multiplies the cost by (1 - rate)."""
-    curve = t0_cost * F.pow(F.try_divide(cum, t0_deployment), F.log2(F.lit(1.0) - learning_rate))
+    curve = t0_cost * F.pow(divide(cum, t0_deployment), F.log2(F.lit(1.0) - learning_rate))
     return F.when(cum == F.lit(0), F.lit(0.0)).otherwise(curve)
 
 

@@ -59,6 +59,8 @@ def update(spark: SparkSession, flat_root: str, params_root: str, out_path: str,
     years = [current_year] if current_year is not None else U.model_periods(gen_all)
     adj = U.period_cost_update(gen_all, cf_all, params, params["non_learning_capital"],
                                params["cal_adders"], update_years=years, region=region)
+    if region is not None:              # other regions' rows are not this run's to replace
+        costs_all = costs_all.where(F.col("region") == F.lit(region))
     write_cost_updates(U.merge_costs(costs_all, adj, [y + K.PERIOD_STEP for y in years]), out_path)
 
 

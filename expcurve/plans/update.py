@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.nasafe import distinct_values, strict_sum
+from ..functions.nasafe import distinct_values, divide, strict_sum
 from ..operators import capacity as C
 from ..operators import learning as L
 from ..operators.joins import small
@@ -124,8 +124,8 @@ def period_cost_update(gen_all: DataFrame, cf_all: DataFrame, params: dict,
     d = d.join(small(cf), ["scenario", "region", *TECH, "year"], "left") \
          .join(small(fcr), ["region", *TECH], "left")
     total = F.col("cost_adj") + F.col("cal_adder") + F.col("nonlearning_cap")
-    new = F.try_divide(total * F.col("FCR") / F.lit(float(K.HOURS_PER_YEAR)),
-                       F.col("capacity_factor")) / F.lit(K.CONV_KWH_GJ)
+    new = divide(total * F.col("FCR") / F.lit(float(K.HOURS_PER_YEAR)),
+                 F.col("capacity_factor")) / F.lit(K.CONV_KWH_GJ)
     return d.select("scenario", "region", *TECH, F.lit(K.CAPITAL_INPUT).alias("input"),
                     F.col("year").alias("period"), new.alias("adj_cost_new"))
 

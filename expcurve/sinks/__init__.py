@@ -25,8 +25,8 @@ def write_param_parquet(df: DataFrame, path: str,
 
 
 def write_cost_updates(merged: DataFrame, path: str,
-                       partition_by: Sequence[str] = ("scenario", "period")) -> None:
+                       partition_by: Sequence[str] = ("scenario", "region", "period")) -> None:
     """K3: the merged next-period cost rows replace exactly the (scenario,
-    period) partitions they belong to; every other period stays."""
+    region, period) partitions they belong to; other regions and periods stay."""
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_by).parquet(path))

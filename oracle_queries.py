@@ -171,7 +171,7 @@ costs_cf AS (SELECT c.*, f.value AS cap_factor FROM costs c LEFT JOIN q3 f
              USING (scenario, region, year, sector, subsector, technology)),
 gen_cap AS (SELECT g.year, g.region, g.sector, g.subsector, g.technology, g.scenario,
                    g.value AS generation, f.value AS cap_factor,
-                   g.value / {KWH_EJ} / {H} / NULLIF(f.value, 0) AS capacity
+                   g.value / {KWH_EJ} / {H} / f.value AS capacity
             FROM q1 g LEFT JOIN q3 f USING (year, region, sector, subsector, technology, scenario)
             WHERE g.year >= 1996),
 cap_rolled AS (SELECT g.year, g.region, coalesce(m.sector_passthru, g.sector) AS sector,
@@ -197,7 +197,7 @@ cum AS (SELECT k.scenario, k.region, k.learning_component, yy.y AS year,
 learned AS (SELECT c.region, c.learning_component, c.scenario, c.year, c.capacity, c.cum_cap,
                    r.learning_rate, t.t0_cost, t.t0_deployment,
                    CASE WHEN c.cum_cap = 0 THEN {DBL(0)} ELSE t.t0_cost *
-                     pow(c.cum_cap / NULLIF(t.t0_deployment, 0), log2(1.0 - r.learning_rate)) END
+                     pow(c.cum_cap / t.t0_deployment, log2(1.0 - r.learning_rate)) END
                      AS learned_cost
             FROM cum c LEFT JOIN learning_rates r USING (region, learning_component)
             LEFT JOIN t0 t USING (region, learning_component)),
@@ -215,7 +215,7 @@ tech_strict AS (SELECT l.scenario, l.region, l.year, m.sector, m.subsector, m.te
                 FROM lagged l LEFT JOIN learning_map m USING (learning_component)
                 GROUP BY 1, 2, 3, 4, 5, 6),
 overnight AS (SELECT c.scenario, c.region, c.sector, c.subsector, c.technology, c.year,
-                     c.value / NULLIF(f.FCR, 0) * {H} * c.cap_factor * {KWH_GJ} AS cap_cost
+                     c.value / f.FCR * {H} * c.cap_factor * {KWH_GJ} AS cap_cost
               FROM costs_cf c JOIN tech_fcr f USING (region, sector, subsector, technology)),
 nl_storage_long AS (SELECT scenario, region, year, sector, subsector,
                            split_part(technology, '_', 1) AS technology,
@@ -270,7 +270,7 @@ upd_gen AS (SELECT g.scenario, g.region, coalesce(m.sector_passthru, g.sector) A
             AND g.subsector = m.subsector AND g.technology = m.technology
             WHERE g.period >= 1996 AND g.period = g.year),
 vcap AS (SELECT g.scenario, g.region, g.sector, g.subsector, g.technology, g.period,
-                {strict(f'g.value / {KWH_EJ} / {H} / NULLIF(f.capacity_factor, 0)')} AS capacity
+                {strict(f'g.value / {KWH_EJ} / {H} / f.capacity_factor')} AS capacity
          FROM upd_gen g LEFT JOIN cf_all f USING (scenario, region, sector, subsector, technology,
                                                   period)
          GROUP BY 1, 2, 3, 4, 5, 6),
@@ -286,7 +286,7 @@ grid AS (SELECT s.scenario, s.region, r.learning_component, r.learning_rate, yy.
          CROSS JOIN {YEARS_VALUES}),
 comp_cost AS (SELECT g.scenario, g.region, g.learning_component, g.update_year + 1 AS year,
                      CASE WHEN c.value = 0 THEN {DBL(0)} ELSE t.t0_cost *
-                       pow(c.value / NULLIF(t.t0_deployment, 0), log2(1.0 - g.learning_rate)) END
+                       pow(c.value / t.t0_deployment, log2(1.0 - g.learning_rate)) END
                        AS cost_adj
               FROM grid g LEFT JOIN cum_p c USING (scenario, region, learning_component, update_year)
               LEFT JOIN t0 t USING (region, learning_component)),
@@ -305,7 +305,7 @@ upd_d AS (SELECT t.*, coalesce(n.nonlearning_cap, 0) AS nonlearning_cap,
 upd_adj AS (SELECT d.scenario, d.region, d.sector, d.subsector, d.technology,
                    'capital' AS input, d.year AS period,
                    (d.cost_adj + d.cal_adder + d.nonlearning_cap) * f.FCR / {H}
-                     / NULLIF(c.capacity_factor, 0) / {KWH_GJ} AS adj_cost_new
+                     / c.capacity_factor / {KWH_GJ} AS adj_cost_new
             FROM upd_d d LEFT JOIN cf_all c ON c.scenario = d.scenario AND c.region = d.region
             AND c.sector = d.sector AND c.subsector = d.subsector AND c.technology = d.technology
             AND c.period = d.year
@@ -323,7 +323,7 @@ q2r AS (SELECT scenario, region, sector, subsector, technology, year, sum(value)
 cap_new AS (SELECT g.scenario, g.region, g.year, g.sector, g.subsector,
                    {case_rules('g.technology', (('gear_storage', 'gear_storage'), ('gear', 'gear'), ('bolt', 'bolt'), ('ring \\(conv CCS', 'ring CCS'), ('CCS', 'other CCS')))} AS technology,
                    'GW' AS units,
-                   {strict(f'g.value / {KWH_EJ} / {H} / NULLIF(f.value, 0) * 1e-6')} AS capacity
+                   {strict(f'g.value / {KWH_EJ} / {H} / f.value * 1e-6')} AS capacity
             FROM q2r g LEFT JOIN q3 f USING (year, region, technology, scenario)
             WHERE {rx('g.technology', 'gear|bolt|ring|rooftop|CCS')}
             AND NOT {rx('g.technology', 'water|conv\\)')}
@@ -359,7 +359,7 @@ AND NOT {rx('technology', 'water|offshore')}"""
 CAP_INSTALLED = f"""SELECT g.scenario, g.region, g.year, g.sector, g.subsector,
        {case_rules('g.technology', (('gear_storage', 'gear_storage'), ('gear', 'gear'), ('bolt', 'bolt'), ('ring \\(conv CCS', 'ring CCS'), ('CCS', 'other CCS')))} AS technology,
        'GW' AS units,
-       {strict(f'g.value / {KWH_EJ} / {H} / NULLIF(f.value, 0) * 1e-6')} AS capacity
+       {strict(f'g.value / {KWH_EJ} / {H} / f.value * 1e-6')} AS capacity
 FROM q5s g LEFT JOIN q3 f USING (year, region, technology, scenario)
 WHERE {rx('g.technology', 'gear|bolt|ring|rooftop|CCS')} AND NOT {rx('g.technology', 'water|conv\\)')}
 GROUP BY 1, 2, 3, 4, 5, 6, 7"""

@@ -23,13 +23,29 @@ def test_strict_cumsum_stays_missing(spark):  # T2
     assert out == [("a", 1, 1.0), ("a", 2, None), ("a", 3, None), ("b", 1, 4.0)]
 
 
-def test_zero_capacity_factor_gives_missing_capacity(spark):  # T3
+def test_zero_capacity_factor_gives_infinite_capacity(spark):  # T3
     from expcurve.operators.capacity import capacity_expr
 
-    df = spark.createDataFrame([(1.0, 0.0), (1.0, None), (1.0, 1.0)], "g double, cf double")
+    df = spark.createDataFrame([(1.0, 0.0), (1.0, None), (1.0, 1.0), (0.0, 0.0), (None, 0.0)], "g double, cf double")
     out = [r[0] for r in df.select(capacity_expr(F.col("g"), F.col("cf"))).collect()]
-    assert out[0] is None and out[1] is None
+    assert out[0] == float("inf") and out[1] is None and out[4] is None
     assert out[2] == pytest.approx(31709791.98, rel=1e-9)   # 1 EJ at cf 1
+    assert out[3] != out[3]
+
+
+def test_infinite_capacity_ends_a_components_costs(spark):  # T3
+    from expcurve.operators.capacity import cumulative_deployment
+    from expcurve.operators.learning import lag_cost, learning_curve
+
+    cap = spark.createDataFrame([("S", "R", "c", 2015, 4.0), ("S", "R", "c", 2020, float("inf")), ("S", "R", "c", 2025, 1.0),
+                                 ("S", "R", "c", 2030, 1.0)],
+                                "scenario string, region string, learning_component string, year int, capacity double")
+    rates = spark.createDataFrame([("R", "c", 0.5)], "region string, learning_component string, learning_rate double")
+    t0 = spark.createDataFrame([("R", "c", 8.0, 2.0)],
+                               "region string, learning_component string, t0_cost double, t0_deployment double")
+    learned = learning_curve(cumulative_deployment(cap), rates, t0)
+    assert rows(learned, "year", "learned_cost") == [(2015, 4.0), (2020, 0.0), (2025, 0.0), (2030, 0.0)]
+    assert lag_cost(learned).count() == 0       # no cost but the first year's, which has no year to lag into
 
 
 def test_sum_na_rm_all_missing_is_zero(spark):  # T4

@@ -1,4 +1,4 @@
-"""Every registered query against its DuckDB oracle on the smallest test
+"""Every query of the core catalog against its DuckDB oracle on the smallest test
 data (the driver runs the same comparison at sf0.01)."""
 
 import math
@@ -38,7 +38,8 @@ def con():
 
 
 def test_every_query_matches_oracle(spark, con):
-    from __spark_entry__ import oracle_sql, queries
+    from expcurve.plans.catalog import queries
+    from oracle_queries import oracle_sql
 
     sql = oracle_sql()
     qs = queries()

@@ -14,7 +14,7 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_physical_plans_are_scale_safe(spark):
-    from __spark_entry__ import queries
+    from expcurve.plans.catalog import queries
 
     bad = {}
     for name, fn in queries().items():
@@ -32,7 +32,7 @@ def formatted(spark, df) -> str:
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_stored_query_filters_reach_the_scan(spark):
-    from __spark_entry__ import queries
+    from expcurve.plans.catalog import queries
 
     plan = formatted(spark, queries()["new_vintage_generation"](spark, SF))
     assert "StringContains(sector,elec_)" in plan and "Not(StringContains(sector,water_td))" in plan

@@ -57,3 +57,13 @@ def test_cost_write_back_replaces_one_period(spark, tmp_path):
     write_cost_updates(spark.createDataFrame([("S", "USA", 2025, "capital", 9.0)], k), path)
     got = rows(spark.read.parquet(path), "period", "adjusted_cost")
     assert got == [(2020, 1.0), (2025, 9.0)]
+
+
+def test_cost_updates_of_one_region_keep_the_others(spark, tmp_path):
+    k = "scenario string, region string, period int, input string, adjusted_cost double"
+    path = str(tmp_path / "costs")
+    base = spark.createDataFrame([("S", r, 2025, "capital", 2.0) for r in ("USA", "EU")], k)
+    write_cost_updates(base, path)
+    for region, cost in (("USA", 20.0), ("EU", 30.0)):
+        write_cost_updates(spark.createDataFrame([("S", region, 2025, "capital", cost)], k), path)
+    assert rows(spark.read.parquet(path), "region", "adjusted_cost") == [("EU", 30.0), ("USA", 20.0)]
