@@ -86,9 +86,13 @@ def _filtered(df: DataFrame, include: str | None, exclude: str | None) -> DataFr
 
 
 def _cap_factor_4keys(cf_query: DataFrame) -> DataFrame:
-    """Q3 output keyed by (year, region, technology, scenario)."""
-    return cf_query.select("year", "region", "technology", "scenario",
-                           F.col("value").alias("cap_factor"))
+    """Q3 output keyed by (year, region, technology, scenario).  The match
+    ignores sector and subsector; a technology name that two of them share
+    would count its capacity twice and fails the job instead."""
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(
+        "capacity factor: a technology name stands for several sectors or subsectors")).cast("double"))
+    return (cf_query.groupBy("year", "region", "technology", "scenario")
+            .agg(once.otherwise(F.max("value")).alias("cap_factor")))
 
 
 def _capacity_by_category(df: DataFrame, cf_query: DataFrame, value_col: str,

@@ -36,16 +36,24 @@ def _with_cap_factor(costs: DataFrame, cf_q3: DataFrame) -> DataFrame:
     return costs.join(small(cf), list(COST_KEYS), "left")
 
 
-def overnight_cost(costs: DataFrame, cf_q3: DataFrame, fcr: DataFrame) -> DataFrame:
+def overnight_cost(costs: DataFrame, cf_q3: DataFrame, fcr: DataFrame,
+                   keep_unmatched: bool = True) -> DataFrame:
     """Overnight capital cost of the technologies that have a fixed
-    charge rate.  The original right-joins the FCR table; its unmatched
-    rows (no cost at all) are dropped here, as no later step can use them."""
-    j = _with_cap_factor(costs, cf_q3).join(
-        small(fcr.select("region", "sector", "subsector", "technology", "FCR")),
-        ["region", "sector", "subsector", "technology"], "inner")
-    return j.select("scenario", "region", "sector", "subsector", "technology", "year",
-                    overnight_expr(F.col("value"), F.col("FCR"), F.col("cap_factor"))
-                    .alias("cap_cost"))
+    charge rate.  A rate without any cost row stays as a row with missing
+    scenario, year and cost; ``keep_unmatched=False`` leaves these out, for
+    joins by scenario that no such row can meet."""
+    keys = ["region", "sector", "subsector", "technology"]
+    rates = fcr.select(*keys, "FCR")
+    j = _with_cap_factor(costs, cf_q3).join(small(rates), keys, "inner")
+    out = j.select("scenario", "region", "sector", "subsector", "technology", "year",
+                   overnight_expr(F.col("value"), F.col("FCR"), F.col("cap_factor"))
+                   .alias("cap_cost"))
+    if not keep_unmatched:
+        return out
+    # the fact side is reduced to its keys first: it is never the preserved side of a join
+    priced = costs.groupBy(*keys).agg(F.lit(True).alias("priced"))
+    rest = rates.select(*keys).join(priced, keys, "left_anti")
+    return out.unionByName(rest, allowMissingColumns=True)
 
 
 def nonlearning_storage(costs: DataFrame, cf_q3: DataFrame, fcr: float = K.DEFAULT_FCR,

@@ -106,7 +106,7 @@ def run_calibration(gen_q1: DataFrame, cf_q3: DataFrame, cost_q4: DataFrame, par
                                       params["t0_cost_deployment"], base_year, years)
     tech = L.technology_cost(learned, params["learning_map"], missing="ignore")
     costs = P.capital_costs(cost_q4)
-    overnight = P.overnight_cost(costs, cf_q3, params["tech_FCR"])
+    overnight = P.overnight_cost(costs, cf_q3, params["tech_FCR"], keep_unmatched=False)
     nonlearning = P.nonlearning_all(costs, cf_q3, storage_kw, ccs_kw)
     comparison = cost_comparison(tech, overnight, nonlearning)
     adders = calibration_adders(comparison, nonlearning, adder_from)

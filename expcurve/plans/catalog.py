@@ -6,6 +6,7 @@ SQL oracle can be compared value by value."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from ..sources import queries as Q
 from ..sources.params import read_param_csv
 from ..sources.scenarios import load_scenarios, write_scenarios
 from ..sources import testdata as TD
+from ..sources.xmldb import flatten_model_output, write_model_output
 from . import calibration as CAL
 from . import results as R
 from . import update as U
@@ -153,6 +155,15 @@ class Ctx:
         return self.round_trip("scenario_runs", lambda p: write_scenarios(self.d.outputs, p),
                                lambda p: load_scenarios(self.d.spark, runs(p)))
 
+    def xml_table(self, name: str) -> DataFrame:
+        """A table flattened from the XML of all scenarios."""
+        def read(path: str) -> DataFrame:
+            parts = [flatten_model_output(self.d.spark, f"{path}/scenario={s}", s)[name] for s in K.SCENARIOS]
+            return reduce(DataFrame.unionByName, parts)
+
+        return self.round_trip("model_xml", lambda p: write_model_output(
+            {t: getattr(self.d, t) for t in ("outputs", "input_costs", "capacity_factors", "market_prices")}, p), read)
+
     def cost_write_back(self) -> DataFrame:
         merged = U.merge_costs(self.update_inputs()[1], self.cost_update(),
                                [y + TD.PERIOD_STEP for y in self.years])
@@ -233,6 +244,11 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "non_learning_capital_csv": lambda c: c.param_file("non_learning_capital"),
     "cal_adders_csv": lambda c: c.param_file("cal_adders"),
     "scenario_runs": lambda c: c.scenario_runs(),
+    # The model tables written as XML and flattened back
+    "xml_outputs": lambda c: c.xml_table("outputs"),
+    "xml_input_costs": lambda c: c.xml_table("input_costs"),
+    "xml_capacity_factors": lambda c: c.xml_table("capacity_factors"),
+    "xml_market_prices": lambda c: c.xml_table("market_prices"),
     "cost_write_back": lambda c: c.cost_write_back(),
     # results D16-D26
     "capital_cost_series": lambda c: P.capital_cost_series(
@@ -252,6 +268,13 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "diff_pair": lambda c: R.diff_pair(c.gen_by_fuel()),
     "carbon_price": lambda c: R.carbon_price(c.q6(), TD.CO2_MARKET, TD.CHART_YEARS),
     "chart_generation": lambda c: R.chart_table(c.gen_by_fuel(), TD.CHART_YEARS),
+    "chart_capacity_new": lambda c: R.chart_table(c.capacity_new(), TD.CHART_YEARS, TD.CAPACITY_LEVELS),
+    "chart_capacity_cumulative": lambda c: R.chart_table(
+        C.capacity_cumulative(c.capacity_new(), TD.BASE_YEAR), TD.CHART_YEARS, TD.CAPACITY_LEVELS),
+    "chart_capacity_installed": lambda c: R.chart_table(
+        C.capacity_installed(c.q5(), c.q3(), TD.CAPACITY_INCLUDE_REGEX, TD.CAPACITY_EXCLUDE_REGEX,
+                             TD.CAPACITY_RULES), TD.CHART_YEARS, TD.CAPACITY_LEVELS),
+    "chart_generation_diff": lambda c: R.chart_table(R.diff_pair(c.gen_by_fuel()), TD.CHART_YEARS),
 }
 
 

@@ -94,6 +94,7 @@ def main(argv=None) -> None:
     sub = ap.add_subparsers(dest="job", required=True)
     c = sub.add_parser("calibrate")
     c.add_argument("flat_root"), c.add_argument("params_root"), c.add_argument("out_root")
+    c.add_argument("--scenario", default=K.REFERENCE_SCENARIO)
     u = sub.add_parser("update")
     u.add_argument("flat_root"), u.add_argument("params_root"), u.add_argument("out_path")
     u.add_argument("--current-year", type=int)
@@ -104,7 +105,7 @@ def main(argv=None) -> None:
     a = ap.parse_args(argv)
     spark = get_session(f"expcurve-{a.job}")
     if a.job == "calibrate":
-        calibrate(spark, a.flat_root, a.params_root, a.out_root, region=a.region)
+        calibrate(spark, a.flat_root, a.params_root, a.out_root, a.scenario, a.region)
     elif a.job == "update":
         update(spark, a.flat_root, a.params_root, a.out_path, a.current_year, region=a.region)
     else:

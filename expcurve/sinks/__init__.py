@@ -11,19 +11,13 @@ PARAM_KEY_ORDER = ("region", "year", "sector", "subsector", "technology")
 
 
 def write_param_csv(df: DataFrame, path: str, order_by: Sequence[str] = PARAM_KEY_ORDER) -> None:
-    """K1 / K2: a small parameter table as one CSV file with a header, rows
-    sorted by their keys (the file is read back as a parameter table).
-    Only for tables of parameter size: the sort ends in one partition."""
-    (df.orderBy(*order_by).coalesce(1).write.mode("overwrite")
+    """K1 / K2: a parameter table as CSV with headers, rows sorted by their
+    keys over the files.  Adaptive execution makes one file of a small table;
+    a large one stays in as many sorted files as the sort has tasks."""
+    (df.orderBy(*order_by).write.mode("overwrite")
        .option("header", True).option("nullValue", "NA").csv(path))
 
 
-def write_param_parquet(df: DataFrame, path: str,
-                        partition_by: Sequence[str] = ("region",)) -> None:
-    """K1 / K2 at scale (many scenarios x regions): Parquet by region."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-
-
 def write_cost_updates(merged: DataFrame, path: str,
                        partition_by: Sequence[str] = ("scenario", "region", "period")) -> None:
     """K3: the merged next-period cost rows replace exactly the (scenario,

@@ -1,122 +1,144 @@
-"""Model-output XML -> the flat fact tables.
+"""Model-output XML -> the flat fact tables (S4), and back.
 
 The stored queries address elements by their ``type`` attribute, whatever
 the element's name (a sector may be a ``supplysector`` or a
-``pass-through-sector``, a technology a ``stub-technology`` ...).  The XML
-source reads one ``region`` element per row with an explicit schema that
-has one array field per known element name; the levels are exploded and the
-alternatives unioned, keeping rows whose ``type`` matches.  Flatten once,
-write Parquet (partitioned by scenario and region), and run every query on
-the flat tables.
+``pass-through-sector``, a technology a ``stub-technology`` ...).  No list of
+names is kept: one pass over the files infers the structure of the
+``region`` elements, and every child with a ``type`` attribute is a
+candidate for its level.  The candidates of one level are brought to one
+shape and concatenated, so each table is one scan of the files with one
+explode per level.  Flatten once, write Parquet (partitioned by scenario and
+region), and run every query on the flat tables.
+
+Text that is not well-formed, or not a number where one belongs, fails the
+job.  An absent or empty number is missing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, StringType, StructField,
-                               StructType)
-
-
-@dataclass(frozen=True)
-class ElementNames:
-    """Element names that may carry each level (matched again by @type)."""
-    sector: Sequence[str] = ("supplysector", "pass-through-sector", "sector")
-    subsector: Sequence[str] = ("subsector", "tranSubsector")
-    technology: Sequence[str] = ("technology", "stub-technology", "intermittent-technology",
-                                 "pass-through-technology")
-    output: Sequence[str] = ("output-primary", "output-secondary", "output")
-    input: Sequence[str] = ("input-capital", "minicam-energy-input", "input")
-    output_value: str = "physical-output"
-    input_value: str = "price-paid"
-    capacity_factor: str = "capacity-factor"
-
-
-def _f(name: str, t) -> StructField:
-    return StructField(name, t, True)
-
-
-def _named(extra: list[StructField]) -> StructType:
-    return StructType([_f("_name", StringType()), _f("_type", StringType()), *extra])
-
-
-def _values(attr: str) -> ArrayType:
-    return ArrayType(StructType([_f(attr, IntegerType()), _f("_VALUE", DoubleType())]))
-
-
-def region_schema(names: ElementNames = ElementNames()) -> StructType:
-    out_t = _named([_f(names.output_value, _values("_vintage"))])
-    in_t = _named([_f(names.input_value, _values("_vintage"))])
-    tech_t = _named([_f("_year", IntegerType()), _f(names.capacity_factor, DoubleType()),
-                     *[_f(n, ArrayType(out_t)) for n in names.output],
-                     *[_f(n, ArrayType(in_t)) for n in names.input]])
-    sub_t = _named([_f(n, ArrayType(tech_t)) for n in names.technology])
-    sec_t = _named([_f(n, ArrayType(sub_t)) for n in names.subsector])
-    return StructType([_f("_name", StringType()),
-                       *[_f(n, ArrayType(sec_t)) for n in names.sector]])
-
-
-def market_schema() -> StructType:
-    return StructType([_f("_name", StringType()), _f("price", _values("_year"))])
-
-
-def _explode_level(df: DataFrame, keep: list[str], tags: Sequence[str], type_name: str,
-                   alias: str) -> DataFrame:
-    """One row per child element of any of ``tags`` whose @type matches."""
-    parts = [df.select(*keep, F.explode(F.col(t)).alias(alias)) for t in tags]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col(f"{alias}._type") == F.lit(type_name))
-
-
-def technologies(spark: SparkSession, path: str, scenario: str,
-                 names: ElementNames = ElementNames()) -> DataFrame:
-    regions = (spark.read.format("xml").option("rowTag", "region")
-               .schema(region_schema(names)).load(path))
-    r = regions.select(F.lit(scenario).alias("scenario"), F.col("_name").alias("region"),
-                       *[F.col(t) for t in names.sector])
-    s = _explode_level(r, ["scenario", "region"], names.sector, "sector", "s")
-    s = s.select("scenario", "region", F.col("s._name").alias("sector"),
-                 *[F.col(f"s.`{t}`").alias(t) for t in names.subsector])
-    ss = _explode_level(s, ["scenario", "region", "sector"], names.subsector, "subsector", "ss")
-    ss = ss.select("scenario", "region", "sector", F.col("ss._name").alias("subsector"),
-                   *[F.col(f"ss.`{t}`").alias(t) for t in names.technology])
-    t = _explode_level(ss, ["scenario", "region", "sector", "subsector"], names.technology,
-                       "technology", "t")
-    return t.select("scenario", "region", "sector", "subsector",
-                    F.col("t._name").alias("technology"), F.col("t._year").alias("period"),
-                    F.col("t").alias("t"))
-
-
-def _values_table(tech: DataFrame, tags: Sequence[str], type_name: str, value_tag: str,
-                  name_col: str) -> DataFrame:
-    keys = ["scenario", "region", "sector", "subsector", "technology", "period"]
-    parts = [tech.select(*keys, F.explode(F.col(f"t.`{tg}`")).alias("e")) for tg in tags]
-    e = parts[0]
-    for p in parts[1:]:
-        e = e.unionByName(p)
-    e = e.where(F.col("e._type") == F.lit(type_name))
-    v = e.select(*keys, F.col("e._name").alias(name_col),
-                 F.explode(F.col(f"e.`{value_tag}`")).alias("v"))
-    return v.select(*keys, name_col, F.col("v._vintage").alias("year"),
-                    F.col("v._VALUE").alias("value"))
-
-
-def flatten_model_output(spark: SparkSession, path: str, scenario: str,
-                         names: ElementNames = ElementNames()) -> dict[str, DataFrame]:
+from pyspark.sql.types import ArrayType, DataType, StructType
+
+OUTPUT_VALUE = "physical-output"
+INPUT_VALUE = "price-paid"
+CAPACITY_FACTOR = "capacity-factor"
+
+_ENTRY = "struct<name: string, values: array<struct<year: int, value: double>>>"
+_TECHNOLOGY = f"struct<name: string, period: int, capacity_factor: double, entries: array<{_ENTRY}>>"
+_SUBSECTOR = f"struct<name: string, children: array<{_TECHNOLOGY}>>"
+_SECTOR = f"struct<name: string, children: array<{_SUBSECTOR}>>"
+MARKETS = "_name string, price array<struct<_year: int, _VALUE: double>>"
+
+
+def _read(spark: SparkSession, tag: str):
+    return spark.read.format("xml").option("rowTag", tag).option("mode", "FAILFAST")
+
+
+def _field(e: Column, t: StructType, name: str, cast: str = "string") -> Column:
+    """A field of an element as text or number; missing when no element of the files has it."""
+    if name not in t.names:
+        return F.lit(None).cast(cast)
+    c, kind = e[name], t[name].dataType
+    if isinstance(kind, StructType):            # text of an element that has attributes too
+        c = c["_VALUE"] if "_VALUE" in kind.names else F.lit(None).cast("string")
+    return c if cast == "string" else F.when(F.trim(c) != "", F.trim(c).cast(cast))
+
+
+def _as_array(e: Column, kind: DataType) -> tuple[Column, DataType]:
+    """A field that may hold one element or several, as an array of elements."""
+    if isinstance(kind, ArrayType):
+        return e, kind.elementType
+    return F.when(e.isNotNull(), F.array(e)), kind
+
+
+def _shaped(build: Callable[[Column, StructType], Column], kind: StructType, shape: str):
+    return lambda c: build(c, kind).cast(shape)
+
+
+def _typed(e: Column, t: StructType, type_name: str, build: Callable[[Column, StructType], Column],
+           shape: str) -> Column:
+    """All children of ``e`` with ``@type = type_name``, in one shape."""
+    parts = []
+    for f in t.fields:
+        children, kind = _as_array(e[f.name], f.dataType)
+        if isinstance(kind, StructType) and "_type" in kind.names:
+            own = F.filter(children, lambda c: c["_type"] == F.lit(type_name))
+            parts.append(F.transform(own, _shaped(build, kind, shape)))
+    if not parts:
+        return F.array().cast(f"array<{shape}>")
+    return F.flatten(F.filter(F.array(*parts), lambda a: a.isNotNull()))
+
+
+def _values(e: Column, t: StructType, value_tag: str) -> Column:
+    """(year, value) of the value elements of an output or input."""
+    shape = "array<struct<year: int, value: double>>"
+    if value_tag not in t.names:
+        return F.array().cast(shape)
+    values, kind = _as_array(e[value_tag], t[value_tag].dataType)
+    if isinstance(kind, StructType):
+        return F.transform(values, lambda v: F.struct(_field(v, kind, "_vintage", "int").alias("year"),
+                                                      _field(v, kind, "_VALUE", "double").alias("value")))
+    number = lambda v: F.when(F.trim(v) != "", F.trim(v).cast("double"))
+    return F.transform(values, lambda v: F.struct(F.lit(None).cast("int").alias("year"), number(v).alias("value")))
+
+
+def _named(child_type: str, build, shape: str):
+    return lambda e, t: F.struct(_field(e, t, "_name").alias("name"),
+                                 _typed(e, t, child_type, build, shape).alias("children"))
+
+
+def read_regions(spark: SparkSession, path: str) -> DataFrame:
+    """The ``region`` elements as they stand, all values as text."""
+    return _read(spark, "region").option("inferSchema", False).load(path)
+
+
+def technologies(regions: DataFrame, scenario: str, entry_type: str | None = None, value_tag: str = "") -> DataFrame:
+    """One row per technology element: its keys, capacity factor and the
+    (name, values) of its children of ``entry_type``."""
+
+    def entry(e: Column, t: StructType) -> Column:
+        return F.struct(_field(e, t, "_name").alias("name"), _values(e, t, value_tag).alias("values"))
+
+    def technology(e: Column, t: StructType) -> Column:
+        entries = (F.array().cast(f"array<{_ENTRY}>") if entry_type is None
+                   else _typed(e, t, entry_type, entry, _ENTRY))
+        return F.struct(_field(e, t, "_name").alias("name"), _field(e, t, "_year", "int").alias("period"),
+                        _field(e, t, CAPACITY_FACTOR, "double").alias("capacity_factor"), entries.alias("entries"))
+
+    t = regions.schema
+    r = regions.select(F.struct("*").alias("r"))
+    subsector = _named("technology", technology, _TECHNOLOGY)
+    sector = _named("subsector", subsector, _SUBSECTOR)
+    s = r.select(_field(F.col("r"), t, "_name").alias("region"),
+                 F.explode(_typed(F.col("r"), t, "sector", sector, _SECTOR)).alias("s"))
+    ss = s.select("region", F.col("s.name").alias("sector"), F.explode("s.children").alias("ss"))
+    tech = ss.select("region", "sector", F.col("ss.name").alias("subsector"), F.explode("ss.children").alias("t"))
+    return tech.select(F.lit(scenario).alias("scenario"), "region", "sector", "subsector",
+                       F.col("t.name").alias("technology"), F.col("t.period").alias("period"),
+                       F.col("t.capacity_factor").alias("capacity_factor"), F.col("t.entries").alias("entries"))
+
+
+_KEYS = ("scenario", "region", "sector", "subsector", "technology", "period")
+
+
+def _values_table(tech: DataFrame, name_col: str) -> DataFrame:
+    e = tech.select(*_KEYS, F.explode("entries").alias("e"))
+    v = e.select(*_KEYS, F.col("e.name").alias(name_col), F.explode("e.values").alias("v"))
+    return v.select(*_KEYS, name_col, F.col("v.year").alias("year"), F.col("v.value").alias("value"))
+
+
+def flatten_model_output(spark: SparkSession, path: str, scenario: str) -> dict[str, DataFrame]:
     """``outputs``, ``input_costs``, ``capacity_factors`` and
     ``market_prices`` of one scenario's XML output."""
-    tech = technologies(spark, path, scenario, names)
-    outputs = _values_table(tech, names.output, "output", names.output_value, "output")
-    costs = _values_table(tech, names.input, "input", names.input_value, "input")
-    cf = tech.select("scenario", "region", "sector", "subsector", "technology", "period",
-                     F.col(f"t.`{names.capacity_factor}`").alias("value"))
-    markets = (spark.read.format("xml").option("rowTag", "market").schema(market_schema())
-               .load(path))
+    regions = read_regions(spark, path)
+    outputs = _values_table(technologies(regions, scenario, "output", OUTPUT_VALUE), "output")
+    costs = _values_table(technologies(regions, scenario, "input", INPUT_VALUE), "input")
+    cf = technologies(regions, scenario).where("capacity_factor is not null").select(
+        *_KEYS, F.col("capacity_factor").alias("value"))
+    markets = _read(spark, "market").schema(MARKETS).load(path)
     prices = markets.select(F.lit(scenario).alias("scenario"), F.col("_name").alias("market"),
                             F.explode("price").alias("p"))
     prices = prices.select("scenario", "market", F.col("p._year").alias("year"),
@@ -125,6 +147,39 @@ def flatten_model_output(spark: SparkSession, path: str, scenario: str,
             "market_prices": prices}
 
 
+def write_model_output(tables: dict[str, DataFrame], root: str) -> None:
+    """The flat tables as model-output XML, one folder per scenario.
+
+    Each ``region`` element holds one entry of one technology, so no row
+    grows with the size of a region; flattening joins them again by key.
+    """
+    tech = F.struct(F.lit("technology").alias("_type"), F.col("technology").alias("_name"),
+                    F.col("period").alias("_year"), F.col("capacity_factor").alias(CAPACITY_FACTOR),
+                    F.col("output-primary"), F.col("input-cost"))
+    sub = F.struct(F.lit("subsector").alias("_type"), F.col("subsector").alias("_name"), tech.alias("technology"))
+    sec = F.struct(F.lit("sector").alias("_type"), F.col("sector").alias("_name"), sub.alias("subsector"))
+    rooftop = F.col("sector") == F.lit("elect_td_bld")
+    rows = (_entries(tables["outputs"], "output", "output-primary", OUTPUT_VALUE)
+            .unionByName(_entries(tables["input_costs"], "input", "input-cost", INPUT_VALUE), allowMissingColumns=True)
+            .unionByName(tables["capacity_factors"].withColumnRenamed("value", "capacity_factor"),
+                         allowMissingColumns=True))
+    regions = rows.select("scenario", F.col("region").alias("_name"),
+                          F.when(~F.coalesce(rooftop, F.lit(False)), sec).alias("supplysector"),
+                          F.when(rooftop, sec).alias("pass-through-sector"))
+    prices = (tables["market_prices"].groupBy("scenario", F.col("market").alias("_name"))
+              .agg(F.collect_list(F.struct(F.col("year").alias("_year"), F.col("value").alias("_VALUE"))).alias("price")))
+    for tag, df, mode in (("region", regions, "overwrite"), ("market", prices, "append")):
+        (df.write.format("xml").option("rowTag", tag).option("rootTag", "world").mode(mode)
+           .option("partitionOverwriteMode", "static").partitionBy("scenario").save(root))
+
+
+def _entries(df: DataFrame, name_col: str, tag: str, value_tag: str) -> DataFrame:
+    values = F.collect_list(F.struct(F.col("year").alias("_vintage"), F.col("value").alias("_VALUE")))
+    g = df.groupBy(*_KEYS, name_col).agg(values.alias("v"))
+    return g.select(*_KEYS, F.struct(F.lit(name_col).alias("_type"), F.col(name_col).alias("_name"),
+                                     F.col("v").alias(value_tag)).alias(tag))
+
+
 def write_flat_tables(tables: dict[str, DataFrame], root: str) -> None:
     """Persist the flat tables; adding a scenario again replaces it only."""
     for name, df in tables.items():

@@ -3,8 +3,8 @@
 The model solves one period at a time and the update must run after each:
 generation output of the solved period arrives as new files; every
 micro-batch (1) adds them to the vintage history, (2) runs the cost update
-(D13) for the periods that just arrived over the whole history, and (3)
-writes the merged next-period costs back (D14 + K3).
+(D13) over the whole history for every known period from the earliest one that
+just arrived (rows may come late), and (3) writes the merged next-period costs back (D14 + K3).
 
 Replays are harmless: history is written per batch id and the cost table by
 (scenario, period) partition, both with dynamic overwrite, so a batch that
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import constants as K
 from ..functions.nasafe import distinct_values
@@ -44,14 +45,18 @@ class UpdateJob:
 
     def run_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        periods = distinct_values(batch, "period")
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite")
               .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id")
               .parquet(self.history_path))
-        current = [p for p in periods if p >= self.base_year]
-        if not current:
+        stored = spark.read.schema(StructType([*batch.schema.fields, StructField("batch_id", LongType())]))
+        history = stored.parquet(self.history_path)
+        # each period's cost sums all earlier vintages: late rows change every period from theirs on
+        first = history.where((F.col("batch_id") == batch_id) & (F.col("period") >= self.base_year)
+                              ).agg(F.min("period")).first()[0]
+        if first is None:
             return
-        history = spark.read.parquet(self.history_path).drop("batch_id")
+        current = distinct_values(history.where(F.col("period") >= F.lit(first)), "period")
+        history = history.drop("batch_id")
         gen_all, costs_all, cf_all = U.update_inputs(history, self.read_input_costs(),
                                                      self.read_capacity_factors(),
                                                      self.params["cooling_tech_map"])

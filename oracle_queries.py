@@ -216,7 +216,7 @@ tech_strict AS (SELECT l.scenario, l.region, l.year, m.sector, m.subsector, m.te
                 GROUP BY 1, 2, 3, 4, 5, 6),
 overnight AS (SELECT c.scenario, c.region, c.sector, c.subsector, c.technology, c.year,
                      c.value / f.FCR * {H} * c.cap_factor * {KWH_GJ} AS cap_cost
-              FROM costs_cf c JOIN tech_fcr f USING (region, sector, subsector, technology)),
+              FROM costs_cf c RIGHT JOIN tech_fcr f USING (region, sector, subsector, technology)),
 nl_storage_long AS (SELECT scenario, region, year, sector, subsector,
                            split_part(technology, '_', 1) AS technology,
                            coalesce(string_split(technology, '_')[2], 'no_storage') AS storage,
@@ -364,6 +364,28 @@ FROM q5s g LEFT JOIN q3 f USING (year, region, technology, scenario)
 WHERE {rx('g.technology', 'gear|bolt|ring|rooftop|CCS')} AND NOT {rx('g.technology', 'water|conv\\)')}
 GROUP BY 1, 2, 3, 4, 5, 6, 7"""
 
+CAP_LEVELS = ("gear", "gear_storage", "bolt", "ring", "ring CCS", "other CCS", "rooftop_ring")
+
+DIFF_PAIR = (
+    "SELECT *, CAST(CASE scenario WHEN 'NZ_exogenous' THEN 1 WHEN "
+    "'diff_NZ_endogenous_exogenous' THEN 2 END AS INTEGER) AS scenario_ord FROM ("
+    f"SELECT region, technology, CCS, year, technology_ord, endo AS {ENDO}, '{EXO}' AS scenario,"
+    " exo AS value FROM fuel_w2 UNION ALL "
+    f"SELECT region, technology, CCS, year, technology_ord, endo, "
+    "'diff_NZ_endogenous_exogenous', endo - exo FROM fuel_w2)")
+
+CAP_CUMULATIVE = (
+    "SELECT *, CASE WHEN count(capacity) OVER w = count(*) OVER w THEN sum(capacity) OVER w "
+    "END AS cum_cap FROM cap_new WHERE year >= 1996 WINDOW w AS (PARTITION BY scenario, "
+    "region, sector, subsector, technology, units ORDER BY year ROWS BETWEEN UNBOUNDED "
+    "PRECEDING AND CURRENT ROW)")
+
+
+def chart(select: str, levels: tuple[str, ...] | None = None) -> str:
+    order = f", {ordinal('technology', levels)} AS technology_ord" if levels else ""
+    return f"SELECT *{order} FROM ({select}) WHERE year BETWEEN 1996 AND 2001"
+
+
 FINAL = {
     "learning_curve": ("SELECT * FROM lagged", ["learned_cost"]),
     "new_vintage_generation": ("SELECT * FROM q1", ["value"]),
@@ -427,6 +449,10 @@ FINAL = {
     "non_learning_capital_csv": ("SELECT * FROM ref_nl", ["nonlearning_cap"]),
     "cal_adders_csv": ("SELECT * FROM ref_ca", ["cal_adder"]),
     "scenario_runs": ("SELECT * FROM outputs", ["value"]),
+    "xml_outputs": ("SELECT * FROM outputs", ["value"]),
+    "xml_input_costs": ("SELECT * FROM input_costs", ["value"]),
+    "xml_capacity_factors": ("SELECT * FROM capacity_factors WHERE value IS NOT NULL", ["value"]),
+    "xml_market_prices": ("SELECT * FROM market_prices", ["value"]),
     "cost_write_back": (
         "SELECT c.region, c.sector, c.subsector, c.technology, c.input, c.year, "
         "coalesce(a.adj_cost_new, c.adjusted_cost) AS adjusted_cost, c.scenario, c.period "
@@ -440,11 +466,7 @@ FINAL = {
         f"AS scenario_label FROM ({SERIES}) WHERE year BETWEEN 1996 AND 2001 AND scenario IN "
         f"('{REF}', '{ENDO}'))", ["vintage", "value"]),
     "capacity_new": ("SELECT * FROM cap_new", ["capacity"]),
-    "capacity_cumulative": (
-        "SELECT *, CASE WHEN count(capacity) OVER w = count(*) OVER w THEN sum(capacity) OVER w "
-        "END AS cum_cap FROM cap_new WHERE year >= 1996 WINDOW w AS (PARTITION BY scenario, "
-        "region, sector, subsector, technology, units ORDER BY year ROWS BETWEEN UNBOUNDED "
-        "PRECEDING AND CURRENT ROW)", ["capacity", "cum_cap"]),
+    "capacity_cumulative": (CAP_CUMULATIVE, ["capacity", "cum_cap"]),
     "capacity_installed": (CAP_INSTALLED, ["capacity"]),
     "generation_by_fuel": ("SELECT * FROM fuel_o", ["value"]),
     "diff_to_reference": (
@@ -456,17 +478,14 @@ FINAL = {
         "UNION ALL "
         f"SELECT region, technology, CCS, year, technology_ord, '{ENDO}', endo - ref FROM fuel_w)",
         ["value"]),
-    "diff_pair": (
-        "SELECT *, CAST(CASE scenario WHEN 'NZ_exogenous' THEN 1 WHEN "
-        "'diff_NZ_endogenous_exogenous' THEN 2 END AS INTEGER) AS scenario_ord FROM ("
-        f"SELECT region, technology, CCS, year, technology_ord, endo AS {ENDO}, '{EXO}' AS scenario,"
-        " exo AS value FROM fuel_w2 UNION ALL "
-        f"SELECT region, technology, CCS, year, technology_ord, endo, "
-        "'diff_NZ_endogenous_exogenous', endo - exo FROM fuel_w2)",
-        [ENDO, "value"]),
+    "diff_pair": (DIFF_PAIR, [ENDO, "value"]),
     "carbon_price": ("SELECT * FROM q6 WHERE market = 'AMERICACO2' AND year BETWEEN 1996 AND 2001",
                      ["value"]),
-    "chart_generation": ("SELECT * FROM fuel_o WHERE year BETWEEN 1996 AND 2001", ["value"]),
+    "chart_generation": (chart("SELECT * FROM fuel_o"), ["value"]),
+    "chart_capacity_new": (chart("SELECT * FROM cap_new", CAP_LEVELS), ["capacity"]),
+    "chart_capacity_cumulative": (chart(CAP_CUMULATIVE, CAP_LEVELS), ["capacity", "cum_cap"]),
+    "chart_capacity_installed": (chart(CAP_INSTALLED, CAP_LEVELS), ["capacity"]),
+    "chart_generation_diff": (chart(DIFF_PAIR), [ENDO, "value"]),
 }
 
 

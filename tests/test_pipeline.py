@@ -6,6 +6,8 @@ factor, a component fed by two technologies, multiplier 2, cooling-level
 technologies, an unmapped technology, first-of-a-kind deployment, two
 scenarios and two regions."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,8 +218,13 @@ def test_update_with_own_adders_gives_back_exogenous_cost(facts, params, calibra
                      ).alias("m")
     o = costs_all.alias("o")
     j = m.join(o, ["scenario", "region", "sector", "subsector", "technology", "period", "input", "year"])
-    diffs = j.select((F.col("m.adjusted_cost") - F.col("o.adjusted_cost")).alias("d")).collect()
-    assert diffs and all(abs(r["d"]) < 1e-9 for r in diffs)
+    keys = ["scenario", "region", "sector", "subsector", "technology", "period"]
+    zero = cf_all.where("capacity_factor = 0").select(*keys, F.lit(True).alias("zero"))
+    diffs = (j.join(zero, keys, "left").select((F.col("m.adjusted_cost") - F.col("o.adjusted_cost")).alias("d"), "zero")
+             .collect())
+    assert diffs and all(abs(r["d"]) < 1e-9 for r in diffs if not r["zero"])
+    # a zero capacity factor makes the default cost zero; levelising it again divides by zero
+    assert not any(math.isfinite(r["d"]) for r in diffs if r["zero"])
     # and something was actually replaced (learning technologies with FCR)
     replaced = adj.where(f"scenario = '{REF}' and adj_cost_new is not null and period >= 2025")
     assert replaced.where("region = 'USA'").count() > 0
@@ -286,3 +293,27 @@ def test_capital_cost_series_and_carbon_price(spark, facts):
                                 (REF, "USAelec", 2020, 3.0)],
                                "scenario string, market string, year int, value double")
     assert rows(R.carbon_price(Q.market_price_query(mp)), "year", "value") == [(2020, 2.0)]
+
+
+def test_shared_technology_name_fails_capacity(spark):
+    """The capacity factor matches by name alone: a name of two sectors may not count twice."""
+    gen = spark.createDataFrame([("S", "USA", "electricity", "solar", "PV", 2020, 1.0)],
+                                "scenario string, region string, sector string, subsector string, technology string, "
+                                "year int, value double")
+    cf = gen.withColumn("value", F.lit(0.25))
+    assert C.capacity_new(gen, cf).count() == 1
+    with pytest.raises(Exception, match="several sectors"):
+        C.capacity_new(gen, cf.union(cf.withColumn("sector", F.lit("hydrogen")))).collect()
+
+
+def test_overnight_cost_keeps_unmatched_rates(spark):
+    costs = spark.createDataFrame([("S", "USA", 2020, "electricity", "solar", "PV", 1.5)],
+                                  "scenario string, region string, year int, sector string, subsector string, "
+                                  "technology string, value double")
+    cf = costs.withColumn("value", F.lit(0.25))
+    fcr = spark.createDataFrame([("USA", "electricity", "solar", "PV", 0.13), ("USA", "electricity", "wind", "wind", 0.13)],
+                                "region string, sector string, subsector string, technology string, FCR double")
+    got = {r["technology"]: r for r in P.overnight_cost(costs, cf, fcr).collect()}
+    assert got["PV"]["cap_cost"] > 0
+    assert got["wind"]["scenario"] is None and got["wind"]["year"] is None and got["wind"]["cap_cost"] is None
+    assert P.overnight_cost(costs, cf, fcr, keep_unmatched=False).count() == 1

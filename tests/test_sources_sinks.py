@@ -2,10 +2,12 @@
 
 import os
 
+import pytest
+
 from expcurve.sinks import write_cost_updates, write_param_csv
 from expcurve.sources.params import read_param_csv
 from expcurve.sources.scenarios import load_scenarios, write_scenarios
-from expcurve.sources.xmldb import flatten_model_output, write_flat_tables
+from expcurve.sources.xmldb import flatten_model_output, write_flat_tables, write_model_output
 from tests.conftest import FIXTURES, rows
 
 XML = os.path.join(FIXTURES, "model_output.xml")
@@ -24,6 +26,48 @@ def test_xml_flatten_matches_by_type(spark):
         ("USACO2", 2020, 10.0), ("USACO2", 2025, 25.0), ("USAelectricity", 2020, 5.0)]
 
 
+def test_xml_element_names_do_not_matter(spark, tmp_path):
+    """Any element name counts by its @type, single or repeated; other types are left alone."""
+    doc = """<scenario><world><region name="USA">
+      <odd-sector name="electricity" type="sector"><nesting-subsector name="s" type="subsector">
+        <new-tech name="T" type="technology" year="2020"><capacity-factor>0.5</capacity-factor>
+          <input-OM-fixed name="OM-fixed" type="input"><price-paid vintage="2020">2.5</price-paid></input-OM-fixed>
+          <input-capital name="capital" type="input"><price-paid vintage="2020">1.5</price-paid></input-capital>
+          <by-product name="heat" type="output"><physical-output vintage="2020">7</physical-output>
+            <physical-output vintage="2025"> </physical-output></by-product>
+          <other name="x" type="other"><physical-output vintage="2020">9</physical-output></other>
+        </new-tech></nesting-subsector></odd-sector>
+      <resource name="coal" type="resource"><subresource name="g" type="subresource"/></resource>
+    </region></world></scenario>"""
+    path = tmp_path / "model.xml"
+    path.write_text(doc)
+    t = flatten_model_output(spark, str(path), "S")
+    assert rows(t["input_costs"], "sector", "subsector", "technology", "period", "input", "year", "value") == [
+        ("electricity", "s", "T", 2020, "OM-fixed", 2020, 2.5), ("electricity", "s", "T", 2020, "capital", 2020, 1.5)]
+    assert sorted(map(tuple, t["outputs"].select("output", "year", "value").collect())) == [
+        ("heat", 2020, 7.0), ("heat", 2025, None)]
+    assert rows(t["capacity_factors"], "technology", "value") == [("T", 0.5)]
+    for name in t:                                  # one scan of the XML per table
+        plan = t[name]._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan xml") == 1
+
+
+def test_xml_damage_fails(spark, tmp_path):
+    path = tmp_path / "model.xml"
+    text = open(XML).read()
+    path.write_text(text.replace(">0.45<", ">none<"))
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        flatten_model_output(spark, str(path), "S")["outputs"].collect()
+
+
+def test_xml_round_trip(spark, tmp_path):
+    t = flatten_model_output(spark, XML, "Reference_exogenous")
+    write_model_output(t, str(tmp_path / "xml"))
+    back = flatten_model_output(spark, str(tmp_path / "xml" / "scenario=Reference_exogenous"), "Reference_exogenous")
+    for name in t:
+        assert rows(back[name]) == rows(t[name])
+
+
 def test_flat_tables_and_scenarios_replace_by_partition(spark, tmp_path):
     root = str(tmp_path / "flat")
     write_flat_tables(flatten_model_output(spark, XML, "A"), root)

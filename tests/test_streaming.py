@@ -54,3 +54,29 @@ def test_replayed_batch_is_idempotent(spark, params, tmp_path):
     job.run_batch(batch, 0)                         # the same batch again
     assert rows(spark.read.parquet(str(tmp_path / "costs"))) == first
     assert spark.read.parquet(str(tmp_path / "history")).count() == hist_n
+
+
+def test_late_rows_update_all_later_periods(spark, params, tmp_path):
+    """Vintages of 2015 that arrive after 2015, 2020 and 2025 change every cost from 2020 on."""
+    facts = build_facts(spark)
+    q1 = Q.new_vintage_generation(facts["outputs"], region=None)
+    q3 = Q.capacity_factor_query(facts["capacity_factors"], region=None)
+    q4 = Q.input_cost_query(facts["input_costs"], region=None)
+    cal = CAL.run_calibration(q1, q3, q4, params)
+    nl, ca = CAL.for_scenario(cal.nonlearning, REF), CAL.for_scenario(cal.adders, REF)
+
+    def job(name):
+        return UpdateJob(params, nl, ca, lambda: facts["input_costs"], lambda: facts["capacity_factors"],
+                         str(tmp_path / name / "history"), str(tmp_path / name / "costs"))
+
+    run = facts["outputs"].where(F.col("period").isin(2015, 2020, 2025))
+    late = (F.col("period") == 2015) & (F.col("technology") == "wind")
+    late_job, whole = job("late"), job("whole")
+    for n, batch in enumerate((run.where(~late), run.where(late))):
+        late_job.run_batch(batch, n)
+    whole.run_batch(run, 0)
+    assert run.where(late).count() > 0
+    assert rows(spark.read.parquet(late_job.costs_path)) == rows(spark.read.parquet(whole.costs_path))
+    before = rows(spark.read.parquet(late_job.costs_path))
+    late_job.run_batch(run.limit(0), 2)             # an empty batch changes nothing
+    assert rows(spark.read.parquet(late_job.costs_path)) == before
