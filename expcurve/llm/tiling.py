@@ -17,6 +17,7 @@ item, not per pair of documents.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -72,8 +73,9 @@ def _rolled(tokens: list, marked: list[bool], length: int) -> Iterator[tuple[int
 
 
 def _scan(item, doc, item_marked, doc_marked, length):
-    """(matches, longest): maximal matches of at least ``length``; stops early at one over twice that."""
-    places = defaultdict(list)
+    """(matches, longest): maximal matches of at least ``length``; stops early at one over twice that,
+    or at the first one with all that is left of the item, as nothing can come before it or beside it."""
+    places, left = defaultdict(list), len(item) - sum(item_marked)
     for i, h in _rolled(item, item_marked, length):
         places[h].append(i)
     matches, after = [], -1
@@ -85,6 +87,8 @@ def _scan(item, doc, item_marked, doc_marked, length):
             while (i + n < len(item) and d + n < len(doc) and item[i + n] == doc[d + n]
                    and not item_marked[i + n] and not doc_marked[d + n]):
                 n += 1
+            if n == left:
+                return [(n, i, d)], 0
             if n > 2 * length:
                 return [], n
             if n >= length:
@@ -107,18 +111,19 @@ def greedy_string_tiling(item: list[int], doc: list[int], min_match: int = MIN_M
         if longer:
             length = longer
             continue
-        queue = sorted(matches, key=lambda m: (-m[0], m[2], m[1]))
+        queue = [(-n, d, i) for n, i, d in matches]
+        heapq.heapify(queue)
         while queue:
-            n, i, d = queue.pop(0)
+            n, d, i = heapq.heappop(queue)
+            n = -n
             taken = [item_marked[i + k] or doc_marked[d + k] for k in range(n)]
             if not any(taken):
                 item_marked[i:i + n] = [True] * n
                 doc_marked[d:d + n] = [True] * n
                 tiles.append((n, i, d))
                 continue
-            rest = [(hi - lo, i + lo, d + lo) for lo, hi in _runs(taken, length)]
-            if rest:                    # what an earlier tile left of this match
-                queue = sorted(queue + rest, key=lambda m: (-m[0], m[2], m[1]))
+            for lo, hi in _runs(taken, length):     # what an earlier tile left of this match
+                heapq.heappush(queue, (lo - hi, d + lo, i + lo))
         if length == min_match:
             return tiles
         length = length // 2 if length > 2 * min_match else min_match
@@ -127,18 +132,21 @@ def greedy_string_tiling(item: list[int], doc: list[int], min_match: int = MIN_M
 # ------------------------------------------------------------ tables
 
 def item_seeds(benchmark: DataFrame, min_match: int, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, item_key, words, seeds) of the items with a seed at least; words are their hashes."""
+    """(item_id, item_key, words, seeds) of the items with a seed at least; words are their hashes,
+    seeds are distinct and come with the number of their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [word_hashes(words_of(t.as_py())) for t in b.column(1)]
-            seeds = [np.unique(window_hashes(w, min_match)) for w in words]
+            seeds = [np.unique(window_hashes(w, min_match), return_counts=True) for w in words]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([w.view(np.int64) for w in words], pa.list_(pa.int64())),
-                 pa.array([s.view(np.int64) for s in seeds], pa.list_(pa.int64()))], ["item_id", "words", "seeds"])
+                 pa.array([s.view(np.int64) for s, _ in seeds], pa.list_(pa.int64())),
+                 pa.array([n.astype(np.int32) for _, n in seeds], pa.list_(pa.int32()))],
+                ["item_id", "words", "seeds", "counts"])
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), text_or_empty(text_col).alias("text"))
-    rows = map_arrow(rows, run, "item_id long, words array<long>, seeds array<long>")
+    rows = map_arrow(rows, run, "item_id long, words array<long>, seeds array<long>, counts array<int>")
     return rows.where("size(seeds) > 0").withColumn("item_key", F.xxhash64("words"))
 
 
@@ -156,7 +164,7 @@ def seed_bitmap(seeds: DataFrame) -> np.ndarray:
 
 
 def hinted_documents(docs: DataFrame, bits: np.ndarray, min_match: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, doc_key, places, words, seeds) of documents with a hint: the words in hinted windows alone."""
+    """(doc_id, doc_key, places, words, seeds, counts) of documents with a hint: the words in hinted windows alone."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(np.packbits(bits))
 
@@ -171,16 +179,25 @@ def hinted_documents(docs: DataFrame, bits: np.ndarray, min_match: int, id_col:
                 at = np.flatnonzero(bitmap[(seeds & fold).astype(np.int64)])
                 if len(at):
                     places = np.unique((at[:, None] + np.arange(min_match)).ravel())
+                    hinted, count = np.unique(seeds[at], return_counts=True)
                     rows.append((doc_id, key, places.astype(np.int32), words[places].view(np.int64),
-                                 np.unique(seeds[at]).view(np.int64)))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                                 hinted.view(np.int64), count.astype(np.int32)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()),
+                     pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                             ["doc_id", "doc_key", "places", "words", "seeds"])
+                                             ["doc_id", "doc_key", "places", "words", "seeds", "counts"])
 
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
-    return map_arrow(rows, run, "doc_id long, doc_key long, places array<int>, words array<long>, seeds array<long>")
+    return map_arrow(rows, run, "doc_id long, doc_key long, places array<int>, words array<long>, seeds array<long>, "
+                                "counts array<int>")
+
+
+def _counted_seeds(rows: DataFrame, *keys: str, count: str) -> DataFrame:
+    """One row per key and distinct seed, with the number of the seed's places."""
+    return (rows.select(*keys, F.explode(F.arrays_zip("seeds", "counts")).alias("_s"))
+            .select(*keys, F.col("_s.seeds").alias("seed"), F.col("_s.counts").alias(count)))
 
 
 def _tile(min_match: int):
@@ -219,15 +236,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
     side the result is empty.
     """
     items = stored(item_seeds(benchmark, min_match, item_id_col, item_text_col), "items")
-    seeds = stored(items.select("item_id", "item_key", F.explode("seeds").alias("seed")).distinct(), "seeds")
+    seeds = stored(_counted_seeds(items, "item_id", "item_key", count="item_places").distinct(), "seeds")
     hinted = stored(hinted_documents(docs, seed_bitmap(seeds.select("seed").distinct()), min_match, id_col, text_col)
                     .dropDuplicates(["doc_id", "doc_key"]), "hinted")
     pair = ["doc_id", "doc_key", "item_id", "item_key"]
     size = items.select(F.col("item_id").alias("_item"), F.col("item_key").alias("_key"), F.size("words").alias("_n"),
                         F.col("words").alias("item")).dropDuplicates(["_item", "_key"])
-    hits = (hinted.select("doc_id", "doc_key", F.explode("seeds").alias("seed")).join(seeds, "seed")
-            .groupBy(*pair).agg(F.count("*").alias("hits")))
-    # a tile of n words has n - min_match + 1 seeds, so fewer than this can't cover enough
+    hits = (_counted_seeds(hinted, "doc_id", "doc_key", count="doc_places").join(seeds, "seed")
+            .groupBy(*pair).agg(F.sum(F.least("item_places", "doc_places")).alias("hits")))
+    # a tile of n words has n - min_match + 1 seeds at as many places on either side, so fewer than this can't cover enough
     pairs = (hits.join(size, hits["item_id"].eqNullSafe(F.col("_item")) & (F.col("item_key") == F.col("_key")))
              .where(F.col("hits") * min_match >= F.col("_n") * min_coverage)
              .select(*pair, "item"))

@@ -212,6 +212,21 @@ def test_contaminated_documents(spark, docs):
     assert tiling.contaminated(table.limit(0), items).count() == 0
 
 
+def test_copies_of_repetitive_items(spark):
+    one, five = "row " * 20, "a b c d e " * 8
+    docs = spark.createDataFrame([(1, one), (2, five), (3, "x " + one + "y"), (4, "row " * 10), (5, "z " + five * 50),
+                                  (6, "a b c d e " * 3), (7, "row " * 100_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, one), (2, five), (2, five), (3, "row " * 1000)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.coverage for r in tiling.contaminated(docs, items).collect()}
+    assert got == {(1, 1): 1.0, (2, 2): 1.0, (3, 1): 1.0, (5, 2): 1.0, (7, 1): 1.0, (7, 3): 1.0}
+
+
+def test_tiling_of_many_short_repeats():
+    doc = ([1] * 15 + [2]) * 200
+    tiles = tiling.greedy_string_tiling([1] * 300, doc)
+    assert sum(t[0] for t in tiles) == 300 and max(t[0] for t in tiles) == 15
+
+
 # ------------------------------------------------------------ 4: WARC
 
 def test_archives_round_trip(spark):
