@@ -24,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below their language's threshold (operator 8)."""
     labels = toxicity.training_labels(table(spark, sf_dir, "labels"))
     model = toxicity.train(docs, labels)
-    scored = toxicity.score_texts(docs, model, score_col="_toxicity")
+    scored = stored(toxicity.score_texts(docs, model, score_col="_toxicity"), "scored")   # for both uses
+    toxicity.set_thresholds(model, scored, labels, score_col="_toxicity")
     limit = toxicity.lang_threshold(model) if "lang" in docs.columns else F.lit(0.5)
     return scored.where(F.col("_toxicity") < limit).select(*docs.columns)
 

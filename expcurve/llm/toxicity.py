@@ -8,8 +8,9 @@ is linear before its maximum, so scoring projects every distinct word once and
 adds rows of that table.
 
 Training uses a bounded sample of labelled rows; part of it calibrates the
-probability and a decision threshold for each language.  The language decides
-on the threshold only: it is no input of the score.
+probability.  All labelled rows that were not trained on set a decision
+threshold for each language, weighted to the labels' rates.  The language
+decides on the threshold only: it is no input of the score.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from expcurve.llm.common import crc_of, label_sample, map_arrow, text_or_empty
+from expcurve.llm.common import crc_of, label_sample, map_arrow, stored, text_or_empty
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -36,6 +37,8 @@ _NONE = (0,) * (1 + len(STEMS))
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 200_000
 KEPT_WORDS = 1 << 17
+SCORE_STEPS = 500
+LANGS = 1000
 _GROUP_WORDS = 100_000
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_"
 
@@ -95,6 +98,7 @@ class ConvModel:
     slope: float = 1.0                    # calibration
     offset: float = 0.0
     thresholds: dict[str, float] = field(default_factory=dict)
+    trained_ids: list[int] = field(default_factory=list)
 
     def project(self, words: list[str]) -> np.ndarray:
         ids = np.array([feature_ids(w) for w in words], dtype=np.int64)
@@ -225,21 +229,22 @@ def fit(texts: list[str], y: np.ndarray, seen: int = 24_000, batch: int = 32, se
                      out.astype(np.float32), float(inter[0]))
 
 
-def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the widest gap between scores that makes fewest errors; 0.5 without both labels."""
+def best_threshold(scores: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """The middle of the widest gap between scores that makes fewest errors by weight; 0.5 without both labels."""
     if len(y) == 0 or y.min() == y.max():
         return 0.5
-    order = np.argsort(scores)
-    s, label = scores[order], y[order]
-    errors = np.append(0, np.cumsum(label)) + (1 - label).sum() - np.append(0, np.cumsum(1 - label))
+    weight = np.ones(len(y)) if weight is None else weight
+    s, at = np.unique(scores, return_inverse=True)
+    toxic, clean = np.bincount(at, weight * y), np.bincount(at, weight * (1 - y))
+    errors = np.append(0, np.cumsum(toxic)) + clean.sum() - np.append(0, np.cumsum(clean))
     low, high = np.concatenate([[0.0], s]), np.concatenate([s, [1.0]])
-    at = np.flatnonzero(errors == errors.min())
+    at = np.flatnonzero(errors <= errors.min() + 1e-9 * weight.sum())
     i = at[(high - low)[at].argmax()]
     return float(np.clip((low[i] + high[i]) / 2, 0.05, 0.95))
 
 
-def calibrate(model: ConvModel, raw: np.ndarray, y: np.ndarray, weight: np.ndarray, langs: list[str]) -> None:
-    """Fit slope and offset to rows not trained on, weighted to the labels' rates, then a threshold per language."""
+def calibrate(model: ConvModel, raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+    """Fit slope and offset to rows not trained on, weighted to the labels' rates."""
     if len(y) and y.min() < y.max():
         target = np.where(y > 0, 1 - 1 / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
         a, b = 1.0, 0.0
@@ -253,9 +258,6 @@ def calibrate(model: ConvModel, raw: np.ndarray, y: np.ndarray, weight: np.ndarr
             a, b = a - 0.5 * move[0], b - 0.5 * move[1]
         if np.isfinite(a) and np.isfinite(b) and a > 0:
             model.slope, model.offset = float(a), float(b)
-    scores = model.scores(raw)
-    names = np.array(langs, dtype=object)
-    model.thresholds = {k: best_threshold(scores[names == k], y[names == k]) for k in sorted(set(langs))}
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ConvModel:
@@ -263,12 +265,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_r
     none over SAMPLE_CHARS characters.  Every fifth of them calibrates instead of training.  The bound makes
     the sampled ids fit for a broadcast, so no text is shuffled."""
     ids, rate = label_sample(labels, label_col, sample_rows, balanced=True)
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
-    sample = (docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text"),
-                          F.coalesce(lang, F.lit("")).alias("lang"))
+    sample = (docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text"))
               .where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "_id")
-              .groupBy("_id", "_y").agg(F.min(F.struct("text", "lang")).alias("d"))   # one row for a repeated id
-              .orderBy("_id", "_y").select("_id", "_y", "d.text", "d.lang").collect())
+              .groupBy("_id", "_y").agg(F.min("text").alias("text"))                  # one row for a repeated id
+              .orderBy("_id", "_y").collect())
     y = np.array([r["_y"] for r in sample], dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
         share = (y.sum() + 1.0) / (len(y) + 2.0)
@@ -277,15 +277,46 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_r
                          np.zeros(nf, np.float32), np.zeros(nf, np.float32), float(np.log(share / (1 - share))))
     tests = np.array([zlib.crc32(b"c%d" % (r["_id"] or 0)) % 5 == 0 for r in sample])
     model = fit([r["text"] for r, t in zip(sample, tests, strict=True) if not t], y[~tests])
+    model.trained_ids = sorted({r["_id"] for r, t in zip(sample, tests, strict=True) if not t})
     kept = [r for r, t in zip(sample, tests, strict=True) if t]
     if kept:
         table = WordTable(model.project)
         raw = np.concatenate([model.raw(table, [words_of(r["text"])]) for r in kept])
         weight = np.array([rate[r["_y"]] / max((y == r["_y"]).sum(), 1) for r in kept])
-        calibrate(model, raw.astype(np.float64), y[tests], weight / weight.mean(), [r["lang"] for r in kept])
+        calibrate(model, raw.astype(np.float64), y[tests], weight / weight.mean())
     return model
 
 
+def set_thresholds(model: ConvModel, scored: DataFrame, labels: DataFrame, label_col: str = "toxic",
+                   score_col: str = "score") -> None:
+    """A threshold per language from all labelled rows of ``scored`` (doc_id, score, perhaps lang) not trained on.
+
+    Each id counts once a label; the labels weigh by their rates among all labelled ids, as the sample took more
+    of the one than of the other.  Only ids and scores are shuffled.  The driver gets counts of scores, rounded
+    to SCORE_STEPS, for the LANGS languages with most of these rows.
+    """
+    if not model.trained_ids:
+        return
+    spark = scored.sparkSession
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in scored.columns else F.lit("")
+    ids = (labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"))
+           .where("_id is not null and _y in (0, 1)").distinct())
+    trained = spark.createDataFrame([(i,) for i in model.trained_ids], "_id long")
+    rows = (scored.select(F.col("doc_id").cast("long").alias("_id"), F.struct(F.col(score_col).alias("s"), lang.alias("lang")).alias("d"))
+            .where("_id is not null").groupBy("_id").agg(F.min("d").alias("d"))       # one row for a repeated id
+            .join(ids, "_id").join(F.broadcast(trained), "_id", "left_anti"))
+    counts = stored(rows.groupBy(F.col("d.lang").alias("lang"), "_y", F.round(F.col("d.s") * SCORE_STEPS).alias("step"))
+                    .agg(F.count("*").alias("n")), "scores")
+    rate = {r["_y"]: r["count"] for r in ids.groupBy("_y").count().collect()}
+    outside = {r["_y"]: r["n"] for r in counts.groupBy("_y").agg(F.sum("n").alias("n")).collect()}
+    most = (counts.groupBy("lang").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGS)
+            .select("lang"))
+    by_lang: dict[str, list[tuple]] = {}
+    for r in counts.join(F.broadcast(most), "lang").collect():
+        by_lang.setdefault(r["lang"], []).append((r["step"] / SCORE_STEPS, r["_y"], r["n"] * rate[r["_y"]] / outside[r["_y"]]))
+    model.thresholds = {k: best_threshold(*np.array(sorted(v), dtype=np.float64).T) for k, v in sorted(by_lang.items())}
+
+
 def score_texts(docs: DataFrame, model: ConvModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text in ``score_col``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)   # a few MB, set by BUCKETS and DIM
@@ -327,16 +358,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
 
     Labels are learnt from rows whose crc32 of the id, as text, modulo ``folds``
     is not ``held_fold``; only the text is an input of a score.  ``rejected``
-    compares the score with the threshold of the row's language instead.  Null
-    and empty texts are scored as empty.  Repeated rows are each scored; a null
+    compares the score with the threshold of the row's language instead (set
+    by all of those rows that were not trained on).  Null and empty texts are scored as empty.  Repeated rows are each scored; a null
     id is hashed as the empty text and has no label.  Without labels of both
     kinds the score is one constant.  Other columns are ignored; an empty table
     gives no row.
     """
-    model = train(docs, training_labels(labels, folds, held_fold), label_col, sample_rows)
+    known = training_labels(labels, folds, held_fold)
+    model = train(docs, known, label_col, sample_rows)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_or_empty().alias("text"))
-    return (score_texts(rows, model)
+    scored = stored(score_texts(rows, model).drop("text"), "scored")
+    set_thresholds(model, scored, known, label_col)
+    return (scored
             .select("doc_id", (crc_of("doc_id") % folds == held_fold).alias("held_out"), "score",
                     (F.col("score") >= threshold).cast("int").alias("predicted"),
                     (F.col("score") >= lang_threshold(model)).alias("rejected")))

@@ -402,6 +402,46 @@ def test_best_threshold():
     assert toxicity.best_threshold(np.array([.1, .6, .3, .9]), np.array([0, 0, 0, 1])) == pytest.approx(0.75)
 
 
+def test_best_threshold_by_weight():
+    s, y = np.array([.1, .3, .4, .5, .6, .9]), np.array([0, 1, 0, 0, 1, 1])
+    assert toxicity.best_threshold(s, y, np.array([1, 9, 1, 1, 9, 9])) == pytest.approx(0.2)
+    assert toxicity.best_threshold(s, y, np.array([9, 1, 9, 9, 1, 1])) == pytest.approx(0.55)
+    assert toxicity.best_threshold(np.array([.3, .3, .3, .7]), np.array([1, 1, 0, 1])) == pytest.approx(0.15)
+
+
+def test_thresholds_of_all_rows_outside_the_training_sample(spark):
+    model = toxicity.ConvModel(None, None, None, None, 0.0, trained_ids=[-1, -2])
+    rows = [(i, 0.5 if i < 60 else 0.1, "en") for i in range(2000)]                   # clean
+    rows += [(i, 0.3 if i < 2020 else 0.9, "en") for i in range(2000, 2040)]          # toxic
+    rows += [(i, 0.3 if i % 2 else 0.7, None) for i in range(3000, 3020)] + [(-1, 0.99, "en"), (-2, 0.01, "en"), (0, 0.95, "en")]
+    labels = [(i, int(2000 <= i < 2040 or i >= 3000 and not i % 2)) for i, _, _ in rows if i >= 0] + [(-1, 0), (-2, 1), (None, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, score double, lang string")
+    toxicity.set_thresholds(model, table, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.thresholds == {"en": pytest.approx(0.7), "": pytest.approx(0.5)}
+
+
+def test_thresholds_do_not_depend_on_the_sample(spark):
+    docs, labels = labelled(spark)
+    known = toxicity.training_labels(labels)
+    model = toxicity.train(docs, known, sample_rows=200)
+    toxicity.set_thresholds(model, toxicity.score_texts(docs, model), known)
+    scores = {r.doc_id: r.score for r in toxicity.score_texts(docs, model).collect()}
+    out = [(r.doc_id, r.toxic) for r in known.where("doc_id < 1500 and toxic in (0, 1)").distinct().collect()
+           if r.doc_id not in set(model.trained_ids)]
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    assert len(model.trained_ids) < 250 and len(out) > 800 and set(model.thresholds) >= {"en", "fr"}
+    for k in ("en", "fr"):
+        s, y = np.array([(scores[i], t) for i, t in out if lang[i] == k]).T
+        n, n1 = len(out), sum(t for _, t in out)
+        every = known.where("doc_id < 1500 and toxic in (0, 1)").distinct()
+        rate = every.where("toxic = 1").count() / every.count()
+        w = np.where(y > 0, rate / n1, (1 - rate) / (n - n1))
+
+        def errors(t):
+            return (w * ((s >= t) != (y > 0))).sum()
+        assert errors(model.thresholds[k]) <= min(errors(t) for t in np.linspace(0.05, 0.95, 91)) + 0.003
+
+
 # ------------------------------------------------------------ 9: embeddings
 
 def vectors(spark, dim=64):
