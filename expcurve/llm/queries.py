@@ -10,7 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from expcurve.llm import itq, packing, perspectives, rules, sharding, simhash, suffixes, tiling, toxicity, warc
+from expcurve.llm import (interactions, itq, packing, periodic, perspectives, rules, sharding, simhash, suffixes, tiling,
+                          toxicity, warc, wrappers)
 from expcurve.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,10 +58,24 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_periods(table(spark, sf_dir, "documents"))
+    return periodic.digest(periodic.periodic_runs(docs))
+
+
+def op12_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_simhash, op2_packing, op3_decontamination, op4_warc, op5_sharding, op6_suffixes, op7_rules,
-        op8_toxicity, op9_embeddings, op10_chat)}
+        op8_toxicity, op9_embeddings, op10_chat, op11_periodic, op12_interactions,
+        op13_html)}
 
 
 ORACLE = {
@@ -83,6 +98,43 @@ ORACLE = {
                CAST(length(header) AS INTEGER) AS prefix_chars,
                CAST(own AS INTEGER) AS loss_mask
         FROM h""",
+    "op12_interactions": """
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+        w AS (SELECT *, regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
+        first AS (SELECT body, min(doc_id) AS first_id FROM d GROUP BY body),
+        good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+        toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+        m AS (
+          SELECT part, (len(words) < 200)::INT + 2 * (100 * len(list_distinct(words)) < 50 * len(words))::INT
+                 + 4 * (100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body))::INT
+                 + 8 * regexp_matches(body, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first_id, false)::INT AS mask,
+                 (good.doc_id IS NOT NULL)::INT AS good, (toxic.doc_id IS NOT NULL)::INT AS toxic
+          FROM w JOIN first USING (body) LEFT JOIN good ON good.doc_id = w.doc_id LEFT JOIN toxic ON toxic.doc_id = w.doc_id),
+        c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (
+          SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order,
+                 [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+          FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+            AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+        s AS (
+          SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier
+          FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+        r AS (
+          SELECT part, filter_order, step, own,
+                 sum(CASE WHEN mask & (own | earlier) = 0 THEN n ELSE 0 END) AS kept,
+                 sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+                 sum(CASE WHEN mask & own <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END) AS redundant,
+                 sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+                 sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+                 sum(CASE WHEN mask & own <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+          FROM c, s GROUP BY part, filter_order, step, own)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+               CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+               CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+               CAST(toxic_lost AS BIGINT) AS toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM r""",
 }
 
 
