@@ -59,6 +59,50 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_key(column: str = "text"):
+    """Hash of a text; a null text counts as empty."""
+    return F.xxhash64(text_or_empty(column))
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """Hash of a row's id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), text_key(text_col))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+BITMAP_BITS = 1 << 26
+_BUCKET_BITS = 1 << 15                    # of Spark's bitmap functions
+
+
+def split_by_keys(df: DataFrame, key, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that surely have none of the keys, all others), with no shuffle of ``df``.
+
+    ``key`` is a hash over columns of ``df``, ``keys`` has one column of such
+    hashes.  A bitmap of their last bits, 8 MB whatever their number, is
+    broadcast; the more keys, the more rows without one are among the others,
+    so those are still to be joined with what is known of the keys.
+    """
+    slot = F.pmod(F.col(keys.columns[0]), F.lit(BITMAP_BITS))
+    bits = stored(keys.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / _BUCKET_BITS).alias("bucket"))
+                  .agg(F.bitmap_construct_agg(F.pmod("slot", F.lit(_BUCKET_BITS))).alias("bits")), "bitmap")
+    slot, bucket, block = (fresh(df, n) for n in ("_slot", "_bucket", "_bits"))
+    bits = bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(block))
+    marked = df.withColumn(slot, F.pmod(key, F.lit(BITMAP_BITS)))
+    marked = marked.join(F.broadcast(bits), F.floor(F.col(slot) / _BUCKET_BITS) == F.col(bucket), "left")
+    place = F.pmod(F.col(slot), F.lit(_BUCKET_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(block), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce((byte / F.pow(F.lit(2), place % 8)).cast("int") % 2 == 1, F.lit(False))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return marked.where(~hit).select(*columns), marked.where(hit).select(*columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

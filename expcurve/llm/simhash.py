@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from expcurve.llm.common import map_arrow, stored
+from expcurve.llm.common import map_arrow, stored, text_key
 from expcurve.llm.graph import connected_components
 
 HASH_SEED = 42
@@ -62,15 +62,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  shingle: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint as a signed long, one row per input row."""
+    """(id, fp, text_key): the fingerprint as a signed long and a hash of the text, one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)],
+                                             ["id", "fp", "text_key"])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")),
-                     run, "id long, fp long")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"),
+                                 text_key(text_col).alias("text_key")), run, "id long, fp long, text_key long")
 
 
 def chain(segments: int, max_distance: int) -> tuple[list[tuple[int, int]], list[int]]:
@@ -147,6 +148,17 @@ def fingerprint_links(fps: DataFrame, max_distance: int = 3, segments: int = 8,
     return pairs.union(forests)
 
 
+def fingerprint_roots(rows: DataFrame, max_distance: int = 3, segments: int = 8,
+                      dense_bucket: int = 4096) -> DataFrame:
+    """(fp, low, root) of the distinct fingerprints of ``rows`` (id, fp): the smallest id that has one, and the
+    fingerprint that stands for its component."""
+    each = stored(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
+    links = fingerprint_links(each.select("fp"), max_distance, segments, dense_bucket)
+    linked = connected_components(links).select(F.col("node").alias("fp"), "root")
+    rooted = each.join(linked, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return stored(rooted, "rooted")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                    max_distance: int = 3, segments: int = 8, dense_bucket: int = 4096) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row.
@@ -157,13 +169,26 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     there is none).  Repeated rows are each returned.  Other columns of
     ``docs`` are ignored; an empty table gives an empty result.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    each = stored(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct")
-    links = fingerprint_links(each.select("fp"), max_distance, segments, dense_bucket)
-    linked = connected_components(links).select(F.col("node").alias("fp"), "root")
-    rooted = stored(each.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    rows = stored(fingerprints(docs, id_col, text_col, shingle).drop("text_key"), "fingerprints")
+    rooted = fingerprint_roots(rows, max_distance, segments, dense_bucket)
     low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     named = stored(rooted.join(low, "root").select("fp", "component_id"), "named")
     return (rows.join(named, "fp")
             .select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                     "component_id"))
+
+
+def group_choice(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
+                 max_distance: int = 3, segments: int = 8, dense_bucket: int = 4096) -> DataFrame:
+    """(id, text_key, chosen, n): every different (id, text) with its number of rows, and whether it is the one
+    that stands for its group: that with the smallest id (a null id is larger than all), then text hash."""
+    rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    rooted = fingerprint_roots(rows, max_distance, segments, dense_bucket)
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "text_key")
+    # a fingerprint's least row first, so a group's choice is made among distinct fingerprints
+    least = rows.groupBy("fp").agg(F.min(order).alias("least")).join(rooted.select("fp", "root"), "fp")
+    chosen = (least.groupBy("root").agg(F.min("least").alias("least"))
+              .select(F.col("least.id").alias("_id"), F.col("least.text_key").alias("_key"), F.lit(True).alias("chosen")))
+    texts = rows.groupBy("id", "text_key").agg(F.count("*").alias("n"))
+    same = texts["id"].eqNullSafe(chosen["_id"]) & (texts["text_key"] == chosen["_key"])
+    return texts.join(chosen, same, "left").select("id", "text_key", F.coalesce("chosen", F.lit(False)).alias("chosen"), "n")

@@ -204,7 +204,7 @@ def _tile(min_match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, item_id, places, words, item in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for doc_id, key, item_id, places, words, item in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 doc, last = [], None
                 number: dict[int, int] = {}
                 for p, w in zip(places, words, strict=True):
@@ -214,27 +214,20 @@ def _tile(min_match: int):
                     last = p
                 tokens = [number.setdefault(w, len(number) + 1) for w in item]
                 tiles = greedy_string_tiling(tokens, doc, min_match)
-                out.append((doc_id, item_id, len(tokens), sum(n for n, _, _ in tiles), len(tiles)))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+                out.append((doc_id, key, item_id, len(tokens), sum(n for n, _, _ in tiles), len(tiles)))
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                             ["doc_id", "item_id", "item_words", "covered_words", "tiles"])
+                                             ["doc_id", "doc_key", "item_id", "item_words", "covered_words", "tiles"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
-                 min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text",
-                 item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, item_words, covered_words, tiles, coverage) of contaminated documents.
-
-    Words are runs of letters, digits and underscores, lower-cased; whole texts
-    are read.  Null and empty texts have no words.  Items under ``min_match``
-    words have no tile of that length and match nothing.  Rows that repeat an
-    id count once, with the best coverage among their texts; null ids are ids
-    like any other.  Other columns are ignored; with an empty table on either
-    side the result is empty.
-    """
+def tiled_documents(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
+                    min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text",
+                    item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, doc_key, item_id, item_words, covered_words, tiles, coverage) of every text that covers enough
+    of an item; doc_key is the hash of the text."""
     items = stored(item_seeds(benchmark, min_match, item_id_col, item_text_col), "items")
     seeds = stored(_counted_seeds(items, "item_id", "item_key", count="item_places").distinct(), "seeds")
     hinted = stored(hinted_documents(docs, seed_bitmap(seeds.select("seed").distinct()), min_match, id_col, text_col)
@@ -250,9 +243,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
              .select(*pair, "item"))
     text = hinted.select(F.col("doc_id").alias("_doc"), F.col("doc_key").alias("_dkey"), "places", "words")
     both = pairs.join(text, pairs["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("doc_key") == F.col("_dkey")))
-    tiled = map_arrow(both.select("doc_id", "item_id", "places", "words", "item"), _tile(min_match),
-                      "doc_id long, item_id long, item_words int, covered_words int, tiles int")
-    best = tiled.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
-    return (best.where(F.col("coverage") >= min_coverage).groupBy("doc_id", "item_id")
+    tiled = map_arrow(both.select("doc_id", "doc_key", "item_id", "places", "words", "item"), _tile(min_match),
+                      "doc_id long, doc_key long, item_id long, item_words int, covered_words int, tiles int")
+    tiled = tiled.withColumn("coverage", F.col("covered_words") / F.col("item_words"))
+    return tiled.where(F.col("coverage") >= min_coverage)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
+                 min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text",
+                 item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, item_words, covered_words, tiles, coverage) of contaminated documents.
+
+    Words are runs of letters, digits and underscores, lower-cased; whole texts
+    are read.  Null and empty texts have no words.  Items under ``min_match``
+    words have no tile of that length and match nothing.  Rows that repeat an
+    id count once, with the best coverage among their texts; null ids are ids
+    like any other.  Other columns are ignored; with an empty table on either
+    side the result is empty.
+    """
+    tiled = tiled_documents(docs, benchmark, min_match, min_coverage, id_col, text_col, item_id_col, item_text_col)
+    return (tiled.groupBy("doc_id", "item_id")
             .agg(F.max(F.struct("coverage", "item_words", "covered_words", "tiles")).alias("b"))
             .select("doc_id", "item_id", "b.item_words", "b.covered_words", "b.tiles", "b.coverage"))

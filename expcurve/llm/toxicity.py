@@ -7,10 +7,13 @@ text; each keeps its maximum, and a logistic layer reads the maxima.  A filter
 is linear before its maximum, so scoring projects every distinct word once and
 adds rows of that table.
 
-Training uses a bounded sample of labelled rows; part of it calibrates the
-probability.  All labelled rows that were not trained on set a decision
-threshold for each language, weighted to the labels' rates.  The language
-decides on the threshold only: it is no input of the score.
+Training uses a bounded sample of labelled rows (SAMPLE_ROWS texts and
+SAMPLE_CHARS characters at most in all, a documented bound of the fit only);
+the workers turn it into feature numbers, so the driver holds no text.  Part of
+it calibrates the probability.  All labelled rows that were not trained on set
+a decision threshold for each language, weighted to the labels' rates; the
+thresholds are a table with one row a language.  The language decides on the
+threshold only: it is no input of the score.
 """
 
 from __future__ import annotations
@@ -22,11 +25,12 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from expcurve.llm.common import crc_of, label_sample, map_arrow, stored, text_or_empty
+from expcurve.llm.common import crc_of, fresh, label_sample, map_arrow, ship_package, stored, text_or_empty
 
 BUCKETS = 1 << 16
 DIM = 8
@@ -35,10 +39,10 @@ FILTERS = 8
 STEMS = (3, 4, 5, 6)
 _NONE = (0,) * (1 + len(STEMS))
 SAMPLE_ROWS = 6000
-SAMPLE_CHARS = 200_000
+SAMPLE_CHARS = 32_000_000
 KEPT_WORDS = 1 << 17
 SCORE_STEPS = 500
-LANGS = 1000
+BROADCAST_LANGS = 100_000
 _GROUP_WORDS = 100_000
 _STRIP = ".,;:!?\"'()[]{}<>*#$%&|-_"
 
@@ -97,7 +101,6 @@ class ConvModel:
     intercept: float
     slope: float = 1.0                    # calibration
     offset: float = 0.0
-    thresholds: dict[str, float] = field(default_factory=dict)
     trained_ids: list[int] = field(default_factory=list)
 
     def project(self, words: list[str]) -> np.ndarray:
@@ -106,10 +109,11 @@ class ConvModel:
 
     def raw(self, table: WordTable, docs: list[list[str]]) -> np.ndarray:
         """The logistic layer's input for whole documents."""
-        # two empty words end each document, so wide filters never reach into the next
+        # two empty words end each document; no filter starts at them, so none reaches into the next
         flat = [w for d in docs for w in (*d, "", "")]
         number = table.numbers(flat)
         starts = np.cumsum([0] + [len(d) + 2 for d in docs[:-1]])
+        ends = starts + np.array([len(d) for d in docs], dtype=np.int64)
         maxima = np.full((len(docs), len(self.bias)), -np.inf, dtype=np.float32)
         for lo in range(0, len(flat), _GROUP_WORDS):
             part = table.rows[number[lo:lo + _GROUP_WORDS + max(WIDTHS) - 1]]
@@ -125,10 +129,22 @@ class ConvModel:
                     total[:len(shifted)] += shifted
                 out[:, k * FILTERS:(k + 1) * FILTERS] = total
                 column += w * FILTERS
+            for pad in (ends - lo, ends + 1 - lo):
+                out[pad[(pad >= 0) & (pad < n)]] = -np.inf
             maxima[at] = np.maximum(maxima[at], np.maximum.reduceat(out, cuts, axis=0))
+        maxima[np.isneginf(maxima)] = 0           # documents without words
         hidden = np.maximum(maxima + self.bias, 0)
         return hidden @ self.output + self.intercept
 
+    def raw_of(self, features: np.ndarray) -> float:
+        """The same for the ``text_features`` of one document, filter by filter."""
+        words = self.embeddings[features].sum(axis=1)
+        n = len(features) - 2
+        kernels = self.kernels.reshape(DIM, -1, FILTERS)
+        maxima = [sum(words[p:p + n] @ kernels[:, at + p] for p in range(w)).max(axis=0) if n else np.zeros(FILTERS)
+                  for w, at in zip(WIDTHS, np.cumsum([0, *WIDTHS[:-1]]), strict=True)]
+        return float(np.maximum(np.concatenate(maxima) + self.bias, 0) @ self.output + self.intercept)
+
     def scores(self, raw: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.offset, -30, 30)))
 
@@ -145,19 +161,24 @@ def _log_odds(ids: list[np.ndarray], y: np.ndarray, sure: float = 1.5) -> np.nda
     return odds
 
 
-def fit(texts: list[str], y: np.ndarray, seen: int = 24_000, batch: int = 32, seed: int = 5) -> ConvModel:
-    """Train embeddings, filters and output layer by Adam on the logistic loss, classes weighted alike.
+def text_features(text: str, known: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """Feature numbers of a text's words, one row each, and of two empty words that end it."""
+    words = [*words_of(text), "", ""]
+    for w in words:
+        if w not in known:
+            known[w] = feature_ids(w)
+    return np.array([known[w] for w in words], dtype=np.uint16)
+
+
+def fit(docs: list[np.ndarray], y: np.ndarray, seen: int = 24_000, batch: int = 32, seed: int = 5) -> ConvModel:
+    """Train on the ``text_features`` of documents: embeddings, filters and output layer by Adam on the logistic
+    loss, classes weighted alike.
 
     The embeddings' first component starts as the feature's log odds and the
     first narrow filter as its sum; the rest start at random.  About ``seen``
     documents are visited, in 4 to 12 rounds.
     """
     rng = np.random.default_rng(seed)
-    features: dict[str, tuple[int, ...]] = {}
-    docs = []
-    for t in texts:
-        words = [*words_of(t), "", ""]
-        docs.append(np.array([features.setdefault(w, feature_ids(w)) for w in words], dtype=np.int64))
     odds = _log_odds(docs, y)
     emb = rng.normal(0, 0.05, (BUCKETS, DIM))
     emb[:, 0] += odds
@@ -217,7 +238,7 @@ def fit(texts: list[str], y: np.ndarray, seen: int = 24_000, batch: int = 32, se
                         moves.append(np.repeat(delta, ids.shape[1], axis=0))
             if not touched:
                 continue
-            rows, where = np.unique(np.concatenate(touched), return_inverse=True)
+            rows, where = np.unique(np.concatenate(touched).astype(np.int64), return_inverse=True)
             g = np.zeros((len(rows), DIM))
             np.add.at(g, where, np.concatenate(moves))
             emb_v[rows] += g ** 2
@@ -260,43 +281,69 @@ def calibrate(model: ConvModel, raw: np.ndarray, y: np.ndarray, weight: np.ndarr
             model.slope, model.offset = float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ConvModel:
+def _sampled_features(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(_id, _y, features) of the texts of the broadcast ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            known: dict[str, tuple[int, ...]] = {}
+            data = [text_features(t.as_py(), known).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], ["_id", "_y", "features"])
+
+    rows = (docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text"))
+            .join(F.broadcast(ids), "_id").select("_id", "_y", "text"))
+    return map_arrow(rows, run, "_id long, _y int, features binary")
+
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS,
+          sample_chars: int = SAMPLE_CHARS) -> ConvModel:
     """Fit on about ``sample_rows`` labelled texts, up to half of them of either label, taken by their id's hash,
-    none over SAMPLE_CHARS characters.  Every fifth of them calibrates instead of training.  The bound makes
-    the sampled ids fit for a broadcast, so no text is shuffled."""
+    as long as they have ``sample_chars`` characters together: a text that no longer fits is left out of the fit.
+    Every fifth of them calibrates instead of training.  The bounds make the sampled ids fit for a broadcast, so
+    no text is shuffled or comes to the driver."""
+    spark = docs.sparkSession
     ids, rate = label_sample(labels, label_col, sample_rows, balanced=True)
-    sample = (docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text"))
-              .where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "_id")
-              .groupBy("_id", "_y").agg(F.min("text").alias("text"))                  # one row for a repeated id
+    sizes = (docs.select(F.col("doc_id").cast("long").alias("_id"), F.length(text_or_empty()).alias("n"))
+             .join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.max("n").alias("n"))
+             .orderBy(F.xxhash64("_id"), "_id", "_y").collect())
+    taken, chars = [], 0
+    for r in sizes:
+        if chars + r["n"] <= sample_chars:
+            taken.append((r["_id"], r["_y"]))
+            chars += r["n"]
+    sample = (_sampled_features(docs, spark.createDataFrame(taken, "_id long, _y int"))
+              .groupBy("_id", "_y").agg(F.min("features").alias("features"))             # one row for a repeated id
               .orderBy("_id", "_y").collect())
     y = np.array([r["_y"] for r in sample], dtype=np.float64)
+    ids = [r["_id"] for r in sample]
+    width = len(_NONE)
+    features = [np.frombuffer(r["features"], dtype=np.uint16).reshape(-1, width) for r in sample]
+    del sample
     if len(y) == 0 or y.min() == y.max():
-        share = (y.sum() + 1.0) / (len(y) + 2.0)
+        share = (y.sum() + 0.5) / (len(y) + 2.0)            # without evidence a document passes
         nf = len(WIDTHS) * FILTERS
         return ConvModel(np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM, len(_positions()) * FILTERS), np.float32),
                          np.zeros(nf, np.float32), np.zeros(nf, np.float32), float(np.log(share / (1 - share))))
-    tests = np.array([zlib.crc32(b"c%d" % (r["_id"] or 0)) % 5 == 0 for r in sample])
-    model = fit([r["text"] for r, t in zip(sample, tests, strict=True) if not t], y[~tests])
-    model.trained_ids = sorted({r["_id"] for r, t in zip(sample, tests, strict=True) if not t})
-    kept = [r for r, t in zip(sample, tests, strict=True) if t]
-    if kept:
-        table = WordTable(model.project)
-        raw = np.concatenate([model.raw(table, [words_of(r["text"])]) for r in kept])
-        weight = np.array([rate[r["_y"]] / max((y == r["_y"]).sum(), 1) for r in kept])
+    tests = np.array([zlib.crc32(b"c%d" % i) % 5 == 0 for i in ids])
+    model = fit([f for f, t in zip(features, tests, strict=True) if not t], y[~tests])
+    model.trained_ids = sorted({i for i, t in zip(ids, tests, strict=True) if not t})
+    if tests.any():
+        raw = np.array([model.raw_of(f) for f, t in zip(features, tests, strict=True) if t])
+        count = {v: max((y == v).sum(), 1) for v in (0, 1)}
+        weight = np.array([rate[int(v)] / count[int(v)] for v in y[tests]])
         calibrate(model, raw.astype(np.float64), y[tests], weight / weight.mean())
     return model
 
 
-def set_thresholds(model: ConvModel, scored: DataFrame, labels: DataFrame, label_col: str = "toxic",
-                   score_col: str = "score") -> None:
-    """A threshold per language from all labelled rows of ``scored`` (doc_id, score, perhaps lang) not trained on.
+def lang_cuts(model: ConvModel, scored: DataFrame, labels: DataFrame, label_col: str = "toxic",
+              score_col: str = "score") -> DataFrame:
+    """(lang, cut): a threshold per language from all labelled rows of ``scored`` (doc_id, score, perhaps lang)
+    that were not trained on; languages without such rows have none.
 
     Each id counts once a label; the labels weigh by their rates among all labelled ids, as the sample took more
-    of the one than of the other.  Only ids and scores are shuffled.  The driver gets counts of scores, rounded
-    to SCORE_STEPS, for the LANGS languages with most of these rows.
+    of the one than of the other.  Only ids and scores are shuffled; a language's scores meet as counts, rounded
+    to SCORE_STEPS, so a group has twice that many rows at most, however many documents and languages there are.
     """
-    if not model.trained_ids:
-        return
     spark = scored.sparkSession
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in scored.columns else F.lit("")
     ids = (labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y"))
@@ -309,17 +356,36 @@ def set_thresholds(model: ConvModel, scored: DataFrame, labels: DataFrame, label
                     .agg(F.count("*").alias("n")), "scores")
     rate = {r["_y"]: r["count"] for r in ids.groupBy("_y").count().collect()}
     outside = {r["_y"]: r["n"] for r in counts.groupBy("_y").agg(F.sum("n").alias("n")).collect()}
-    most = (counts.groupBy("lang").agg(F.sum("n").alias("_n")).orderBy(F.desc("_n"), "lang").limit(LANGS)
-            .select("lang"))
-    by_lang: dict[str, list[tuple]] = {}
-    for r in counts.join(F.broadcast(most), "lang").collect():
-        by_lang.setdefault(r["lang"], []).append((r["step"] / SCORE_STEPS, r["_y"], r["n"] * rate[r["_y"]] / outside[r["_y"]]))
-    model.thresholds = {k: best_threshold(*np.array(sorted(v), dtype=np.float64).T) for k, v in sorted(by_lang.items())}
+    weight = {y: rate[y] / n for y, n in outside.items()}
+
+    def cut(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["step", "_y"])
+        y = group["_y"].to_numpy(np.float64)
+        w = group["n"].to_numpy(np.float64) * group["_y"].map(weight).to_numpy(np.float64)
+        best = best_threshold(group["step"].to_numpy() / SCORE_STEPS, y, w)
+        return pd.DataFrame({"lang": group["lang"].iloc[:1], "cut": [best]})
+
+    if not model.trained_ids:
+        return spark.createDataFrame([], "lang string, cut double")
+    ship_package(spark)
+    return stored(counts.groupBy("lang").applyInPandas(cut, "lang string, cut double"), "cuts")
+
+
+def with_threshold(df: DataFrame, cuts: DataFrame, column: str, default: float = 0.5) -> DataFrame:
+    """``df`` with its language's threshold in ``column``, the default where none was calibrated.  The table of
+    languages is broadcast up to BROADCAST_LANGS rows; a larger one is joined by shuffling."""
+    if "lang" not in df.columns:
+        cuts = cuts.where("lang = ''")
+    key = fresh(df, "_lang")
+    side = cuts.select(F.col("lang").alias(key), F.col("cut").alias(column))
+    side = F.broadcast(side) if cuts.limit(BROADCAST_LANGS + 1).count() <= BROADCAST_LANGS else side
+    own = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in df.columns else F.lit("")
+    return df.join(side, own == F.col(key), "left").drop(key).withColumn(column, F.coalesce(column, F.lit(default)))
 
 
-def score_texts(docs: DataFrame, model: ConvModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the score of every whole text in ``score_col``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)   # a few MB, set by BUCKETS and DIM
+def score_texts(docs: DataFrame, model: ConvModel, text_col: str = "text", score_col: str = "score", shared=None) -> DataFrame:
+    """``docs`` with the score of every whole text in ``score_col``; ``shared`` is the model's broadcast, if there is one."""
+    shared = shared or docs.sparkSession.sparkContext.broadcast(model)   # a few MB, set by BUCKETS and DIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -340,12 +406,15 @@ def score_texts(docs: DataFrame, model: ConvModel, text_col: str = "text", score
     return map_arrow(docs, run, f"{fields}, `{score_col}` double")
 
 
-def lang_threshold(model: ConvModel, default: float = 0.5):
-    """Column: the threshold of the row's language, the default where none was calibrated."""
-    column = F.lit(default)
-    for lang, t in model.thresholds.items():
-        column = F.when(F.coalesce(F.col("lang").cast("string"), F.lit("")) == lang, F.lit(t)).otherwise(column)
-    return column
+def scored_and_cut(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", score_col: str = "score",
+                   sample_rows: int = SAMPLE_ROWS, dropped: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(``docs`` with scores and without the dropped columns, thresholds by language), both stored; the model is
+    freed then, on the driver and in the workers."""
+    model = train(docs, labels, label_col, sample_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = stored(score_texts(docs, model, score_col=score_col, shared=shared).drop(*dropped), "scored")
+    shared.destroy()
+    return scored, lang_cuts(model, scored, labels, label_col, score_col)
 
 
 def training_labels(labels: DataFrame, folds: int = 5, held_fold: int = 0) -> DataFrame:
@@ -365,12 +434,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     gives no row.
     """
     known = training_labels(labels, folds, held_fold)
-    model = train(docs, known, label_col, sample_rows)
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_or_empty().alias("text"))
-    scored = stored(score_texts(rows, model).drop("text"), "scored")
-    set_thresholds(model, scored, known, label_col)
-    return (scored
+    scored, cuts = scored_and_cut(rows, known, label_col, sample_rows=sample_rows, dropped=("text",))
+    return (with_threshold(scored, cuts, "cut")
             .select("doc_id", (crc_of("doc_id") % folds == held_fold).alias("held_out"), "score",
                     (F.col("score") >= threshold).cast("int").alias("predicted"),
-                    (F.col("score") >= lang_threshold(model)).alias("rejected")))
+                    (F.col("score") >= F.col("cut")).alias("rejected")))

@@ -302,48 +302,90 @@ def test_jump_hash_and_slots(docs):
 # ------------------------------------------------------------ 6: suffixes
 
 def brute_spans(rows, least):
-    first, words_of = {}, {}
-    for i, t in rows:
-        if i is not None:
-            words_of[i] = (t or "").encode().split()
-    for i in sorted(words_of):
-        for s in range(len(words_of[i]) - least + 1):
-            first.setdefault(tuple(words_of[i][s:s + least]), i)
+    """{(id, start, end, source)} by comparing all windows of all different (id, text); null ids come last, by hash."""
+    def order(i, t):
+        return (1 << 62) + xxhash.xxh64_intdigest(t.encode(), 42) % (1 << 62) if i is None else i
+
+    texts = {(order(i, t or ""), t or ""): (t or "").encode().split() for i, t in rows}
+    first = {}
+    for (n, _), w in sorted(texts.items()):
+        for s in range(len(w) - least + 1):
+            first.setdefault(tuple(w[s:s + least]), n)
     spans = set()
-    for i, w in words_of.items():
-        hit = [s for s in range(len(w) - least + 1) if first[tuple(w[s:s + least])] < i]
-        covered = sorted({p for s in hit for p in range(s, s + least)})
+    for (n, _), w in texts.items():
+        source = {s: first[tuple(w[s:s + least])] for s in range(len(w) - least + 1)}
+        covered = sorted({p for s, low in source.items() if low < n for p in range(s, s + least)})
         for k, p in enumerate(covered):
             if k == 0 or covered[k - 1] != p - 1:
                 start = p
             if k == len(covered) - 1 or covered[k + 1] != p + 1:
-                spans.add((i, start, p + 1))
+                low = min(low for s, low in source.items() if low < n and start <= s <= p + 1 - least)
+                spans.add((n if n < 1 << 62 else None, start, p + 1, low if low < 1 << 62 else None))
     return spans
 
 
-@pytest.mark.parametrize("run_rows", [50_000, 1])
-def test_repeated_spans(spark, docs, run_rows):
-    got = suffixes.repeated_spans(clashing(docs.drop("source")), run_rows=run_rows).collect()
-    want = brute_spans([r[:2] for r in corpus()], 50)
-    assert {(r.doc_id, r.start_word, r.end_word) for r in got} == want and len(got) == len(want)
-    assert any(r.doc_id == 5 and r.n_words >= 60 and r.source_doc_id == 4 for r in got)
+def found_spans(table, **options):
+    rows = [(r.doc_id, r.start_word, r.end_word, r.source_doc_id) for r in suffixes.repeated_spans(table, **options).collect()]
+    assert len(rows) == len(set(rows)) or None in {r[0] for r in rows}
+    return set(rows)
 
 
-def test_repeated_spans_at_random(spark):
+@pytest.mark.parametrize("run_rows", [50_000, 1])
+def test_repeated_spans(spark, docs, run_rows):
+    got = found_spans(clashing(docs.drop("source")), run_rows=run_rows)
+    assert got == brute_spans([r[:2] for r in corpus()], 50)
+    assert any(i == 5 and e - s >= 60 and source == 4 for i, s, e, source in got)
+    assert (None, 0, 200, 1) in got
+
+
+@pytest.fixture
+def layout(spark, request):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in zip(names, request.param, strict=True):
+        spark.conf.set(n, v)
+    yield request.param
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("layout", [("1", "10000"), ("4", "1"), ("32", "10000")], indirect=True)
+@pytest.mark.parametrize("hot", [False, True])
+def test_spans_and_sources_do_not_depend_on_the_layout(spark, layout, hot, monkeypatch):
+    """Groups of documents that share windows in chains, whether their seeds are frequent or not."""
     rng = random.Random(6)
-    parts = [words(rng, 30, 12) for _ in range(6)]
-    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(6)))) for i in range(60)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    for run_rows in (50_000, 2):
-        got = suffixes.repeated_spans(table, min_words=20, seed_words=8, run_rows=run_rows).collect()
-        assert {(r.doc_id, r.start_word, r.end_word) for r in got} == brute_spans(rows, 20)
+    rows, parts = [], [words(rng, 30, 12) for _ in range(6)]
+    for g in range(8):
+        a, b, c = (words(rng, 25, 900) for _ in range(3))
+        rows += [(10 * g + 5, f"{a} {b}"), (10 * g + 7, f"{a} {b} {c}"), (10 * g + 3, f"{b} {c}"), (10 * g + 9, f"{b} {c} x")]
+    rows += [(100 + i, " ".join(rng.choice(parts) for _ in range(rng.randrange(6)))) for i in range(40)]
+    rows += [(None, rows[0][1]), (None, "n " + rows[1][1]), (None, "m " + rows[1][1]), (200, rows[3][1]), (5, rows[2][1] + " y")]
+    if hot:
+        monkeypatch.setattr(suffixes, "_hot_seeds", lambda s, n: s.sparkSession.createDataFrame(
+            s.select("seed").distinct().collect(), "seed long").withColumn("hot", F.lit(True)))
+        monkeypatch.setattr(suffixes, "SAMPLE_SHARE", 1)
+    table = spark.createDataFrame(rows + rows[:2], "doc_id long, text string").repartition(3)
+    want = brute_spans(rows, 20)
+    assert found_spans(table, min_words=20, seed_words=8) == want
+    assert found_spans(table, min_words=20, seed_words=8, run_rows=2) == want
     assert suffixes.repeated_spans(table.limit(0)).count() == 0
 
 
-def test_ids_with_two_texts_have_no_spans(spark):
+def test_ids_with_two_texts(spark):
     t = words(random.Random(1), 70)
-    table = spark.createDataFrame([(1, t), (2, t), (2, "x " + t), (3, t)], "doc_id long, text string")
-    assert {r.doc_id for r in suffixes.repeated_spans(table).collect()} == {3}
+    rows = [(1, t), (2, t), (2, "x " + t), (3, t)]
+    assert found_spans(spark.createDataFrame(rows, "doc_id long, text string")) == brute_spans(rows, 50)
+
+
+def test_split_by_keys(spark):
+    df = spark.range(20_000).selectExpr("xxhash64(id) as _bits", "id as _slot", "id as `a.b`")
+    keys = df.where("_slot % 7 = 0").select("_bits")
+    clear, rest = common.split_by_keys(df, F.col("_bits"), keys)
+    assert clear.columns == rest.columns == df.columns
+    assert clear.where("_slot % 7 = 0").count() == 0 and clear.count() + rest.count() == 20_000
+    assert rest.where("_slot % 7 = 0").count() == 2858 and rest.count() < 2900
+    clear, rest = common.split_by_keys(df, F.col("_bits"), keys.limit(0))
+    assert clear.count() == 20_000 and rest.count() == 0
 
 
 def test_cut_words():
@@ -416,20 +458,59 @@ def test_thresholds_of_all_rows_outside_the_training_sample(spark):
     rows += [(i, 0.3 if i % 2 else 0.7, None) for i in range(3000, 3020)] + [(-1, 0.99, "en"), (-2, 0.01, "en"), (0, 0.95, "en")]
     labels = [(i, int(2000 <= i < 2040 or i >= 3000 and not i % 2)) for i, _, _ in rows if i >= 0] + [(-1, 0), (-2, 1), (None, 1)]
     table = spark.createDataFrame(rows, "doc_id long, score double, lang string")
-    toxicity.set_thresholds(model, table, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert model.thresholds == {"en": pytest.approx(0.7), "": pytest.approx(0.5)}
+    cuts = toxicity.lang_cuts(model, table, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {r.lang: r.cut for r in cuts.collect()} == {"en": pytest.approx(0.7), "": pytest.approx(0.5)}
+
+
+def test_thresholds_of_2000_languages(spark, monkeypatch):
+    model = toxicity.ConvModel(None, None, None, None, 0.0, trained_ids=[-1])
+    rows = [(8 * i + k, 0.1 * (k + 1), f"l{i}") for i in range(2000) for k in range(8)]
+    labels = spark.createDataFrame([(i, int(i % 8 > 2 + i // 8 % 4)) for i, _, _ in rows], "doc_id long, toxic int")
+    table = spark.createDataFrame(rows, "doc_id long, score double, lang string")
+    for bound in (toxicity.BROADCAST_LANGS, 10):
+        monkeypatch.setattr(toxicity, "BROADCAST_LANGS", bound)
+        got = toxicity.with_threshold(table, toxicity.lang_cuts(model, table, labels), "cut").collect()
+        assert len(got) == len(rows)
+        assert all(r.cut == pytest.approx(0.35 + 0.1 * (r.doc_id // 8 % 4)) for r in got)
+    plain = toxicity.with_threshold(spark.createDataFrame([(1, "x")], "_lang long, cut0 string"), spark.createDataFrame(
+        [("en", .3)], "lang string, cut double"), "cut").first()
+    assert plain.cut == 0.5 and plain["_lang"] == 1
+
+
+def test_forward_pass_equals_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    n = len(toxicity.WIDTHS) * toxicity.FILTERS
+    emb = rng.normal(0, 1, (toxicity.BUCKETS, toxicity.DIM)).astype(np.float32)
+    emb[0] = 0
+    model = toxicity.ConvModel(emb, rng.normal(0, 1, (toxicity.DIM, sum(toxicity.WIDTHS) * toxicity.FILTERS)).astype(np.float32),
+                               rng.normal(0, 1, n).astype(np.float32), rng.normal(0, 1, n).astype(np.float32), 0.3)
+    docs = [["bad", "words,", "longer"], [], ["one"], [f"w{i}" for i in range(toxicity._GROUP_WORDS + 5)], ["a", "b"] * 9, []]
+
+    def plain(words):
+        x = np.array([emb[list(toxicity.feature_ids(w))].sum(axis=0) for w in [*words, "", ""]])
+        best, at = [], 0
+        for w in toxicity.WIDTHS:
+            kernel = model.kernels[:, at:at + w * toxicity.FILTERS].reshape(toxicity.DIM, w, toxicity.FILTERS)
+            at += w * toxicity.FILTERS
+            sums = [np.einsum("pd,dpf->f", x[i:i + w], kernel) for i in range(len(words))]
+            best.append(np.max(sums, axis=0) if sums else np.zeros(toxicity.FILTERS))
+        return np.maximum(np.concatenate(best) + model.bias, 0) @ model.output + model.intercept
+
+    want = np.array([plain(d) for d in docs])
+    assert np.allclose(model.raw(toxicity.WordTable(model.project), docs), want, atol=1e-3)
+    assert np.allclose([model.raw_of(toxicity.text_features(" ".join(d), {})) for d in docs], want, atol=1e-3)
 
 
 def test_thresholds_do_not_depend_on_the_sample(spark):
     docs, labels = labelled(spark)
     known = toxicity.training_labels(labels)
     model = toxicity.train(docs, known, sample_rows=200)
-    toxicity.set_thresholds(model, toxicity.score_texts(docs, model), known)
+    cuts = {r.lang: r.cut for r in toxicity.lang_cuts(model, toxicity.score_texts(docs, model), known).collect()}
     scores = {r.doc_id: r.score for r in toxicity.score_texts(docs, model).collect()}
     out = [(r.doc_id, r.toxic) for r in known.where("doc_id < 1500 and toxic in (0, 1)").distinct().collect()
            if r.doc_id not in set(model.trained_ids)]
     lang = {r.doc_id: r.lang for r in docs.collect()}
-    assert len(model.trained_ids) < 250 and len(out) > 800 and set(model.thresholds) >= {"en", "fr"}
+    assert len(model.trained_ids) < 250 and len(out) > 800 and set(cuts) >= {"en", "fr"}
     for k in ("en", "fr"):
         s, y = np.array([(scores[i], t) for i, t in out if lang[i] == k]).T
         n, n1 = len(out), sum(t for _, t in out)
@@ -439,7 +520,7 @@ def test_thresholds_do_not_depend_on_the_sample(spark):
 
         def errors(t):
             return (w * ((s >= t) != (y > 0))).sum()
-        assert errors(model.thresholds[k]) <= min(errors(t) for t in np.linspace(0.05, 0.95, 91)) + 0.003
+        assert errors(cuts[k]) <= min(errors(t) for t in np.linspace(0.05, 0.95, 91)) + 0.003
 
 
 # ------------------------------------------------------------ 9: embeddings
@@ -537,7 +618,7 @@ def test_pipeline_stages(spark, tmp_path):
         sizes[name] = {r.doc_id for r in at.collect()}
     toxic = {r.doc_id for r in labels.where("toxic = 1 and doc_id >= 100").collect()}
     assert len(sizes["toxicity"] & toxic) <= 0.05 * len(toxic)
-    assert 1 in sizes["simhash"] and not {2, 7, 8} & sizes["simhash"] and 6 in sizes["simhash"] and None in sizes["simhash"]
+    assert 1 in sizes["simhash"] and not {2, 7, 8} & sizes["simhash"] and 6 in sizes["simhash"] and None not in sizes["simhash"]
     text = {r.doc_id: r for r in at.collect()}
     assert 5000 in sizes["suffixes"] and 5000 not in sizes["decontamination"]
     assert len(text[5].text.split()) == 80 and text[5].n_chars == len(text[5].text) and len(text[4].text.split()) == 99
@@ -548,9 +629,57 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_pipeline_judges_rows_by_id_and_text(spark, tmp_path):
+    """Clashing columns, null ids, ids with several texts and repeated rows, stage by stage."""
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(12)
+    base, leak, passage = words(rng, 120, 9000), words(rng, 25, 9000), words(rng, 60, 9000)
+    rows = [(4, base), (None, base), (None, base), (3, base + " end"), (None, "alone " + words(rng, 60, 9000)), (7, words(rng, 70, 9000)),
+            (7, "see " + leak), (8, passage + " " + words(rng, 80, 9000)), (None, passage + " " + words(rng, 70, 9000)),
+            (9, passage), (10, words(rng, 90, 9000)), (10, None)]
+    rows += [rows[10]] * 2 + [(11, rows[10][1] + " " + rows[10][1])]
+    df = spark.createDataFrame([(*r, "en", len(r[1] or ""), "z") for r in rows],
+                               "doc_id long, text string, lang string, n_chars int, _before string")
+    for c in ("_doc", "_copy", "_cuts", "_toxicity", "_id", "_key", "_chosen", "_slot", "_bits", "fp", "_lang", "cut"):
+        df = df.withColumn(c, F.lit("k"))
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def out(stage, at):
+        kept = common.stored(stage(spark, at, str(tmp_path)), "kept")
+        assert kept.columns == df.columns and kept.where("_before <> 'z' or _cuts <> 'k' or n_chars <> length(coalesce(text, ''))").count() == 0
+        return kept
+
+    def texts(at):
+        return sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in at.collect())
+
+    def plain(rs):
+        return sorted((i if i is not None else -1, t or "") for i, t in rs)
+
+    assert texts(out(pipeline.drop_toxic, df)) == plain(rows)
+    once = out(pipeline.drop_near_duplicates, df)
+    fps = {r: simhash.fingerprint(r[1]) for r in rows}
+    near = [r for r in set(rows) if not any(bin(fps[r] ^ fps[o]).count("1") <= 3 and (o[0] is None, o[0] or 0) < (r[0] is None, r[0] or 0)
+                                            for o in rows)]
+    assert texts(once) == plain(near) and (3, base + " end") in texts(once) and (4, base) not in texts(once)
+    cut = out(pipeline.cut_repeated_passages, once)
+    want = []
+    for i, t in near:
+        w = (t or "").split()
+        if i is None and t.startswith(passage):
+            t = " ".join(w[60:])
+        if i == 9:
+            continue
+        want.append((i, t))
+    assert texts(cut) == plain(want)
+    clean = out(pipeline.drop_contaminated, cut)
+    assert texts(clean) == plain(r for r in want if leak not in (r[1] or ""))
+
+
 def test_registered_queries(spark):
     from expcurve.llm import queries
 
     names = queries.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert queries.oracle_sql().keys() <= names.keys()
