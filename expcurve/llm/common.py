@@ -49,9 +49,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: Texts are long: a batch of 10,000 of them would take tens of MB several times over in a JVM and its workers.
+BATCH_BYTES = 4 << 20
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the workers."""
+    """``mapInArrow`` with this package at hand in the workers and batches of BATCH_BYTES at most (a setting
+    of the session, which is made smaller if need be)."""
     ship_package(df.sparkSession)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    limit = df.sparkSession.conf.get(name, "").rstrip("bB")
+    if not limit.isdigit() or int(limit) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, f"{BATCH_BYTES}b")
     return df.mapInArrow(run, schema)
 
 

@@ -21,7 +21,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from expcurve.llm.common import stored
+from expcurve.llm.common import split_by_keys, stored
 
 ROWS_A_PART = 2000
 
@@ -37,7 +37,9 @@ def repeated_texts(texts: DataFrame, keys: DataFrame | None = None, rows_a_part:
     named = texts.where("id is not null")
     several = ((named if keys is None else keys.where("id is not null")).groupBy("hash").agg(F.count("*").alias("_rows"), F.min("id").alias("_low"), F.max("id").alias("_high"))
                .where("_low < _high").select("hash", F.ceil(F.col("_rows") / rows_a_part).cast("int").alias("_parts")))
-    candidates = named.join(several, "hash")
+    several = stored(several, "several")
+    possible = split_by_keys(named, F.col("hash"), several.select("hash"))[1]
+    candidates = stored(possible.join(several, "hash"), "candidates")
     first = candidates.groupBy("hash", "text", "_parts").agg(F.min("id").alias("first_id"))
     first = first.select("hash", "text", "first_id", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
     spread = candidates.withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
