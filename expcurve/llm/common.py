@@ -58,7 +58,7 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     of the session, which is made smaller if need be)."""
     ship_package(df.sparkSession)
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    limit = df.sparkSession.conf.get(name, "").rstrip("bB")
+    limit = df.sparkSession.conf.get(name).rstrip("bB")
     if not limit.isdigit() or int(limit) > BATCH_BYTES:
         df.sparkSession.conf.set(name, f"{BATCH_BYTES}b")
     return df.mapInArrow(run, schema)
