@@ -28,7 +28,8 @@ def divide(n, d) -> Column:
     """Floating-point division as the original computes it: a zero divisor
     gives an infinity with the dividend's sign, 0/0 gives NaN, and a missing
     value on either side stays missing."""
-    over_zero = (F.when(n > F.lit(0.0), F.lit(float("inf")))
+    over_zero = (F.when(F.isnan(n), F.lit(float("nan")))
+                 .when(n > F.lit(0.0), F.lit(float("inf")))
                  .when(n < F.lit(0.0), F.lit(float("-inf")))
                  .when(n.isNotNull(), F.lit(float("nan"))))
     return F.when(d == F.lit(0.0), over_zero).otherwise(F.try_divide(n, d))
@@ -65,10 +66,6 @@ def not_grepl(c: ColumnOrName, pattern: str) -> Column:
     return ~grepl(c, pattern)
 
 
-def contains(c: ColumnOrName, sub: str) -> Column:
-    return F.coalesce(_c(c).contains(sub), F.lit(False))
-
-
 # ---------------------------------------------------------------------------
 # text splitting and parsing
 # ---------------------------------------------------------------------------
@@ -106,12 +103,6 @@ def ordinal(c: ColumnOrName, levels: Sequence[str]) -> Column:
     return F.nullif(F.array_position(arr, _c(c)), F.lit(0)).cast("int")
 
 
-def factor(df: DataFrame, col: str, levels: Sequence[str], ord_col: str | None = None) -> DataFrame:
-    """Ordered factor: keep the label, add its ordinal (null when the label
-    is not among the levels)."""
-    return df.withColumn(ord_col or f"{col}_ord", ordinal(col, levels))
-
-
 def categorise(c: ColumnOrName, rules: Sequence[tuple[str, str]],
                default: ColumnOrName | None = None) -> Column:
     """``case_when(grepl(p1, x) ~ l1, ..., TRUE ~ default)``; first match wins."""
@@ -155,32 +146,32 @@ def unpivot(df: DataFrame, ids: Sequence[str], values: Sequence[str],
     return df.unpivot(list(ids), list(values), names_to, values_to)
 
 
-def distinct_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
-    """Sorted distinct values of a low-cardinality column (years, scenario
-    names).  Fails rather than pull an unbounded list to the driver."""
-    rows = df.select(col).where(F.col(col).isNotNull()).distinct().limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"{col}: more than {max_values} distinct values")
-    return sorted(r[0] for r in rows)
+def distinct_list(df: DataFrame, col: ColumnOrName) -> Column:
+    """The sorted distinct values of a column as an array: an uncorrelated
+    scalar subquery of the plan that uses it, so nothing runs while the plan
+    is built and nothing passes through the driver program."""
+    return df.agg(F.sort_array(F.collect_set(_c(col)))).scalar()
 
 
-def complete_years(df: DataFrame, keys: Sequence[str], value: str, years: Sequence[int] | None = None,
+def year_array(years: Sequence[int] | Column) -> Column:
+    """Years as an array column, from a list or a ``distinct_list``."""
+    return years if isinstance(years, Column) else F.array(*[F.lit(int(y)) for y in years])
+
+
+def complete_years(df: DataFrame, keys: Sequence[str], value: str, years: Sequence[int] | Column | None = None,
                    year_col: str = "year", fill: float = 0.0) -> DataFrame:
-    """``complete(year, nesting(keys)) %>% replace_na(value = fill)``.
-
-    Every key combination present gets one row per year of ``years``
-    (default: the years present in ``df``).  Built as one aggregation: the
-    (year -> value) pairs of a key are gathered into a map -- at most one
-    entry per model year -- and the year list is exploded against it, so
-    no join and no cross product is planned."""
-    if years is None:
-        years = distinct_values(df, year_col)
-    years_arr = F.array(*[F.lit(int(y)) for y in years])
+    """Every key combination present gets one row per year of ``years``
+    (default: the years present in ``df``), missing values as ``fill``.
+
+    Built as one aggregation: the (year -> value) pairs of a key are gathered
+    into a map -- at most one entry per model year -- and the year list is
+    exploded against it, so no join and no cross product is planned."""
+    years_arr = distinct_list(df, year_col) if years is None else year_array(years)
     pairs = F.map_from_entries(F.collect_list(F.struct(F.col(year_col), F.col(value))))
     grouped = df.groupBy(*keys).agg(pairs.alias("_by_year"))
     # a key's own years are kept even when the given list misses them:
     # completing only ever adds rows
-    grid = F.array_sort(F.array_union(years_arr, F.map_keys("_by_year")))
+    grid = F.sort_array(F.array_union(years_arr, F.map_keys("_by_year")))
     out = grouped.select(*keys, F.explode(grid).alias(year_col), "_by_year")
     filled = F.coalesce(F.try_element_at(F.col("_by_year"), F.col(year_col)), F.lit(fill))
     return out.select(*keys, year_col, filled.cast("double").alias(value))

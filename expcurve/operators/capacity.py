@@ -34,13 +34,13 @@ def new_capacity(generation: DataFrame, cap_factors: DataFrame, keys: Sequence[s
     column, ``cap_factors`` a ``cap_factor`` column, both keyed by ``keys``."""
     g = generation if min_year is None else generation.where(F.col("year") >= F.lit(min_year))
     cf = cap_factors.select(*keys, "cap_factor")
-    j = g.join(small(cf), list(keys), "left")
+    j = g.join(cf, list(keys), "left")
     return j.withColumn("capacity", capacity_expr(F.col("generation"), F.col("cap_factor"), unit))
 
 
 def component_rollup(capacity: DataFrame, deployment_map: DataFrame,
                      keys: Sequence[str] = ("scenario", "region"), time_col: str = "year",
-                     value: str = "capacity", cluster: bool = True) -> DataFrame:
+                     value: str = "capacity") -> DataFrame:
     """D3: capacity of learning components = sum of capacity * multiplier of
     the technologies feeding them.  A missing capacity makes the component's
     sum missing and the row is dropped.
@@ -52,12 +52,6 @@ def component_rollup(capacity: DataFrame, deployment_map: DataFrame,
     m = deployment_map.select("sector", "subsector", "technology", "learning_component",
                               "multiplier")
     j = capacity.join(small(m), ["sector", "subsector", "technology"], "inner")
-    if cluster:
-        # cluster by the component key the next steps (year grid, running sum,
-        # lag) partition on: one exchange serves them all.  The rows here are
-        # already one per technology and year, so a key holds at most
-        # (technologies feeding it) x (years) rows.
-        j = j.repartition(*keys, "learning_component")
     g = j.groupBy(*keys, "learning_component", time_col).agg(
         strict_sum(F.col(value) * F.col("multiplier")).alias(value))
     return g.na.drop()
@@ -85,22 +79,27 @@ def _filtered(df: DataFrame, include: str | None, exclude: str | None) -> DataFr
     return df
 
 
+_CF4 = ("year", "region", "technology", "scenario")
+
+
 def _cap_factor_4keys(cf_query: DataFrame) -> DataFrame:
-    """Q3 output keyed by (year, region, technology, scenario).  The match
-    ignores sector and subsector; a technology name that two of them share
-    would count its capacity twice and fails the job instead."""
-    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit(
-        "capacity factor: a technology name stands for several sectors or subsectors")).cast("double"))
-    return (cf_query.groupBy("year", "region", "technology", "scenario")
-            .agg(once.otherwise(F.max("value")).alias("cap_factor")))
+    """Q3 output keyed by (year, region, technology, scenario), with the
+    number of sectors and subsectors that share the name.  The match ignores
+    these; a capacity would count as often, so a shared name fails the job
+    (``_checked_factor``) -- but only if a generation row meets it."""
+    return cf_query.groupBy(*_CF4).agg(F.max("value").alias("cap_factor"), F.count(F.lit(1)).alias("_names"))
+
+
+def _checked_factor() -> Column:
+    shared = F.raise_error(F.lit("capacity factor: a technology name stands for several sectors or subsectors"))
+    return F.when(F.col("_names") > 1, shared.cast("double")).otherwise(F.col("cap_factor"))
 
 
 def _capacity_by_category(df: DataFrame, cf_query: DataFrame, value_col: str,
                           rules: Sequence[tuple[str, str]]) -> DataFrame:
-    j = df.join(small(_cap_factor_4keys(cf_query)), ["year", "region", "technology", "scenario"],
-                "left")
+    j = df.join(_cap_factor_4keys(cf_query), list(_CF4), "left")
     j = j.select("scenario", "region", "sector", "subsector", "technology", "year",
-                 capacity_expr(F.col(value_col), F.col("cap_factor"), "GW").alias("capacity"),
+                 capacity_expr(F.col(value_col), _checked_factor(), "GW").alias("capacity"),
                  F.lit("GW").alias("units"))
     j = j.withColumn("technology", categorise(F.col("technology"), rules))
     return (j.groupBy("scenario", "region", "year", "sector", "subsector", "technology", "units")

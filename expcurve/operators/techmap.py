@@ -1,5 +1,5 @@
 """Technology mappings: cooling roll-up (D2), generation union (D15),
-label rewrites (D27) and rule-based categories (D18)."""
+and label rewrites (D27)."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.nasafe import categorise, literal_lookup
+from ..functions.nasafe import literal_lookup
 from .joins import small
 
 TECH = ("sector", "subsector", "technology")
@@ -30,13 +30,18 @@ def generation_union(outputs: DataFrame, cooling_map: DataFrame) -> DataFrame:
     mapped sectors (semi join) and rooftop generation, as one bag."""
     from ..sources import queries as Q
 
-    # semi / anti joins: duplicate map rows do not change them, no distinct needed
-    passthru = cooling_map.select(F.col("technology_passthru").alias("technology"))
-    cool_sectors = cooling_map.select("sector")
-    tech = Q.path_generation(outputs).join(small(passthru), "technology", "left_anti")
-    cooling = Q.path_cooling_generation(outputs).join(small(cool_sectors), "sector", "left_semi")
-    rooftop = Q.path_rooftop_generation(outputs)
-    return tech.unionByName(cooling).unionByName(rooftop)
+    # one scan: a row is taken once for every path whose predicate it meets
+    kinds = {"elec": Q.elec_path(), "cooling": Q.cooling_path(), "rooftop": Q.rooftop_path()}
+    any_kind = kinds["elec"] | kinds["cooling"] | kinds["rooftop"]
+    kind = F.explode(F.array_compact(F.array(*[F.when(p, F.lit(k)) for k, p in kinds.items()])))
+    rows = outputs.where(any_kind).withColumnRenamed("value", "physical_output").withColumn("_kind", kind)
+    # an anti join needs no distinct right side: duplicates do not change it
+    passthru = cooling_map.select(F.col("technology_passthru").alias("_name"))
+    rows = rows.join(small(passthru), (F.col("_kind") == "elec") & (F.col("technology") == F.col("_name")), "left_anti")
+    cool = cooling_map.select(F.col("sector").alias("_sector"), F.lit(True).alias("_mapped")).distinct()
+    rows = rows.join(small(cool), F.col("sector") == F.col("_sector"), "left")
+    rows = rows.where((F.col("_kind") != "cooling") | F.col("_mapped"))
+    return rows.drop("_kind", "_sector", "_mapped")
 
 
 def rewrite_labels(df: DataFrame, rewrites=K.LABEL_REWRITES,
@@ -61,10 +66,3 @@ def rewrite_labels(df: DataFrame, rewrites=K.LABEL_REWRITES,
                .withColumn(lvl, F.coalesce(F.col(f"__to_{lvl}"), F.col(lvl)))
                .drop(f"__to_{lvl}"))
     return out.select(*df.columns)
-
-
-def categorise_technology(df: DataFrame, rules: Sequence[tuple[str, str]],
-                          col: str = "technology") -> DataFrame:
-    """Ordered (pattern, label) rules, first match wins; technologies
-    matching no rule keep their name."""
-    return df.withColumn(col, categorise(F.col(col), rules))

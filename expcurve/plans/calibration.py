@@ -35,31 +35,39 @@ def learned_component_costs(gen_q1: DataFrame, cf_q3: DataFrame, cooling_map: Da
     return L.lag_cost(learned, base_year)
 
 
-def cost_comparison(tech_cost: DataFrame, overnight: DataFrame, nonlearning: DataFrame,
-                    long: bool = False) -> DataFrame:
+def technology_costs(tech_cost: DataFrame, parts: DataFrame, fcr: DataFrame) -> DataFrame:
+    """Learned, default (overnight) and non-learning cost of every technology
+    with a learned cost, in one join to ``capital.capital_parts``; a missing
+    non-learning part counts 0."""
+    rates = fcr.select("region", "sector", "subsector", "technology", "FCR")
+    j = tech_cost.join(parts, list(KEYS), "left").join(small(rates), rates.columns[:-1], "left")
+    once = F.raise_error(F.lit("overnight cost: two costs for one technology and year")).cast("double")
+    one_part = F.raise_error(F.lit("non-learning capital: storage and CCS part for one technology")).cast("double")
+    cap_cost = F.when(F.col("own_rows") > 1, once).when(F.col("FCR").isNotNull(), P.overnight_expr(
+        F.col("own.value"), F.col("FCR"), F.col("own.cap_factor")))
+    nonlearning = (F.when(F.col("has_storage") & F.col("has_ccs"), one_part).when(F.col("has_storage"), F.col("storage_cost"))
+                   .when(F.col("has_ccs"), F.col("ccs_cost")))
+    return j.select(*KEYS, "learned_cost", cap_cost.alias("cap_cost"),
+                    F.coalesce(nonlearning, F.lit(0.0)).alias("nonlearning_cap"))
+
+
+def cost_comparison(costs: DataFrame, long: bool = False) -> DataFrame:
     """Learned cost, default (overnight) cost and learned + non-learning
-    cost per technology and year; ``long`` gives (source, value) rows."""
-    j = tech_cost.join(small(overnight), list(KEYS), "left")
-    j = j.join(small(nonlearning), list(KEYS), "left")
-    j = j.na.fill(0.0, ["nonlearning_cap"])
-    j = j.select(*KEYS, "learned_cost", "cap_cost",
-                 (F.col("learned_cost") + F.col("nonlearning_cap")).alias("learned_cost_total"))
+    cost per technology and year of ``technology_costs``; ``long`` gives
+    (source, value) rows."""
+    j = costs.select(*KEYS, "learned_cost", "cap_cost",
+                     (F.col("learned_cost") + F.col("nonlearning_cap")).alias("learned_cost_total"))
     if long:
         return unpivot(j, KEYS, SOURCES, "source", "value")
     return j
 
 
-def calibration_adders(comparison: DataFrame, nonlearning: DataFrame,
-                       from_year: int = K.ADDER_FROM_YEAR) -> DataFrame:
-    """adder = default cost - learned cost - non-learning capital, from
-    ``from_year`` on (missing learned / non-learning parts count 0; a
-    missing default cost leaves the adder missing)."""
-    df = comparison.where(F.col("year") >= F.lit(from_year)).select(*KEYS, "learned_cost",
-                                                                   "cap_cost")
-    df = df.join(small(nonlearning), list(KEYS), "left").na.fill(
-        0.0, ["learned_cost", "nonlearning_cap"])
-    return df.select(*KEYS, (F.col("cap_cost") - F.col("learned_cost")
-                             - F.col("nonlearning_cap")).alias("cal_adder"))
+def calibration_adders(costs: DataFrame, from_year: int = K.ADDER_FROM_YEAR) -> DataFrame:
+    """adder = default cost - learned cost - non-learning capital of
+    ``technology_costs``, from ``from_year`` on (missing learned / non-learning
+    parts count 0; a missing default cost leaves the adder missing)."""
+    return costs.where(F.col("year") >= F.lit(from_year)).select(
+        *KEYS, (F.col("cap_cost") - F.coalesce("learned_cost", F.lit(0.0)) - F.col("nonlearning_cap")).alias("cal_adder"))
 
 
 def _plot_filter(comparison_long: DataFrame, hide_year: int, hide_regex: str) -> DataFrame:
@@ -91,6 +99,7 @@ class CalibrationResult:
     learned_components: DataFrame
     tech_cost: DataFrame
     overnight: DataFrame
+    technology_costs: DataFrame
     nonlearning: DataFrame
     comparison: DataFrame
     adders: DataFrame
@@ -107,10 +116,11 @@ def run_calibration(gen_q1: DataFrame, cf_q3: DataFrame, cost_q4: DataFrame, par
     tech = L.technology_cost(learned, params["learning_map"], missing="ignore")
     costs = P.capital_costs(cost_q4)
     overnight = P.overnight_cost(costs, cf_q3, params["tech_FCR"], keep_unmatched=False)
+    parts = P.capital_parts(costs, cf_q3, P.StorageRule(**(storage_kw or {})), P.CcsRule(**(ccs_kw or {})))
+    wide = technology_costs(tech, parts, params["tech_FCR"])
     nonlearning = P.nonlearning_all(costs, cf_q3, storage_kw, ccs_kw)
-    comparison = cost_comparison(tech, overnight, nonlearning)
-    adders = calibration_adders(comparison, nonlearning, adder_from)
-    return CalibrationResult(learned, tech, overnight, nonlearning, comparison, adders)
+    return CalibrationResult(learned, tech, overnight, wide, nonlearning, cost_comparison(wide),
+                             calibration_adders(wide, adder_from))
 
 
 def for_scenario(df: DataFrame, scenario: str) -> DataFrame:

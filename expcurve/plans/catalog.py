@@ -6,9 +6,8 @@ SQL oracle can be compared value by value."""
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -45,11 +44,16 @@ class Ctx:
         self.d = TD.domain(spark, sf_dir)
 
     @property
-    def years(self) -> list[int]:
+    def years(self) -> Column:
         """The run's model periods from the base year on (year grid of the
         cumulative sums and the update years), read from the data."""
         return self.d.model_periods(TD.BASE_YEAR)
 
+    @property
+    def next_years(self) -> Column:
+        """The periods after these."""
+        return self.d.model_periods(TD.BASE_YEAR, TD.PERIOD_STEP)
+
     @property
     def params(self) -> dict:
         d = self.d
@@ -156,17 +160,14 @@ class Ctx:
                                lambda p: load_scenarios(self.d.spark, runs(p)))
 
     def xml_table(self, name: str) -> DataFrame:
-        """A table flattened from the XML of all scenarios."""
-        def read(path: str) -> DataFrame:
-            parts = [flatten_model_output(self.d.spark, f"{path}/scenario={s}", s)[name] for s in K.SCENARIOS]
-            return reduce(DataFrame.unionByName, parts)
-
+        """A table flattened from the XML of all scenarios, read at once."""
         return self.round_trip("model_xml", lambda p: write_model_output(
-            {t: getattr(self.d, t) for t in ("outputs", "input_costs", "capacity_factors", "market_prices")}, p), read)
+            {t: getattr(self.d, t) for t in ("outputs", "input_costs", "capacity_factors", "market_prices")}, p),
+            lambda p: flatten_model_output(self.d.spark, p)[name])
 
     def cost_write_back(self) -> DataFrame:
         merged = U.merge_costs(self.update_inputs()[1], self.cost_update(),
-                               [y + TD.PERIOD_STEP for y in self.years])
+                               self.next_years)
         return self.round_trip("cost_write_back", lambda p: write_cost_updates(merged, p),
                                lambda p: self.d.spark.read.parquet(p))
 
@@ -223,23 +224,19 @@ QUERIES: dict[str, Callable[[Ctx], DataFrame]] = {
     "nonlearning_ccs": lambda c: P.nonlearning_ccs(c.costs(), c.q3(), **Ctx.ccs_kw),
     "nonlearning_all": lambda c: P.nonlearning_all(c.costs(), c.q3(), Ctx.storage_kw, Ctx.ccs_kw),
     # calibration D10, D11, D12
-    "cost_comparison": lambda c: CAL.cost_comparison(
-        c.calibration().tech_cost, c.calibration().overnight, c.calibration().nonlearning,
-        long=True),
+    "cost_comparison": lambda c: CAL.cost_comparison(c.calibration().technology_costs, long=True),
     "calibration_adders": lambda c: c.calibration().adders,
     "calibration_plot_lines": lambda c: CAL.calibration_plot_lines(
-        CAL.cost_comparison(c.calibration().tech_cost, c.calibration().overnight,
-                            c.calibration().nonlearning, long=True), TD.ADDER_FROM_YEAR,
+        CAL.cost_comparison(c.calibration().technology_costs, long=True), TD.ADDER_FROM_YEAR,
         "rooftop|storage"),
     "calibration_plot_segments": lambda c: CAL.calibration_plot_segments(
-        CAL.cost_comparison(c.calibration().tech_cost, c.calibration().overnight,
-                            c.calibration().nonlearning, long=True), TD.ADDER_FROM_YEAR,
+        CAL.cost_comparison(c.calibration().technology_costs, long=True), TD.ADDER_FROM_YEAR,
         "rooftop|storage"),
     # per-period update D13, D14
     "period_cost_update": lambda c: c.cost_update(),
     "period_cost_update_one_period": lambda c: c.cost_update_one_period(1999),
     "cost_merge": lambda c: U.merge_costs(c.update_inputs()[1], c.cost_update(),
-                                          [y + TD.PERIOD_STEP for y in c.years]),
+                                          c.next_years),
     # sources and sinks on derived data: K1/K2 -> S1, S3, K3
     "non_learning_capital_csv": lambda c: c.param_file("non_learning_capital"),
     "cal_adders_csv": lambda c: c.param_file("cal_adders"),

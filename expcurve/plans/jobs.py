@@ -56,12 +56,15 @@ def update(spark: SparkSession, flat_root: str, params_root: str, out_path: str,
     gen_all, costs_all, cf_all = U.update_inputs(flat["outputs"], flat["input_costs"],
                                                  flat["capacity_factors"],
                                                  params["cooling_tech_map"])
-    years = [current_year] if current_year is not None else U.model_periods(gen_all)
+    if current_year is not None:
+        years, after = [current_year], [current_year + K.PERIOD_STEP]
+    else:
+        years, after = U.model_periods(gen_all), U.model_periods(gen_all, shift=K.PERIOD_STEP)
     adj = U.period_cost_update(gen_all, cf_all, params, params["non_learning_capital"],
                                params["cal_adders"], update_years=years, region=region)
     if region is not None:              # other regions' rows are not this run's to replace
         costs_all = costs_all.where(F.col("region") == F.lit(region))
-    write_cost_updates(U.merge_costs(costs_all, adj, [y + K.PERIOD_STEP for y in years]), out_path)
+    write_cost_updates(U.merge_costs(costs_all, adj, after), out_path)
 
 
 def results(spark: SparkSession, flat_root: str, out_root: str,

@@ -17,11 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.nasafe import distinct_values, divide, strict_sum
+from ..functions.nasafe import distinct_list, divide, strict_sum, year_array
 from ..operators import capacity as C
 from ..operators import learning as L
 from ..operators.joins import small
@@ -39,64 +39,55 @@ def vintage_capacity(gen_all: DataFrame, cf_all: DataFrame, cooling_map: DataFra
         g = g.where(F.col("region") == F.lit(region))
     g = cooling_rollup(g.drop("year"), cooling_map)
     cf = cf_all.select("scenario", "region", *TECH, "period", "capacity_factor")
-    j = g.join(small(cf), ["scenario", "region", *TECH, "period"], "left")
+    j = g.join(cf, ["scenario", "region", *TECH, "period"], "left")
     j = j.withColumn("capacity", C.capacity_expr(F.col("physical_output"),
                                                  F.col("capacity_factor")))
     return (j.groupBy("scenario", "region", *TECH, "period")
              .agg(strict_sum("capacity").alias("capacity")))
 
 
-def cumulative_by_period(vcap: DataFrame, deployment_map: DataFrame,
-                         update_years: Sequence[int]) -> DataFrame:
-    """Cumulative capacity * multiplier per component at every update year.
+def component_history(vcap: DataFrame, deployment_map: DataFrame) -> DataFrame:
+    """(scenario, region, history): new capacity * multiplier of every learning
+    component by vintage period, as a map from component to (period, capacity)
+    pairs -- some dozen components, at most one entry per model period each.
 
-    The per-vintage component sums of one (scenario, region, component) --
-    at most one entry per model period -- are gathered, sorted, and summed
-    up to each update year with higher-order functions: one shuffle, no
-    join against the year list.  A missing vintage value makes every later
-    total missing; no vintage up to Y gives a missing total."""
+    A missing vintage value makes its period's sum missing.  A scenario and
+    region without any mapped technology keeps its row, with an empty map."""
     # unlike component_rollup, missing sums are kept here: they poison totals
     m = deployment_map.select(*TECH, "learning_component", "multiplier")
-    # vcap is one row per technology and vintage: clustering by the component
-    # key lets both aggregations below share one exchange (bounded per key)
-    per = (vcap.join(small(m), list(TECH), "inner")
-               .repartition("scenario", "region", "learning_component")
+    per = (vcap.join(small(m), list(TECH), "left")
                .groupBy("scenario", "region", "learning_component", "period")
                .agg(strict_sum(F.col("capacity") * F.col("multiplier")).alias("capacity")))
-    keys = ["scenario", "region", "learning_component"]
-    hist = per.groupBy(*keys).agg(
+    hist = per.groupBy("scenario", "region", "learning_component").agg(
         F.array_sort(F.collect_list(F.struct("period", "capacity"))).alias("hist"))
-    years = F.array(*[F.lit(int(y)) for y in update_years])
-    out = hist.select(*keys, F.explode(years).alias("update_year"), "hist")
-    upto = F.filter("hist", lambda e: e["period"] <= F.col("update_year"))
-    total = F.aggregate(upto, F.lit(0.0), lambda acc, e: acc + e["capacity"])
-    cum = (F.when(F.size(upto) == 0, F.lit(None).cast("double"))
-            .when(F.exists(upto, lambda e: e["capacity"].isNull()), F.lit(None).cast("double"))
-            .otherwise(total))
-    return out.select(*keys, "update_year", cum.alias("value"))
+    entry = F.when(F.col("learning_component").isNotNull(), F.struct("learning_component", "hist"))
+    return hist.groupBy("scenario", "region").agg(F.map_from_entries(F.collect_list(entry)).alias("history"))
 
 
-def component_costs(cum: DataFrame, scenario_regions: DataFrame, learning_rates: DataFrame,
-                    t0_cost_deployment: DataFrame, update_years: Sequence[int]) -> DataFrame:
+def component_costs(history: DataFrame, learning_rates: DataFrame, t0_cost_deployment: DataFrame,
+                    update_years: Sequence[int] | Column) -> DataFrame:
     """Learning step: every learning-rate row for every scenario and update
-    year, left-joined to the cumulative capacity (no deployment -> missing
-    cost, zero deployment -> 0)."""
-    years = F.array(*[F.lit(int(y)) for y in update_years])
-    grid = (scenario_regions.join(small(learning_rates.select("region", "learning_component",
-                                                               "learning_rate")), "region")
-            .select("*", F.explode(years).alias("update_year")))
-    j = grid.join(cum, ["scenario", "region", "learning_component", "update_year"], "left")
+    year, with the capacity cumulated up to that year by higher-order functions
+    (no deployment -> missing cost, zero deployment -> 0; a missing vintage
+    makes every later total missing)."""
+    rates = learning_rates.select("region", "learning_component", "learning_rate")
     t0 = t0_cost_deployment.select("region", "learning_component", "t0_cost", "t0_deployment")
-    j = j.join(small(t0), ["region", "learning_component"], "left")
-    return j.select("scenario", "region", "learning_component", "update_year",
+    grid = (history.join(small(rates), "region").join(small(t0), ["region", "learning_component"], "left")
+            .withColumn("hist", F.try_element_at("history", F.col("learning_component"))).drop("history")
+            .select("*", F.explode(year_array(update_years)).alias("update_year")))
+    upto = F.filter("hist", lambda e: e["period"] <= F.col("update_year"))
+    total = F.aggregate(upto, F.lit(0.0), lambda acc, e: acc + e["capacity"])
+    cum = F.when((F.size(upto) > 0) & ~F.exists(upto, lambda e: e["capacity"].isNull()), total)
+    return (grid.withColumn("value", cum)
+            .select("scenario", "region", "learning_component", "update_year",
                     L.learned_cost_expr(F.col("value"), F.col("t0_cost"), F.col("t0_deployment"),
-                                        F.col("learning_rate")).alias("cost_adj"))
+                                        F.col("learning_rate")).alias("cost_adj")))
 
 
 def period_cost_update(gen_all: DataFrame, cf_all: DataFrame, params: dict,
                        nonlearning: DataFrame, cal_adders: DataFrame,
                        base_year: int = K.BASE_YEAR, step: int = K.PERIOD_STEP,
-                       update_years: Sequence[int] | None = None,
+                       update_years: Sequence[int] | Column | None = None,
                        current_year: int | None = None, region: str | None = None) -> DataFrame:
     """New capital cost (``adj_cost_new``, levelised, input "capital")
     of every technology with learning, for the period after each update
@@ -106,10 +97,8 @@ def period_cost_update(gen_all: DataFrame, cf_all: DataFrame, params: dict,
         update_years = [current_year]
     elif update_years is None:
         update_years = model_periods(gen_all, base_year)
-    cum = cumulative_by_period(vcap, params["deployment_map"], update_years)
-    scen_regions = vcap.select("scenario", "region").distinct()
-    costs = component_costs(cum, scen_regions, params["learning_rates"],
-                            params["t0_cost_deployment"], update_years)
+    history = component_history(vcap, params["deployment_map"])
+    costs = component_costs(history, params["learning_rates"], params["t0_cost_deployment"], update_years)
     costs = costs.withColumn("year", F.col("update_year") + F.lit(step)).drop("update_year")
     tech = L.technology_cost(costs, params["learning_map"], missing="strict", cost_col="cost_adj")
     key5 = ["region", "year", *TECH]
@@ -121,7 +110,7 @@ def period_cost_update(gen_all: DataFrame, cf_all: DataFrame, params: dict,
     cf = cf_all.select("scenario", "region", *TECH, F.col("period").alias("year"),
                        "capacity_factor")
     fcr = params["tech_FCR"].select("region", *TECH, "FCR")
-    d = d.join(small(cf), ["scenario", "region", *TECH, "year"], "left") \
+    d = d.join(cf, ["scenario", "region", *TECH, "year"], "left") \
          .join(small(fcr), ["region", *TECH], "left")
     total = F.col("cost_adj") + F.col("cal_adder") + F.col("nonlearning_cap")
     new = divide(total * F.col("FCR") / F.lit(float(K.HOURS_PER_YEAR)),
@@ -130,19 +119,20 @@ def period_cost_update(gen_all: DataFrame, cf_all: DataFrame, params: dict,
                     F.col("year").alias("period"), new.alias("adj_cost_new"))
 
 
-def model_periods(gen_all: DataFrame, base_year: int = K.BASE_YEAR) -> list[int]:
-    """Update years = the model periods from ``base_year`` on, read from the
-    data when the run's period list is not given (a bounded distinct)."""
-    g = gen_all.where(F.col("period") >= F.lit(base_year))
-    return distinct_values(g, "period")
+def model_periods(gen_all: DataFrame, base_year: int = K.BASE_YEAR, shift: int = 0) -> Column:
+    """Update years = the model periods from ``base_year`` on, taken from the
+    data when the run's period list is not given: a scalar subquery.  With
+    ``shift``, the periods that many years later."""
+    return distinct_list(gen_all.where(F.col("period") >= F.lit(base_year)), F.col("period") + F.lit(shift))
 
 
-def merge_costs(costs_all: DataFrame, adj: DataFrame, next_years: Sequence[int]) -> DataFrame:
+def merge_costs(costs_all: DataFrame, adj: DataFrame, next_years: Sequence[int] | Column) -> DataFrame:
     """The input-cost rows of the next periods with the capital cost
     replaced where a new one was computed; all other rows unchanged."""
     keys = ["scenario", "region", *TECH, "period", "input"]
-    c = costs_all.where(F.col("period").isin(*[int(y) for y in next_years]))
-    j = c.join(small(adj.select(*keys, "adj_cost_new")), keys, "left")
+    wanted = (F.array_contains(next_years, F.col("period")) if isinstance(next_years, Column)
+              else F.col("period").isin(*[int(y) for y in next_years]))
+    j = costs_all.where(wanted).join(adj.select(*keys, "adj_cost_new"), keys, "left")
     return j.select(*[F.coalesce(F.col("adj_cost_new"), F.col("adjusted_cost"))
                       .alias("adjusted_cost") if x == "adjusted_cost" else F.col(x)
                       for x in costs_all.columns])
@@ -153,8 +143,5 @@ def update_inputs(outputs: DataFrame, input_costs: DataFrame, capacity_factors:
     """The three tables the update reads from the model (D15, P3+P4, P5+P6)."""
     from ..sources import queries as Q
 
-    gen_all = generation_union(outputs, cooling_map)
-    costs_all = Q.path_costs(input_costs).unionByName(Q.path_rooftop_costs(input_costs))
-    cf_all = Q.path_capacity_factors(capacity_factors).unionByName(
-        Q.path_rooftop_capacity_factors(capacity_factors))
-    return gen_all, costs_all, cf_all
+    return (generation_union(outputs, cooling_map), Q.path_all_costs(input_costs),
+            Q.path_all_capacity_factors(capacity_factors))

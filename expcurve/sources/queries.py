@@ -125,48 +125,61 @@ def regex_predicate(c, pattern: str):
     return grepl(c, pattern)
 
 
-def _path(df: DataFrame, value_name: str, sector: str | None = None,
-          subsector: str | None = None, sector_regex: str | None = None) -> DataFrame:
-    if sector is not None:
-        df = df.where(F.col("sector") == F.lit(sector))
-    if subsector is not None:
-        df = df.where(F.col("subsector") == F.lit(subsector))
-    if sector_regex is not None:
-        df = df.where(regex_predicate(F.col("sector"), sector_regex))
-    return df.withColumnRenamed("value", value_name)
+def elec_path():
+    """Rows of the electricity sector."""
+    return F.col("sector") == F.lit(K.PATH_ELEC_SECTOR)
+
+
+def rooftop_path():
+    """Rows of rooftop PV."""
+    return (F.col("sector") == F.lit(K.PATH_ROOFTOP_SECTOR)) & (F.col("subsector") == F.lit(K.PATH_ROOFTOP_SUBSECTOR))
+
+
+def cooling_path():
+    """Rows of cooling-level sectors (regex match)."""
+    return regex_predicate(F.col("sector"), K.PATH_COOLING_SECTOR_REGEX)
 
 
 def path_generation(outputs: DataFrame) -> DataFrame:
     """Generation of the electricity sector."""
-    return _path(outputs, "physical_output", sector=K.PATH_ELEC_SECTOR)
+    return outputs.where(elec_path()).withColumnRenamed("value", "physical_output")
 
 
 def path_rooftop_generation(outputs: DataFrame) -> DataFrame:
     """Generation of rooftop PV."""
-    return _path(outputs, "physical_output", K.PATH_ROOFTOP_SECTOR, K.PATH_ROOFTOP_SUBSECTOR)
+    return outputs.where(rooftop_path()).withColumnRenamed("value", "physical_output")
 
 
 def path_costs(input_costs: DataFrame) -> DataFrame:
     """Adjusted input costs of the electricity sector."""
-    return _path(input_costs, "adjusted_cost", sector=K.PATH_ELEC_SECTOR)
+    return input_costs.where(elec_path()).withColumnRenamed("value", "adjusted_cost")
 
 
 def path_rooftop_costs(input_costs: DataFrame) -> DataFrame:
     """Adjusted input costs of rooftop PV."""
-    return _path(input_costs, "adjusted_cost", K.PATH_ROOFTOP_SECTOR, K.PATH_ROOFTOP_SUBSECTOR)
+    return input_costs.where(rooftop_path()).withColumnRenamed("value", "adjusted_cost")
+
+
+def path_all_costs(input_costs: DataFrame) -> DataFrame:
+    """P3 and P4 in one scan (no row belongs to both)."""
+    return input_costs.where(elec_path() | rooftop_path()).withColumnRenamed("value", "adjusted_cost")
 
 
 def path_capacity_factors(capacity_factors: DataFrame) -> DataFrame:
     """P5: capacity factors of the electricity sector, per vintage."""
-    return _path(capacity_factors, "capacity_factor", sector=K.PATH_ELEC_SECTOR)
+    return capacity_factors.where(elec_path()).withColumnRenamed("value", "capacity_factor")
 
 
 def path_rooftop_capacity_factors(capacity_factors: DataFrame) -> DataFrame:
     """Capacity factors of rooftop PV."""
-    return _path(capacity_factors, "capacity_factor", K.PATH_ROOFTOP_SECTOR,
-                 K.PATH_ROOFTOP_SUBSECTOR)
+    return capacity_factors.where(rooftop_path()).withColumnRenamed("value", "capacity_factor")
+
+
+def path_all_capacity_factors(capacity_factors: DataFrame) -> DataFrame:
+    """P5 and P6 in one scan (no row belongs to both)."""
+    return capacity_factors.where(elec_path() | rooftop_path()).withColumnRenamed("value", "capacity_factor")
 
 
 def path_cooling_generation(outputs: DataFrame) -> DataFrame:
     """Generation of cooling-level sectors (regex match)."""
-    return _path(outputs, "physical_output", sector_regex=K.PATH_COOLING_SECTOR_REGEX)
+    return outputs.where(cooling_path()).withColumnRenamed("value", "physical_output")

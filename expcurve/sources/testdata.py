@@ -205,15 +205,11 @@ class TestDomain:
             with ThreadPoolExecutor(max_workers=min(threads, len(wave))) as pool:
                 list(pool.map(lambda n: getattr(self, n), wave))
 
-    def model_periods(self, from_year: int) -> list[int]:
-        """Distinct vintage periods of the run from ``from_year`` on (a
-        bounded list, read once per session from the stored outputs)."""
-        key = f"_periods_{from_year}"
-        if key not in self._cache:
-            from ..functions.nasafe import distinct_values
-            self._cache[key] = distinct_values(
-                self.outputs.where(F.col("period") >= F.lit(from_year)), "period")
-        return self._cache[key]
+    def model_periods(self, from_year: int, shift: int = 0) -> Column:
+        """Distinct vintage periods of the run from ``from_year`` on, ``shift``
+        years later, as a scalar subquery over the stored outputs."""
+        from ..plans.update import model_periods
+        return model_periods(self.outputs, from_year, shift)
 
     def table(self, name: str) -> DataFrame:
         reader = self.spark.read

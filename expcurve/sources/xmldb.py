@@ -3,12 +3,16 @@
 The stored queries address elements by their ``type`` attribute, whatever
 the element's name (a sector may be a ``supplysector`` or a
 ``pass-through-sector``, a technology a ``stub-technology`` ...).  No list of
-names is kept: one pass over the files infers the structure of the
-``region`` elements, and every child with a ``type`` attribute is a
-candidate for its level.  The candidates of one level are brought to one
-shape and concatenated, so each table is one scan of the files with one
-explode per level.  Flatten once, write Parquet (partitioned by scenario and
-region), and run every query on the flat tables.
+names is kept: the *structure* of the ``region`` elements is inferred once
+from a set of files and stored beside them (``store_structure``), and every
+child with a ``type`` attribute is a candidate for its level.  An element of
+such a type that the stored structure does not know fails the job.
+
+Files are cut into records at the end tags of ``region`` (``market``), so one
+large file is read by many tasks, and each record is parsed against the
+structure: one scan of the files per table, over all scenarios at once, with
+one explode per level.  Flatten once, write Parquet (partitioned by scenario
+and region), and run every query on the flat tables.
 
 Text that is not well-formed, or not a number where one belongs, fails the
 job.  An absent or empty number is missing.
@@ -16,11 +20,13 @@ job.  An absent or empty number is missing.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 OUTPUT_VALUE = "physical-output"
 INPUT_VALUE = "price-paid"
@@ -33,8 +39,66 @@ _SECTOR = f"struct<name: string, children: array<{_SUBSECTOR}>>"
 MARKETS = "_name string, price array<struct<_year: int, _VALUE: double>>"
 
 
-def _read(spark: SparkSession, tag: str):
-    return spark.read.format("xml").option("rowTag", tag).option("mode", "FAILFAST")
+STRUCTURE = "_structure"                        # folders with a leading underscore are no data
+TYPES = ("sector", "subsector", "technology", "output", "input")
+
+
+def _general(kind: DataType, top: bool = False) -> DataType:
+    """A structure in which every element may be repeated and every value is text."""
+    if isinstance(kind, ArrayType):
+        return _general(kind.elementType)
+    if not isinstance(kind, StructType):
+        return StringType()
+    fields = [StructField(f.name, _general(f.dataType)) for f in kind.fields]
+    fields = [StructField(f.name, ArrayType(f.dataType)) if isinstance(f.dataType, StructType) else f for f in fields]
+    return StructType(fields)
+
+
+def infer_structure(spark: SparkSession, path: str) -> StructType:
+    """The structure of the ``region`` elements, by one pass over the files."""
+    regions = spark.read.format("xml").option("rowTag", "region").option("mode", "FAILFAST").option("inferSchema", False)
+    return _general(StructType([f for f in regions.load(path).schema.fields if f.name != "scenario"]))
+
+
+def store_structure(spark: SparkSession, path: str, structure: StructType | None = None) -> StructType:
+    """Keep a structure (default: the inferred one) beside the files of ``path``."""
+    structure = _general(structure) if structure is not None else infer_structure(spark, path)
+    (spark.createDataFrame([(structure.json(),)], "value string").coalesce(1)
+          .write.mode("overwrite").text(f"{path.rstrip('/')}/{STRUCTURE}"))
+    return structure
+
+
+def read_structure(spark: SparkSession, path: str) -> StructType:
+    """The stored structure of ``path``; inferred from the files, and not kept, where there is none."""
+    try:
+        stored = spark.read.text(f"{path.rstrip('/')}/{STRUCTURE}").first()
+    except AnalysisException:
+        return infer_structure(spark, path)
+    return StructType.fromJson(json.loads(stored[0]))
+
+
+def _records(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """One row per ``tag`` element (``xml``), with the partition columns of the path.
+
+    A record ends at the element's end tag; what comes before its start tag is
+    no part of it.  A start tag without an end gives a record that can't be parsed."""
+    text = spark.read.option("lineSep", f"</{tag}>").text(path)
+    body = F.regexp_replace("value", rf"<{tag}(\s[^>]*)?/>", "")
+    element = F.regexp_extract(body, rf"(?s)<{tag}[\s>].*", 0)
+    return (text.withColumn("xml", element).where("xml <> ''").drop("value")
+            .withColumn("xml", F.concat("xml", F.lit(f"</{tag}>"))))
+
+
+def _parsed(xml: Column, schema: StructType | str) -> Column:
+    return F.from_xml(xml, schema, {"mode": "FAILFAST"})
+
+
+def _names(kind: DataType) -> set[str]:
+    if isinstance(kind, ArrayType):
+        return _names(kind.elementType)
+    if not isinstance(kind, StructType):
+        return set()
+    return set(kind.names).union(*(_names(f.dataType) for f in kind.fields))
 
 
 def _field(e: Column, t: StructType, name: str, cast: str = "string") -> Column:
@@ -90,13 +154,18 @@ def _named(child_type: str, build, shape: str):
                                  _typed(e, t, child_type, build, shape).alias("children"))
 
 
-def read_regions(spark: SparkSession, path: str) -> DataFrame:
-    """The ``region`` elements as they stand, all values as text."""
-    return _read(spark, "region").option("inferSchema", False).load(path)
+def read_regions(spark: SparkSession, path: str, structure: StructType) -> DataFrame:
+    """The ``region`` elements as they stand (``r``), all values as text."""
+    records = _records(spark, path, "region")
+    typed = F.regexp_extract_all("xml", F.lit(rf"<([^\s<>/]+)\s[^<>]*?type\s*=\s*[\"'](?:{'|'.join(TYPES)})[\"']"), F.lit(1))
+    unknown = F.array_except(F.array_distinct(typed), F.array(*[F.lit(n) for n in sorted(_names(structure))]))
+    message = F.concat(F.lit("elements that the stored structure does not have: "), F.concat_ws(", ", unknown))
+    checked = F.when(F.size(unknown) > 0, F.raise_error(message).cast("string")).otherwise(F.col("xml"))
+    return records.withColumn("r", _parsed(checked, structure)).drop("xml")
 
 
-def technologies(regions: DataFrame, scenario: str, entry_type: str | None = None, value_tag: str = "") -> DataFrame:
-    """One row per technology element: its keys, capacity factor and the
+def technologies(regions: DataFrame, entry_type: str | None = None, value_tag: str = "") -> DataFrame:
+    """One row per technology element of ``regions`` (scenario, r): its keys, capacity factor and the
     (name, values) of its children of ``entry_type``."""
 
     def entry(e: Column, t: StructType) -> Column:
@@ -108,15 +177,14 @@ def technologies(regions: DataFrame, scenario: str, entry_type: str | None = Non
         return F.struct(_field(e, t, "_name").alias("name"), _field(e, t, "_year", "int").alias("period"),
                         _field(e, t, CAPACITY_FACTOR, "double").alias("capacity_factor"), entries.alias("entries"))
 
-    t = regions.schema
-    r = regions.select(F.struct("*").alias("r"))
+    t = regions.schema["r"].dataType
     subsector = _named("technology", technology, _TECHNOLOGY)
     sector = _named("subsector", subsector, _SUBSECTOR)
-    s = r.select(_field(F.col("r"), t, "_name").alias("region"),
-                 F.explode(_typed(F.col("r"), t, "sector", sector, _SECTOR)).alias("s"))
-    ss = s.select("region", F.col("s.name").alias("sector"), F.explode("s.children").alias("ss"))
-    tech = ss.select("region", "sector", F.col("ss.name").alias("subsector"), F.explode("ss.children").alias("t"))
-    return tech.select(F.lit(scenario).alias("scenario"), "region", "sector", "subsector",
+    s = regions.select("scenario", _field(F.col("r"), t, "_name").alias("region"),
+                       F.explode(_typed(F.col("r"), t, "sector", sector, _SECTOR)).alias("s"))
+    ss = s.select("scenario", "region", F.col("s.name").alias("sector"), F.explode("s.children").alias("ss"))
+    tech = ss.select("scenario", "region", "sector", F.col("ss.name").alias("subsector"), F.explode("ss.children").alias("t"))
+    return tech.select("scenario", "region", "sector", "subsector",
                        F.col("t.name").alias("technology"), F.col("t.period").alias("period"),
                        F.col("t.capacity_factor").alias("capacity_factor"), F.col("t.entries").alias("entries"))
 
@@ -130,19 +198,19 @@ def _values_table(tech: DataFrame, name_col: str) -> DataFrame:
     return v.select(*_KEYS, name_col, F.col("v.year").alias("year"), F.col("v.value").alias("value"))
 
 
-def flatten_model_output(spark: SparkSession, path: str, scenario: str) -> dict[str, DataFrame]:
-    """``outputs``, ``input_costs``, ``capacity_factors`` and
-    ``market_prices`` of one scenario's XML output."""
-    regions = read_regions(spark, path)
-    outputs = _values_table(technologies(regions, scenario, "output", OUTPUT_VALUE), "output")
-    costs = _values_table(technologies(regions, scenario, "input", INPUT_VALUE), "input")
-    cf = technologies(regions, scenario).where("capacity_factor is not null").select(
-        *_KEYS, F.col("capacity_factor").alias("value"))
-    markets = _read(spark, "market").schema(MARKETS).load(path)
-    prices = markets.select(F.lit(scenario).alias("scenario"), F.col("_name").alias("market"),
-                            F.explode("price").alias("p"))
-    prices = prices.select("scenario", "market", F.col("p._year").alias("year"),
-                           F.col("p._VALUE").alias("value"))
+def flatten_model_output(spark: SparkSession, path: str, scenario: str | None = None,
+                         structure: StructType | None = None) -> dict[str, DataFrame]:
+    """``outputs``, ``input_costs``, ``capacity_factors`` and ``market_prices``
+    of one scenario's XML output, or, without ``scenario``, of all scenarios
+    below ``path`` (folders ``scenario=...``)."""
+    name = F.col("scenario").cast("string") if scenario is None else F.lit(scenario)
+    regions = read_regions(spark, path, structure or read_structure(spark, path)).withColumn("scenario", name)
+    outputs = _values_table(technologies(regions, "output", OUTPUT_VALUE), "output")
+    costs = _values_table(technologies(regions, "input", INPUT_VALUE), "input")
+    cf = technologies(regions).where("capacity_factor is not null").select(*_KEYS, F.col("capacity_factor").alias("value"))
+    markets = _records(spark, path, "market").select(name.alias("scenario"), _parsed(F.col("xml"), MARKETS).alias("m"))
+    prices = (markets.select("scenario", F.col("m._name").alias("market"), F.explode("m.price").alias("p"))
+              .select("scenario", "market", F.col("p._year").alias("year"), F.col("p._VALUE").alias("value")))
     return {"outputs": outputs, "input_costs": costs, "capacity_factors": cf,
             "market_prices": prices}
 
@@ -171,6 +239,7 @@ def write_model_output(tables: dict[str, DataFrame], root: str) -> None:
     for tag, df, mode in (("region", regions, "overwrite"), ("market", prices, "append")):
         (df.write.format("xml").option("rowTag", tag).option("rootTag", "world").mode(mode)
            .option("partitionOverwriteMode", "static").partitionBy("scenario").save(root))
+    store_structure(regions.sparkSession, root, StructType([f for f in regions.schema.fields if f.name != "scenario"]))
 
 
 def _entries(df: DataFrame, name_col: str, tag: str, value_tag: str) -> DataFrame:

@@ -23,7 +23,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import constants as K
-from ..functions.nasafe import distinct_values
 from ..plans import update as U
 from ..schemas import OUTPUTS
 from ..sinks import write_cost_updates
@@ -55,7 +54,7 @@ class UpdateJob:
                               ).agg(F.min("period")).first()[0]
         if first is None:
             return
-        current = distinct_values(history.where(F.col("period") >= F.lit(first)), "period")
+        current, after = (U.model_periods(history, first, shift) for shift in (0, self.step))
         history = history.drop("batch_id")
         gen_all, costs_all, cf_all = U.update_inputs(history, self.read_input_costs(),
                                                      self.read_capacity_factors(),
@@ -63,7 +62,7 @@ class UpdateJob:
         adj = U.period_cost_update(gen_all, cf_all, self.params, self.nonlearning,
                                    self.cal_adders, self.base_year, self.step,
                                    update_years=current)
-        merged = U.merge_costs(costs_all, adj, [p + self.step for p in current])
+        merged = U.merge_costs(costs_all, adj, after)
         write_cost_updates(merged, self.costs_path)
 
 

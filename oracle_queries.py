@@ -214,7 +214,7 @@ tech_strict AS (SELECT l.scenario, l.region, l.year, m.sector, m.subsector, m.te
                        {strict('l.learned_cost')} AS learned_cost
                 FROM lagged l LEFT JOIN learning_map m USING (learning_component)
                 GROUP BY 1, 2, 3, 4, 5, 6),
-overnight AS (SELECT c.scenario, c.region, c.sector, c.subsector, c.technology, c.year,
+overnight AS (SELECT c.scenario, region, sector, subsector, technology, c.year,
                      c.value / f.FCR * {H} * c.cap_factor * {KWH_GJ} AS cap_cost
               FROM costs_cf c RIGHT JOIN tech_fcr f USING (region, sector, subsector, technology)),
 nl_storage_long AS (SELECT scenario, region, year, sector, subsector,

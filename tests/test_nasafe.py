@@ -130,11 +130,18 @@ def test_complete_years_fills_grid(spark):
     assert "Join" not in plan and "CartesianProduct" not in plan
 
 
-def test_distinct_values_is_bounded(spark):
-    df = spark.range(50).withColumnRenamed("id", "y")
-    with pytest.raises(ValueError):
-        N.distinct_values(df, "y", max_values=10)
-    assert N.distinct_values(df.where("y < 3"), "y") == [0, 1, 2]
+def test_distinct_list_is_part_of_the_plan(spark):
+    df = spark.range(5000).selectExpr("id % 2500 as y")
+    out = spark.range(1).select(F.size(N.distinct_list(df, "y")).alias("n"))
+    assert out.first().n == 2500                       # no bound, and no list in the driver program
+    assert "Subquery" in out._jdf.queryExecution().executedPlan().toString()
+    assert spark.range(1).select(N.distinct_list(df.where("y < 3"), "y")).first()[0] == [0, 1, 2]
+
+
+def test_zero_divisor(spark):
+    df = spark.createDataFrame([(1.0,), (-1.0,), (0.0,), (float("nan"),), (None,)], "n double")
+    got = [r[0] for r in df.select(N.divide(F.col("n"), F.lit(0.0))).collect()]
+    assert got[:2] == [math.inf, -math.inf] and math.isnan(got[2]) and math.isnan(got[3]) and got[4] is None
 
 
 def test_na_drop_and_fill_treat_nan_as_missing(spark):  # R11 / R9

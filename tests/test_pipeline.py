@@ -315,3 +315,35 @@ def test_overnight_cost_keeps_unmatched_rates(spark):
     assert got["PV"]["cap_cost"] > 0
     assert got["wind"]["scenario"] is None and got["wind"]["year"] is None and got["wind"]["cap_cost"] is None
     assert P.overnight_cost(costs, cf, fcr, keep_unmatched=False).count() == 1
+
+
+def _named(spark, rows_):
+    return spark.createDataFrame(rows_, "scenario string, region string, sector string, subsector string, "
+                                 "technology string, year int, value double")
+
+
+def test_shared_names_fail_only_where_generation_meets_them(spark):
+    """A capacity factor is matched by name; a name that two sectors share may exist, but not be used."""
+    cf = _named(spark, [("S", "R", "electricity", "PV", "PV", 2020, 0.25), ("S", "R", "heat", "coal", "coal", 2020, 0.5),
+                        ("S", "R", "industry", "coal", "coal", 2020, 0.75)])
+    used = _named(spark, [("S", "R", "electricity", "PV", "PV", 2020, 1.0)])
+    kw = {"include": None, "exclude": None, "rules": [("PV", "solar")]}
+    got = C.capacity_new(used, cf, **kw).collect()
+    assert [(r.technology, r.units) for r in got] == [("solar", "GW")] and got[0].capacity > 0
+    clash = used.unionByName(_named(spark, [("S", "R", "electricity", "coal", "coal", 2020, 1.0)]))
+    with pytest.raises(Exception, match="several sectors or subsectors"):
+        C.capacity_new(clash, cf, **kw).collect()
+    labelled = clash.withColumn("technology", F.concat("technology", F.lit(",year=2020")))
+    with pytest.raises(Exception, match="several sectors or subsectors"):
+        C.capacity_installed(labelled, cf, **kw).collect()
+
+
+def test_two_costs_for_one_side_fail(spark):
+    cf = _named(spark, [("S", "R", "electricity", "CSP", t, 2020, 0.5) for t in ("CSP", "CSP_storage")])
+    cost = _named(spark, [("S", "R", "electricity", "CSP", t, 2020, v) for t, v in (("CSP", 1.0), ("CSP_storage", 3.0))])
+    nl = P.nonlearning_storage(cost, cf, tech_regex="^CSP").collect()
+    assert [r.technology for r in nl] == ["CSP_storage"] and nl[0].nonlearning_cap > 0
+    one = P.nonlearning_storage(cost.where("technology = 'CSP'"), cf, tech_regex="^CSP").collect()
+    assert [(r.technology, r.nonlearning_cap) for r in one] == [("CSP_storage", None)]
+    with pytest.raises(Exception, match="two costs for one side"):
+        P.nonlearning_storage(cost.unionByName(cost), cf, tech_regex="^CSP").collect()

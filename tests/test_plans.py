@@ -53,3 +53,63 @@ def test_fact_table_is_never_broadcast(spark):
     assert li
     above = plan.splitlines()[max(0, li[0] - 3):li[0]]
     assert not any("BroadcastExchange" in line for line in above)
+
+
+def final_plan(df) -> str:
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def scans(plan: str, table: str) -> int:
+    """Scans of a stored table in an executed plan; what is reused is listed without its scan."""
+    final = plan.split("\n+- == Initial Plan ==")[0]
+    return sum("FileScan parquet" in line and f"/{table}]" in line for line in final.splitlines())
+
+
+@pytest.fixture(scope="module")
+def ctx(spark):
+    from expcurve.plans.catalog import Ctx
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    return Ctx(spark, SF)
+
+
+def test_calibration_scans_each_fact_once(ctx):
+    plan = final_plan(ctx.calibration().adders)
+    assert scans(plan, "input_costs") == 1 and scans(plan, "capacity_factors") <= 2
+    assert plan.split("\n+- == Initial Plan ==")[0].count("Exchange hashpartitioning") <= 6
+
+
+def test_generation_union_is_one_scan(ctx):
+    from expcurve.operators.techmap import generation_union
+
+    plan = final_plan(generation_union(ctx.d.outputs, ctx.d.cooling_tech_map))
+    assert scans(plan, "outputs") == 1 and "Union" not in plan
+
+
+def test_update_has_one_vintage_chain(ctx):
+    plan = final_plan(ctx.cost_update_one_period(1999))
+    assert scans(plan, "outputs") == 1 and scans(plan, "capacity_factors") == 2   # vintages and the next period
+
+
+def test_component_sums_are_partial_before_the_exchange(ctx):
+    from expcurve.operators import capacity as C
+
+    plan = C.component_rollup(ctx.capacity(), ctx.params["deployment_map"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_sum" in plan and "REPARTITION" not in plan
+
+
+def test_plans_are_built_without_jobs(ctx):
+    """Year lists are scalar subqueries: building a query runs nothing."""
+    tracker = ctx.d.spark.sparkContext.statusTracker()
+    ctx.calibration_params()                       # stored tables are written on first use
+    group = "plan-building"
+    ctx.d.spark.sparkContext.setJobGroup(group, group)
+    try:
+        built = [ctx.learned_components(), ctx.cost_update()]
+        assert tracker.getJobIdsForGroup(group) in ([], ()) and len(built) == 2
+    finally:
+        ctx.d.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from expcurve.sinks import write_cost_updates, write_param_csv
+from expcurve.sources import xmldb
 from expcurve.sources.params import read_param_csv
 from expcurve.sources.scenarios import load_scenarios, write_scenarios
 from expcurve.sources.xmldb import flatten_model_output, write_flat_tables, write_model_output
@@ -49,7 +50,7 @@ def test_xml_element_names_do_not_matter(spark, tmp_path):
     assert rows(t["capacity_factors"], "technology", "value") == [("T", 0.5)]
     for name in t:                                  # one scan of the XML per table
         plan = t[name]._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("FileScan xml") == 1
+        assert plan.count("FileScan text") == 1 and "FileScan xml" not in plan
 
 
 def test_xml_damage_fails(spark, tmp_path):
@@ -60,6 +61,62 @@ def test_xml_damage_fails(spark, tmp_path):
         flatten_model_output(spark, str(path), "S")["outputs"].collect()
 
 
+REGION = """<region name="{r}"><supplysector name="electricity" type="sector"><subsector name="s{k}" type="subsector">
+  <technology name="T" type="technology" year="2020"><capacity-factor>0.5</capacity-factor>
+    <output-primary name="electricity" type="output"><physical-output vintage="2020">{v}</physical-output></output-primary>
+  </technology><stub-technology name="U" type="technology" year="2025"/></subsector></supplysector></region>"""
+
+
+def regions_text(n):
+    return "".join(REGION.format(r=f"R{i % 7}", k=i, v=i) for i in range(n))
+
+
+def test_one_large_xml_file_is_many_tasks(spark, tmp_path):
+    path = tmp_path / "model.xml"
+    path.write_text(f'<?xml version="1.0"?><world><region name="none"/>\n{regions_text(900)}<market name="m"/></world>')
+    structure = xmldb.infer_structure(spark, str(path))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        t = flatten_model_output(spark, str(path), "S", structure)["outputs"]
+        assert t.rdd.getNumPartitions() > 4
+        assert sorted((r.region, r.subsector, r.value) for r in t.collect()) == sorted(
+            (f"R{i % 7}", f"s{i}", float(i)) for i in range(900))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_structure_is_stored_and_guarded(spark, tmp_path, monkeypatch):
+    """Scenarios of one folder are read at once against the stored structure; nothing is inferred again."""
+    for s in ("A", "B"):
+        (tmp_path / f"scenario={s}").mkdir()
+        (tmp_path / f"scenario={s}" / "m.xml").write_text(f"<world>{regions_text(3 if s == 'A' else 2)}</world>")
+    xmldb.store_structure(spark, str(tmp_path))
+    monkeypatch.setattr(xmldb, "infer_structure", None)
+    t = flatten_model_output(spark, str(tmp_path))
+    assert sorted((r.scenario, r.region, r.value) for r in t["outputs"].collect()) == [
+        ("A", "R0", 0.0), ("A", "R1", 1.0), ("A", "R2", 2.0), ("B", "R0", 0.0), ("B", "R1", 1.0)]
+    assert t["capacity_factors"].count() == 5 and t["market_prices"].count() == 0
+    # two technologies where the structure was inferred from one, and a technology by another name
+    more = REGION.replace("</technology>", "</technology><technology name='V' type='technology' year='2020'>"
+                          "<capacity-factor>0.25</capacity-factor></technology>").format(r="X", k=1, v=1)
+    (tmp_path / "scenario=A" / "n.xml").write_text(f"<world>{more}</world>")
+    assert flatten_model_output(spark, str(tmp_path))["capacity_factors"].count() == 7
+    (tmp_path / "scenario=A" / "n.xml").write_text(f"<world>{more.replace('stub-technology', 'new-technology')}</world>")
+    with pytest.raises(Exception, match="new-technology"):
+        flatten_model_output(spark, str(tmp_path))["outputs"].collect()
+
+
+@pytest.mark.parametrize("damage", [lambda t: t[:-60], lambda t: t.replace("</region>", "", 1), lambda t: t.replace("</technology>", "", 1)])
+def test_xml_damaged_records_fail(spark, tmp_path, damage):
+    path = tmp_path / "model.xml"
+    path.write_text("<world>" + damage(regions_text(4)) + "</world>")
+    (tmp_path / "good.xml").write_text("<world>" + regions_text(1) + "</world>")
+    structure = xmldb.infer_structure(spark, str(tmp_path / "good.xml"))
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        flatten_model_output(spark, str(path), "S", structure)["outputs"].collect()
+
+
 def test_xml_round_trip(spark, tmp_path):
     t = flatten_model_output(spark, XML, "Reference_exogenous")
     write_model_output(t, str(tmp_path / "xml"))
