@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -9,6 +10,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,16 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again and again, and what one stage freed would
+    else count beside what the next one takes."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass                                  # another C library
+
+
 #: Texts are long: a batch of 10,000 of them would take tens of MB several times over in a JVM and its workers.
 BATCH_BYTES = 4 << 20
 
@@ -61,7 +73,12 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     limit = df.sparkSession.conf.get(name).rstrip("bB")
     if not limit.isdigit() or int(limit) > BATCH_BYTES:
         df.sparkSession.conf.set(name, f"{BATCH_BYTES}b")
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(trimmed, schema)
 
 
 def text_or_empty(column: str = "text"):

@@ -91,6 +91,11 @@ class ByteBpe:
                                        special_tokens={})._core_bpe.encode_ordinary
         self.units = _Units(self._merged, kept)
 
+    def forget(self) -> None:
+        """Drop the units kept, so a worker that goes on with other work does not hold them."""
+        self.units.before = {}
+        self.units.clear()
+
     def _merged(self, text: str) -> bytes:
         return array("I", self.merge(text)).tobytes()
 
@@ -209,11 +214,12 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
                     own = ids[4 * start:4 * (start + n)]
                     ready(bins.add((doc_id, start, n, zlib.crc32(own), total, own if with_ids else None), n))
                     start += n
-                if len(out) > 20_000:
+                if len(out) > 4_000:
                     yield batch(out)
                     out = []
         ready(bins.finish())
         yield batch(out)
+        tokenizer.forget()
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")),
                      run, PIECES)

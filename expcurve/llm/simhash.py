@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -95,8 +94,8 @@ def _signed(mask: int) -> int:
 
 
 def _forest(max_distance: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.unique(group["fp"].to_numpy(np.int64)).view(np.uint64)
+    def run(group: pa.Table) -> pa.Table:
+        x = np.unique(group.column("fp").to_numpy()).view(np.uint64)
         left = np.ones(len(x), dtype=bool)
         found: list[tuple[int, int]] = []
         for first in range(len(x)):
@@ -112,7 +111,7 @@ def _forest(max_distance: int):
                 found += [(at, i) for i in new.tolist()]
         signed = x.view(np.int64)
         pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": signed[pairs[:, 0]], "b": signed[pairs[:, 1]]})
+        return pa.table({"a": signed[pairs[:, 0]], "b": signed[pairs[:, 1]]})
 
     return run
 
@@ -144,7 +143,7 @@ def fingerprint_links(fps: DataFrame, max_distance: int = 3, segments: int = 8,
                .select("slot", "key", "fp", F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"),
                        F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
                .select("slot", "key", "fp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-               .groupBy("slot", "key", "lo", "hi").applyInPandas(_forest(max_distance), "a long, b long"))
+               .groupBy("slot", "key", "lo", "hi").applyInArrow(_forest(max_distance), "a long, b long"))
     return pairs.union(forests)
 
 

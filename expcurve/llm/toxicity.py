@@ -25,7 +25,6 @@ from functools import lru_cache
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +39,7 @@ STEMS = (3, 4, 5, 6)
 _NONE = (0,) * (1 + len(STEMS))
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 32_000_000
-KEPT_WORDS = 1 << 17
+KEPT_WORDS = 1 << 16
 SCORE_STEPS = 500
 BROADCAST_LANGS = 100_000
 _GROUP_WORDS = 100_000
@@ -51,7 +50,7 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 14)
 def _stem_ids(start: str) -> tuple[int, ...]:
     """Buckets of the beginnings of all words longer than STEMS that start like this, or of this one short word."""
     return tuple(1 + zlib.crc32(start[:n].encode("utf-8", "replace"), n) % (BUCKETS - 1) if len(start) > n else 0
@@ -358,17 +357,17 @@ def lang_cuts(model: ConvModel, scored: DataFrame, labels: DataFrame, label_col:
     outside = {r["_y"]: r["n"] for r in counts.groupBy("_y").agg(F.sum("n").alias("n")).collect()}
     weight = {y: rate[y] / n for y, n in outside.items()}
 
-    def cut(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["step", "_y"])
-        y = group["_y"].to_numpy(np.float64)
-        w = group["n"].to_numpy(np.float64) * group["_y"].map(weight).to_numpy(np.float64)
-        best = best_threshold(group["step"].to_numpy() / SCORE_STEPS, y, w)
-        return pd.DataFrame({"lang": group["lang"].iloc[:1], "cut": [best]})
+    def cut(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("step", "ascending"), ("_y", "ascending")])
+        y = group.column("_y").to_numpy()
+        w = group.column("n").to_numpy() * np.where(y > 0, weight.get(1, 0.0), weight.get(0, 0.0))
+        best = best_threshold(group.column("step").to_numpy() / SCORE_STEPS, y.astype(np.float64), w)
+        return pa.table({"lang": group.column("lang").slice(0, 1), "cut": pa.array([best])})
 
     if not model.trained_ids:
         return spark.createDataFrame([], "lang string, cut double")
     ship_package(spark)
-    return stored(counts.groupBy("lang").applyInPandas(cut, "lang string, cut double"), "cuts")
+    return stored(counts.groupBy("lang").applyInArrow(cut, "lang string, cut double"), "cuts")
 
 
 def with_threshold(df: DataFrame, cuts: DataFrame, column: str, default: float = 0.5) -> DataFrame:
