@@ -35,15 +35,32 @@ def divide(n, d) -> Column:
     return F.when(d == F.lit(0.0), over_zero).otherwise(F.try_divide(n, d))
 
 
+def order_free_sum(c: ColumnOrName) -> Column:
+    """Sum of doubles that is the same to the last bit in whatever order and
+    partitions the rows come; missing values are ignored, all missing is missing.
+
+    Values are added as decimals: below 1e9 with 18 places (1e-18 EJ is one
+    joule), below 1e18 with 9 places, which is finer than doubles of that size.
+    A group can have 1e11 rows.  Larger values, infinities and NaN are added as
+    doubles."""
+    c = _c(c).cast("double")
+    size = F.abs(c)
+    fine = F.sum(F.when(size < 1e9, c.try_cast("decimal(38,18)")))
+    large = F.sum(F.when((size >= 1e9) & (size < 1e18), c.try_cast("decimal(38,9)")))
+    rest = F.sum(F.when(size >= 1e18, c))
+    parts = [F.coalesce(x.cast("double"), F.lit(0.0)) for x in (fine, large, rest)]
+    return F.when(F.count(c) > 0, parts[0] + parts[1] + parts[2])
+
+
 def strict_sum(c: ColumnOrName) -> Column:
     """``sum(x)``: one missing value makes the group's sum missing."""
     c = _c(c)
-    return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
+    return F.when(F.count(c) == F.count(F.lit(1)), order_free_sum(c))
 
 
 def sum_na_rm(c: ColumnOrName) -> Column:
     """``sum(x, na.rm = TRUE)``: missing values ignored, all missing -> 0."""
-    return F.coalesce(F.sum(_c(c)), F.lit(0.0))
+    return F.coalesce(order_free_sum(c), F.lit(0.0))
 
 
 def strict_cumsum(c: ColumnOrName, partition_by: Sequence[str], order_by: Sequence[str]) -> Column:

@@ -16,7 +16,7 @@ from ..operators import capacity as C
 from ..operators import capital as P
 from ..operators import learning as L
 from ..operators import techmap as T
-from ..sinks import write_cost_updates, write_param_csv
+from ..sinks import read_cost_updates, write_cost_updates, write_param_csv
 from ..sources import queries as Q
 from ..sources.params import read_param_csv
 from ..sources.scenarios import load_scenarios, write_scenarios
@@ -83,6 +83,11 @@ class Ctx:
             self.d.outputs, region=None, rewrites=self.d.label_rewrites,
             exclude_technologies=self.d.cooling_tech_map.select("technology_passthru"))
 
+    def q5_rows(self) -> DataFrame:
+        return Q.all_vintage_rows(
+            self.d.outputs, region=None, rewrites=self.d.label_rewrites,
+            exclude_technologies=self.d.cooling_tech_map.select("technology_passthru"))
+
     def q6(self) -> DataFrame:
         return Q.market_price_query(self.d.market_prices)
 
@@ -169,10 +174,10 @@ class Ctx:
         merged = U.merge_costs(self.update_inputs()[1], self.cost_update(),
                                self.next_years)
         return self.round_trip("cost_write_back", lambda p: write_cost_updates(merged, p),
-                               lambda p: self.d.spark.read.parquet(p))
+                               lambda p: read_cost_updates(self.d.spark, p))
 
     def gen_by_fuel(self) -> DataFrame:
-        return R.generation_by_fuel(self.q5(), TD.FUEL_RULES, levels=TD.FUEL_LEVELS)
+        return R.generation_by_fuel(self.q5_rows(), TD.FUEL_RULES, levels=TD.FUEL_LEVELS)
 
     def capacity_new(self) -> DataFrame:
         return C.capacity_new(self.q2(), self.q3(), TD.CAPACITY_INCLUDE_REGEX,

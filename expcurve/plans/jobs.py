@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import capacity as C
 from ..operators import capital as P
+from ..session import ensure_checkpoint_dir
 from ..sinks import write_cost_updates, write_param_csv
 from ..sources import queries as Q
 from ..sources.params import read_params
@@ -74,8 +75,10 @@ def results(spark: SparkSession, flat_root: str, out_root: str,
     q4 = Q.input_cost_query(flat["input_costs"], region=region)
     q2 = Q.labelled_new_vintage_generation(flat["outputs"], region=region)
     q5 = Q.all_vintage_generation(flat["outputs"], region=region)
-    gen = R.generation_by_fuel(q5)
-    new = C.capacity_new(q2, q3)
+    # used by several tables each: computed once, kept in the shared checkpoint folder
+    ensure_checkpoint_dir(spark)
+    gen = R.generation_by_fuel(Q.all_vintage_rows(flat["outputs"], region=region)).checkpoint()
+    new = C.capacity_new(q2, q3).checkpoint()
     tables = {
         "capital_cost": P.capital_cost_view(P.capital_cost_series(q4)),
         "new_capacity": R.chart_table(new, levels=K.CAPACITY_LEVELS),

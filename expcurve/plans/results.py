@@ -13,13 +13,16 @@ from ..functions.nasafe import (categorise, grepl, ordinal, pivot_checked, separ
                                 strict_sum, unpivot)
 
 
-def generation_by_fuel(gen_q5: DataFrame, rules: Sequence[tuple[str, str]] = K.FUEL_RULES,
+def generation_by_fuel(gen: DataFrame, rules: Sequence[tuple[str, str]] = K.FUEL_RULES,
                        ccs_regex: str = K.FUEL_CCS_REGEX,
                        ccs_labels: tuple[str, str] = K.FUEL_CCS_LABELS,
                        levels: Sequence[str] = K.FUEL_LEVELS) -> DataFrame:
     """Generation by fuel category and CCS flag (first matching rule
-    wins, unmatched technologies keep their name)."""
-    df = separate(gen_q5, "technology", ["technology", "vintage"], ",")
+    wins, unmatched technologies keep their name).  ``gen`` is Q5, or its rows
+    before the sum (``all_vintage_rows``): these are summed once, straight to
+    fuels, and the facts are not shuffled by vintage.  A missing value makes
+    its fuel's sum missing in both forms."""
+    df = gen if "vintage" in gen.columns else separate(gen, "technology", ["technology", "vintage"], ",")
     df = df.select("scenario", "region", "year", "value",
                    F.when(grepl("technology", ccs_regex), F.lit(ccs_labels[0]))
                     .otherwise(F.lit(ccs_labels[1])).alias("CCS"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.nasafe import grepl
+from ..functions.nasafe import grepl, order_free_sum
 from ..operators.joins import small
 from ..operators.techmap import rewrite_labels
 
@@ -44,17 +44,11 @@ def _exclude_technologies(df: DataFrame, exclude: Exclusion) -> DataFrame:
     return df.where(~F.coalesce(F.col("technology").isin(*exclude), F.lit(False)))
 
 
-def generation_query(outputs: DataFrame, region: str | None = K.DEFAULT_REGION,
-                     new_vintage_only: bool = True,
-                     exclude_technologies: Exclusion = K.PASSTHRU_EXCLUDED_TECHNOLOGIES,
-                     rewrites=None, vintage_label: bool = False,
-                     excluded_subsector: str = K.EXCLUDED_SUBSECTOR, **sector_kw) -> DataFrame:
-    """Q1 / Q2 / Q5: electricity generation by technology.
-
-    ``new_vintage_only`` keeps values whose year is the technology's own
-    year; ``rewrites`` relabels sector/subsector (D27); ``vintage_label``
-    appends ``,year=<vintage>`` to the technology name.  Values of rows
-    that end up with the same labels are summed, as the query tool does."""
+def generation_rows(outputs: DataFrame, region: str | None = K.DEFAULT_REGION,
+                    new_vintage_only: bool = True,
+                    exclude_technologies: Exclusion = K.PASSTHRU_EXCLUDED_TECHNOLOGIES,
+                    rewrites=None, excluded_subsector: str = K.EXCLUDED_SUBSECTOR, **sector_kw) -> DataFrame:
+    """The rows that Q1 / Q2 / Q5 sum, with the vintage as ``period``."""
     df = _region(outputs, region).where(elec_sector_predicate(**sector_kw))
     df = df.where(F.coalesce(F.col("subsector") != F.lit(excluded_subsector), F.lit(True)))
     if new_vintage_only:
@@ -62,12 +56,24 @@ def generation_query(outputs: DataFrame, region: str | None = K.DEFAULT_REGION,
     df = _exclude_technologies(df, exclude_technologies)
     if rewrites is not None:
         df = rewrite_labels(df, rewrites)
+    return df
+
+
+def generation_query(outputs: DataFrame, region: str | None = K.DEFAULT_REGION,
+                     new_vintage_only: bool = True, vintage_label: bool = False, **kw) -> DataFrame:
+    """Q1 / Q2 / Q5: electricity generation by technology.
+
+    ``new_vintage_only`` keeps values whose year is the technology's own
+    year; ``rewrites`` relabels sector/subsector (D27); ``vintage_label``
+    appends ``,year=<vintage>`` to the technology name.  Values of rows
+    that end up with the same labels are summed, as the query tool does."""
+    df = generation_rows(outputs, region, new_vintage_only, **kw)
     tech = F.col("technology")
     if vintage_label:
         tech = F.concat(tech, F.lit(",year="), F.col("period").cast("string"))
     return (df.groupBy("scenario", "region", "sector", "subsector", tech.alias("technology"),
                        "year")
-              .agg(F.sum("value").alias("value")))
+              .agg(order_free_sum("value").alias("value")))
 
 
 def new_vintage_generation(outputs: DataFrame, **kw) -> DataFrame:
@@ -86,6 +92,14 @@ def all_vintage_generation(outputs: DataFrame, rewrites=K.LABEL_REWRITES, **kw)
                             vintage_label=True, **kw)
 
 
+def all_vintage_rows(outputs: DataFrame, rewrites=K.LABEL_REWRITES, **kw) -> DataFrame:
+    """The rows of Q5 before its sum, for consumers that sum over vintages
+    themselves: the vintage is a column, no label is made to be split again."""
+    return (generation_rows(outputs, new_vintage_only=False, rewrites=rewrites, **kw)
+            .select("scenario", "region", "sector", "subsector", "technology",
+                    F.col("period").alias("vintage"), "year", "value"))
+
+
 def capacity_factor_query(capacity_factors: DataFrame,
                           region: str | None = K.DEFAULT_REGION) -> DataFrame:
     """Q3: capacity factor of every technology; year = technology year."""

@@ -252,6 +252,8 @@ def test_generation_union(facts, params):
 def test_results_diffs(facts):
     q5 = Q.all_vintage_generation(facts["outputs"], region=None)
     gen = R.generation_by_fuel(q5)
+    direct = R.generation_by_fuel(Q.all_vintage_rows(facts["outputs"], region=None))
+    assert rows(direct) == rows(gen.select(*direct.columns))
     d = R.diff_to_reference(gen)
     ids = ["region", "technology", "CCS", "year"]
     ref = d.where(f"scenario = '{REF}'").select(*ids, F.col("value").alias("ref"))
@@ -277,7 +279,9 @@ def test_capacity_tables(facts):
                     "year", "cum_cap"))
     assert 0 < nuc[2020] < float("inf") and nuc[2025] == nuc[2030] == float("inf")
     inst = C.capacity_installed(Q.all_vintage_generation(facts["outputs"], region=None), q3)
-    assert inst.count() > 0
+    one = inst.where(f"scenario = '{REF}' and region = 'USA' and technology = 'nuclear'").groupBy("year").count()
+    assert inst.count() == inst.select("scenario", "region", "year", "sector", "subsector", "technology").distinct().count()
+    assert {r["year"] for r in one.collect()} >= {2020, 2025, 2030}
 
 
 def test_capital_cost_series_and_carbon_price(spark, facts):

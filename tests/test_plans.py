@@ -113,3 +113,12 @@ def test_plans_are_built_without_jobs(ctx):
         assert tracker.getJobIdsForGroup(group) in ([], ()) and len(built) == 2
     finally:
         ctx.d.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_fuel_sums_shuffle_once_and_pivots_once_more(spark):
+    from expcurve.plans.catalog import queries
+
+    for name, most in (("generation_by_fuel", 2), ("diff_to_reference", 3), ("diff_pair", 3)):
+        plan = queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= most, name

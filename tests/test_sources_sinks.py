@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from expcurve.sinks import write_cost_updates, write_param_csv
+from expcurve.sinks import read_cost_updates, write_cost_updates, write_param_csv
 from expcurve.sources import xmldb
 from expcurve.sources.params import read_param_csv
 from expcurve.sources.scenarios import load_scenarios, write_scenarios
@@ -156,7 +156,7 @@ def test_cost_write_back_replaces_one_period(spark, tmp_path):
     path = str(tmp_path / "costs")
     write_cost_updates(base, path)
     write_cost_updates(spark.createDataFrame([("S", "USA", 2025, "capital", 9.0)], k), path)
-    got = rows(spark.read.parquet(path), "period", "adjusted_cost")
+    got = rows(read_cost_updates(spark, path), "period", "adjusted_cost")
     assert got == [(2020, 1.0), (2025, 9.0)]
 
 
@@ -167,4 +167,25 @@ def test_cost_updates_of_one_region_keep_the_others(spark, tmp_path):
     write_cost_updates(base, path)
     for region, cost in (("USA", 20.0), ("EU", 30.0)):
         write_cost_updates(spark.createDataFrame([("S", region, 2025, "capital", cost)], k), path)
-    assert rows(spark.read.parquet(path), "region", "adjusted_cost") == [("EU", 30.0), ("USA", 20.0)]
+    assert rows(read_cost_updates(spark, path), "region", "adjusted_cost") == [("EU", 30.0), ("USA", 20.0)]
+
+
+def test_cost_updates_are_published_whole(spark, tmp_path):
+    """A write that ends before its list entry, some partitions done, is never seen."""
+    k = "scenario string, region string, period int, input string, adjusted_cost double"
+    path = str(tmp_path / "costs")
+    write_cost_updates(spark.createDataFrame([("S", "USA", y, "capital", 1.0) for y in (2020, 2025, 2030)], k), path)
+    before = rows(read_cost_updates(spark, path))
+    half = spark.createDataFrame([("S", "USA", 2020, "capital", 7.0)], k)
+    half.write.partitionBy("scenario", "region", "period").parquet(f"{path}/rows/write=w-killed")
+    assert rows(read_cost_updates(spark, path)) == before
+    write_cost_updates(half, path)
+    assert rows(read_cost_updates(spark, path), "period", "adjusted_cost") == [(2020, 7.0), (2025, 1.0), (2030, 1.0)]
+
+
+def test_cost_updates_with_missing_and_numeric_keys(spark, tmp_path):
+    k = "scenario string, region string, period int, input string, adjusted_cost double"
+    path = str(tmp_path / "costs")
+    write_cost_updates(spark.createDataFrame([("1", None, 2020, "capital", 1.0), ("2", None, 2020, "capital", 2.0)], k), path)
+    write_cost_updates(spark.createDataFrame([("2", None, 2020, "capital", 3.0)], k), path)
+    assert [r[0] for r in read_cost_updates(spark, path).orderBy("scenario").select("adjusted_cost").collect()] == [1.0, 3.0]

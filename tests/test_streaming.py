@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from expcurve.plans import calibration as CAL
 from expcurve.plans import update as U
 from expcurve.sources import queries as Q
+from expcurve.sinks import read_cost_updates
 from expcurve.streaming.periods import UpdateJob, start_period_updates
 from tests.conftest import rows
 from tests.test_pipeline import REF, build_facts
@@ -26,7 +27,7 @@ def test_stream_of_periods_matches_batch(spark, params, tmp_path):
         q = start_period_updates(spark, out_dir, job, ckpt)
         q.awaitTermination(300)
         assert q.exception() is None
-    streamed = spark.read.parquet(str(tmp_path / "costs"))
+    streamed = read_cost_updates(spark, str(tmp_path / "costs"))
     assert {r[0] for r in streamed.select("period").distinct().collect()} == {2020, 2025, 2030}
 
     gen_all, costs_all, cf_all = U.update_inputs(outputs.where("period <= 2025"), facts["input_costs"],
@@ -49,10 +50,10 @@ def test_replayed_batch_is_idempotent(spark, params, tmp_path):
                     str(tmp_path / "history"), str(tmp_path / "costs"))
     batch = facts["outputs"].where(F.col("period").isin(2015, 2020))
     job.run_batch(batch, 0)
-    first = rows(spark.read.parquet(str(tmp_path / "costs")))
+    first = rows(read_cost_updates(spark, str(tmp_path / "costs")))
     hist_n = spark.read.parquet(str(tmp_path / "history")).count()
     job.run_batch(batch, 0)                         # the same batch again
-    assert rows(spark.read.parquet(str(tmp_path / "costs"))) == first
+    assert rows(read_cost_updates(spark, str(tmp_path / "costs"))) == first
     assert spark.read.parquet(str(tmp_path / "history")).count() == hist_n
 
 
@@ -76,7 +77,7 @@ def test_late_rows_update_all_later_periods(spark, params, tmp_path):
         late_job.run_batch(batch, n)
     whole.run_batch(run, 0)
     assert run.where(late).count() > 0
-    assert rows(spark.read.parquet(late_job.costs_path)) == rows(spark.read.parquet(whole.costs_path))
-    before = rows(spark.read.parquet(late_job.costs_path))
+    assert rows(read_cost_updates(spark, late_job.costs_path)) == rows(read_cost_updates(spark, whole.costs_path))
+    before = rows(read_cost_updates(spark, late_job.costs_path))
     late_job.run_batch(run.limit(0), 2)             # an empty batch changes nothing
-    assert rows(spark.read.parquet(late_job.costs_path)) == before
+    assert rows(read_cost_updates(spark, late_job.costs_path)) == before
