@@ -575,6 +575,39 @@ def test_recall_on_the_given_vectors(spark):
     assert got <= want and got >= 0.9 * want
 
 
+@pytest.mark.parametrize("share", [0.0, 0.5, 0.8, 0.9])
+@pytest.mark.parametrize("dim", [64, 384])
+def test_codes_find_pairs_whatever_the_vectors_share(dim, share):
+    """Vectors with a common direction: their mean cosine is ``share``."""
+    rng = np.random.default_rng(5)
+    common = rng.normal(size=dim)
+    common /= np.linalg.norm(common)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    x = unit(np.sqrt(share) * common + np.sqrt(1 - share) * unit(rng.normal(size=(3000, dim))))
+    mean, projection, tables, _ = itq.fit_codes(x, dim, 0.98)
+    near = unit(x + unit(rng.normal(size=x.shape)) * 0.2)
+    cosine = (x * near).sum(axis=1)
+    same = itq.equal_chunks(itq.codes_of(x, mean, projection), itq.codes_of(near, mean, projection)).sum(axis=1)
+    linked = cosine >= 0.98
+    assert linked.sum() > 500 and (same[linked] >= len(tables[0])).mean() >= 0.9
+
+
+def test_tight_clusters_and_mixed_lengths(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=16)
+    rows = [(i, (base + rng.normal(size=16) * 0.01).tolist(), 1) for i in range(100)]
+    rows += [(200, [1.0, 2.0, 3.0], 1), (201, [1.0, 2.0, 3.1], 1), (202, [1.0, 2.0], 1), (203, [2.0, 4.0], 1),
+             (204, [1.0, 2.0], 2), (205, [1.0, 2.0, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id)
+           for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert sum(got[i][0] for i in range(100)) >= 0.9 * 100 * 99 and {got[i][1] for i in range(100)} == {0}
+    assert got[200] == (1, 200) and got[201] == (1, 200) and got[202] == (1, 202) and got[203] == (1, 202)
+    assert got[204] == (0, 204) and got[205] == (0, 205)
+
+
 # ------------------------------------------------------------ 10: rotation
 
 def test_rotation(spark):
