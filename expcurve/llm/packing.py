@@ -1,17 +1,19 @@
 """Harmonic packing of tokenised documents into fixed-length sequences.
 
-Harmonic packing puts a piece of length n into the reciprocal-capacity class
-k = capacity // n and gives every bin of class k exactly k pieces.  Classes
-never meet, so a worker fills its bins alone: no shuffle, no shared state, and
-a task that is run again only replaces its own sequences.
-
-Documents may be cut.  A document gives whole sequences first; its remainder is
-cut at the powers of two it is made of.  With a capacity that is a power of two
-such pieces are exactly 1/k of it, so full bins have no padding at all.  What
-is left in an open bin at a worker's end is cut into bins whose number of
-pieces is a power of two, so these sequences are powers of two as well, which
-need no padding.  Cutting costs about one piece for each set bit of the
-remainder (5 to 6 pieces a document at 2048).
+Harmonic packing puts a document of length n into the reciprocal-capacity
+class k = capacity // n and gives every bin of class k exactly k documents.
+Classes never meet, so a worker fills its bins alone: no shuffle, no shared
+state, and a task that is run again only replaces its own sequences.
+
+Documents stay whole in their class.  What k documents leave of a bin's
+capacity is filled afterwards: with a whole document that fits, or by cutting
+one.  Documents longer than a sequence, which are cut anyway, are cut for this
+first; others only when many bins wait for a filling.  A filling always ends
+its sequence, and none that has another place leaves a document's end id alone.
+At a worker's end the open bins and what waits are packed best-fit, largest
+first; the emptiest are cut to fill the fullest, and the last one is cut into
+sequences whose lengths are powers of two, which need no padding.  So there is
+no padding at all, and a worker cuts few documents that fit into one sequence.
 
 Tokens.  A byte-level BPE splits a text into pieces before it merges, and a
 single space always opens a new piece, so the ids of a text are the ids of its
@@ -27,6 +29,7 @@ from __future__ import annotations
 import json
 import zlib
 from array import array
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -137,39 +140,144 @@ def powers_of_two(n: int) -> list[int]:
     return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
 
 
-def cut(n: int, capacity: int) -> list[int]:
-    """Piece lengths of a document of n tokens: whole sequences, then powers of two."""
-    return [capacity] * (n // capacity) + powers_of_two(n % capacity)
+class _Bin:
+    """A sequence in the making: pieces (doc_id, start, ids, doc_tokens) and the ids it has room for."""
 
+    __slots__ = ("free", "pieces")
 
-class HarmonicBins:
-    """One worker's bins: an open bin for each reciprocal-capacity class."""
+    def __init__(self, free: int):
+        self.free, self.pieces = free, []
+
+    def put(self, piece: tuple) -> None:
+        self.pieces.append(piece)
+        self.free -= len(piece[2]) // 4
+
+
+def _split(piece: tuple, n: int) -> tuple[tuple, tuple]:
+    doc_id, start, ids, total = piece
+    return (doc_id, start, ids[:4 * n], total), (doc_id, start + n, ids[4 * n:], total)
 
-    def __init__(self, capacity: int, first_id: int):
-        self.capacity, self.next_id = capacity, first_id
-        self.open: dict[tuple[int, int], list] = {}
 
-    def _close(self, pieces: list, length: int) -> list[tuple]:
+class HarmonicBins:
+    """One worker's bins: an open bin for each reciprocal-capacity class, and the bins of full classes that
+    wait for a filling, by the room they have (``waiting`` at most, so memory is bounded)."""
+
+    def __init__(self, capacity: int, first_id: int, waiting: int = 256):
+        self.capacity, self.next_id, self.most_waiting = capacity, first_id, waiting
+        self.open: dict[int, _Bin] = {}
+        self.waiting: list[tuple[int, int, _Bin]] = []      # ascending room
+        self.order = 0
+
+    def _close(self, pieces: list[tuple]) -> list[tuple]:
+        out, at = [], 0
+        for p in pieces:
+            out.append((p, self.next_id, at))
+            at += len(p[2]) // 4
         self.next_id += 1
-        return [(*p, self.next_id - 1, i * length) for i, p in enumerate(pieces)]
-
-    def add(self, piece: tuple, length: int) -> list[tuple]:
-        """The pieces of a bin that became full, each with its sequence id and offset."""
-        k = self.capacity // length
-        bin_ = self.open.setdefault((k, length), [])
-        bin_.append(piece)
-        if len(bin_) < k:
+        return out
+
+    def _wait(self, bin_: _Bin) -> list[tuple]:
+        """The bin's pieces if it is full; else it waits."""
+        if not bin_.free:
+            return self._close(bin_.pieces)
+        self.order += 1
+        insort(self.waiting, (bin_.free, self.order, bin_))
+        return []
+
+    def _into_room(self, piece: tuple) -> list[tuple] | None:
+        """The piece whole in the waiting bin with the least room for it, if there is one."""
+        i = bisect_left(self.waiting, (len(piece[2]) // 4,))
+        if i == len(self.waiting):
+            return None
+        _, _, bin_ = self.waiting.pop(i)
+        bin_.put(piece)
+        return self._wait(bin_)
+
+    def _fill(self, piece: tuple, bins: int) -> tuple[list[tuple], tuple | None]:
+        """Full bins made by cutting the piece into up to ``bins`` waiting bins, most room first, and its rest."""
+        out: list[tuple] = []
+        i = len(self.waiting) - 1
+        while bins and i >= 0:
+            room, n = self.waiting[i][0], len(piece[2]) // 4
+            if room >= n:
+                return out + self._into_room(piece), None
+            if room != n - 1:                   # else the document's end id would be left alone
+                bin_ = self.waiting.pop(i)[2]
+                head, piece = _split(piece, room)
+                bin_.put(head)
+                out += self._close(bin_.pieces)
+                bins -= 1
+            i -= 1
+        return out, piece
+
+    def add(self, piece: tuple) -> list[tuple]:
+        """Take in a document; the pieces of the sequences that are ready, with sequence id and offset."""
+        out: list[tuple] = []
+        if len(piece[2]) // 4 > self.capacity:
+            while len(piece[2]) // 4 > self.capacity:
+                whole, piece = _split(piece, self.capacity)
+                out += self._close([whole])
+            ready, rest = self._fill(piece, self.most_waiting)
+            out += ready
+        else:
+            ready = self._into_room(piece)
+            if ready is not None:
+                return ready
+            rest = piece
+            if len(self.waiting) >= self.most_waiting:
+                ready, rest = self._fill(piece, self.most_waiting)
+                out += ready
+        return out + self._classed(rest) if rest else out
+
+    def _classed(self, piece: tuple) -> list[tuple]:
+        k = self.capacity // (len(piece[2]) // 4)
+        bin_ = self.open.setdefault(k, _Bin(self.capacity))
+        bin_.put(piece)
+        if len(bin_.pieces) < k:
             return []
-        self.open[k, length] = []
-        return self._close(bin_, length)
+        del self.open[k]
+        return self._wait(bin_)
 
     def finish(self) -> Iterator[tuple]:
-        for (_, length), pieces in sorted(self.open.items()):
-            at = 0
-            for n in powers_of_two(len(pieces)):
-                yield from self._close(pieces[at:at + n], length)
-                at += n
+        """The pieces of all sequences that are left."""
+        rest = sorted((p for b in self.open.values() for p in b.pieces), key=lambda p: -len(p[2]))
         self.open = {}
+        for piece in rest:
+            ready = self._into_room(piece)
+            if ready is None:
+                bin_ = _Bin(self.capacity)
+                bin_.put(piece)
+                ready = self._wait(bin_)
+            yield from ready
+        while len(self.waiting) > 1:
+            for piece in sorted(self.waiting.pop()[2].pieces, key=lambda p: len(p[2])):
+                while piece and self.waiting:
+                    bin_ = self.waiting[0][2]   # the fullest one
+                    n = len(piece[2]) // 4
+                    room = bin_.free if bin_.free != n - 1 or n == 1 else max(1, n - 2)
+                    head, piece = (piece, None) if n <= bin_.free else _split(piece, room)
+                    del self.waiting[0]
+                    bin_.put(head)
+                    yield from self._wait(bin_)
+                if piece:                       # all others are full
+                    if not self.waiting:
+                        bin_ = _Bin(self.capacity)
+                        self.order += 1
+                        bin_.put(piece)
+                        yield from self._wait(bin_)
+        for _, _, bin_ in self.waiting:
+            todo = list(reversed(bin_.pieces))
+            for length in reversed(powers_of_two(self.capacity - bin_.free)):
+                taken: list[tuple] = []
+                while length:
+                    piece = todo.pop()
+                    if len(piece[2]) // 4 > length:
+                        piece, later = _split(piece, length)
+                        todo.append(later)
+                    taken.append(piece)
+                    length -= len(piece[2]) // 4
+                yield from self._close(taken)
+        self.waiting = []
 
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -204,16 +312,13 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
         out: list[tuple] = []
 
         def ready(pieces):
-            out.extend((*p[:5], seq, offset, p[5]) for *p, seq, offset in pieces)
+            for (doc_id, start, ids, total), seq, offset in pieces:
+                out.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, seq, offset, ids if with_ids else None))
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = tokenizer.encode(text.as_py()) + end
-                total, start = len(ids) // 4, 0
-                for n in cut(total, capacity):
-                    own = ids[4 * start:4 * (start + n)]
-                    ready(bins.add((doc_id, start, n, zlib.crc32(own), total, own if with_ids else None), n))
-                    start += n
+                ready(bins.add((doc_id, 0, ids, len(ids) // 4)))
                 if len(out) > 4_000:
                     yield batch(out)
                     out = []

@@ -153,13 +153,60 @@ def test_packing_is_exact(docs):
         assert all(p.doc_tokens == len(ids) // 4 for p in pieces)
 
 
-def test_harmonic_bins_hold_a_fixed_count():
-    bins, full = packing.HarmonicBins(100, 0), defaultdict(list)
-    for i in range(1000):
-        length = 1 + i * 37 % 100
-        for *_, seq, _ in bins.add((i, length), length):
-            full[seq].append(length)
-    assert all(len(set(x)) == 1 and len(x) == 100 // x[0] for x in full.values())
+def packed(lengths, capacity, waiting=256):
+    """{sequence: [(document, start, length)]} of documents with these lengths, ids all different."""
+    bins, sequences = packing.HarmonicBins(capacity, 0, waiting), defaultdict(list)
+
+    def take(pieces):
+        for (doc, start, ids, total), seq, offset in pieces:
+            assert total == lengths[doc] and ids == array("I", range(start, start + len(ids) // 4)).tobytes()
+            assert offset == sum(n for *_, n in sequences[seq])
+            sequences[seq].append((doc, start, len(ids) // 4))
+    for i, n in enumerate(lengths):
+        take(bins.add((i, 0, array("I", range(n)).tobytes(), n)))
+    take(bins.finish())
+    return sequences
+
+
+@pytest.mark.parametrize("capacity,waiting", [(64, 256), (64, 3), (2048, 256)])
+@pytest.mark.parametrize("seed", range(6))
+def test_harmonic_bins_lose_nothing_and_pad_nothing(capacity, waiting, seed):
+    rng = random.Random(seed)
+    top = [4 * capacity, capacity, capacity // 2 + 3, 9, capacity, 2][seed]
+    lengths = [rng.randint(1, top) for _ in range(700)]
+    sequences = packed(lengths, capacity, waiting)
+    spans = defaultdict(list)
+    for pieces in sequences.values():
+        size = sum(n for *_, n in pieces)
+        assert size <= capacity and size & (size - 1) == 0
+        for doc, start, n in pieces:
+            spans[doc].append((start, n))
+    for doc, n in enumerate(lengths):
+        at = 0
+        for start, size in sorted(spans[doc]):
+            assert start == at and size > 0
+            at += size
+        assert at == n
+
+
+def test_harmonic_bins_keep_documents_whole():
+    rng = random.Random(9)
+    lengths = [min(6000, int(rng.lognormvariate(6, 1)) + 1) for _ in range(4000)]
+    pieces, alone = defaultdict(int), 0
+    for taken in packed(lengths, 2048).values():
+        for doc, start, n in taken:
+            pieces[doc] += 1
+            alone += n == 1 and 0 < start == lengths[doc] - 1      # an end id without its text
+        assert len(taken) == 1 or any(n > 1 for *_, n in taken)
+    fit = [d for d, n in enumerate(lengths) if n <= 2048]
+    assert sum(pieces[d] == 1 for d in fit) >= 0.85 * len(fit) and alone <= 12
+
+
+def test_harmonic_classes_hold_a_fixed_count():
+    """Documents of one class alone: every bin starts with exactly k of them."""
+    sequences = packed([40 + i % 10 for i in range(900)], 200)      # class 4 (41 to 50), 40 is class 5
+    firsts = [[n for _, start, n in p if start == 0] for p in sequences.values()]
+    assert sum(len(f) in (4, 5) for f in firsts) >= 0.9 * len(firsts)
 
 
 # ------------------------------------------------------------ 3: tiling
