@@ -48,7 +48,9 @@ def rewrite_labels(df: DataFrame, rewrites=K.LABEL_REWRITES,
                    levels: Sequence[str] = ("sector", "subsector")) -> DataFrame:
     """Relabel levels by a (level, from, to) table; unmatched labels
     stay.  A literal table becomes a map lookup inside the projection (no
-    join); a DataFrame is joined once per level, broadcast when small."""
+    join); a DataFrame, a parameter table of few rows, becomes one map per level
+    by a scalar subquery, so the facts meet no join and no shuffle.  Repeated
+    rows count once; a label with two new names fails the job."""
     if not isinstance(rewrites, DataFrame):
         rows = list(rewrites)
         out = df
@@ -60,9 +62,7 @@ def rewrite_labels(df: DataFrame, rewrites=K.LABEL_REWRITES,
         return out
     out = df
     for lvl in levels:
-        r = (rewrites.where(F.col("level") == F.lit(lvl))
-             .select(F.col("from").alias(lvl), F.col("to").alias(f"__to_{lvl}")).distinct())
-        out = (out.join(small(r), lvl, "left")
-               .withColumn(lvl, F.coalesce(F.col(f"__to_{lvl}"), F.col(lvl)))
-               .drop(f"__to_{lvl}"))
+        r = rewrites.where((F.col("level") == F.lit(lvl)) & F.col("from").isNotNull())
+        pairs = r.agg(F.map_from_entries(F.collect_set(F.struct("from", "to")))).scalar()
+        out = out.withColumn(lvl, F.coalesce(F.try_element_at(pairs, F.col(lvl)), F.col(lvl)))
     return out.select(*df.columns)

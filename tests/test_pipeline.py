@@ -351,3 +351,14 @@ def test_two_costs_for_one_side_fail(spark):
     assert [(r.technology, r.nonlearning_cap) for r in one] == [("CSP_storage", None)]
     with pytest.raises(Exception, match="two costs for one side"):
         P.nonlearning_storage(cost.unionByName(cost), cf, tech_regex="^CSP").collect()
+
+
+def test_label_rewrite_by_table(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", None), (None, "y")], "sector string, subsector string")
+    k = "level string, from string, to string"
+    table = spark.createDataFrame([("sector", "a", "A"), ("sector", "a", "A"), ("subsector", "x", "X"), ("sector", None, "N")], k)
+    assert rows(T.rewrite_labels(df, table)) == rows(spark.createDataFrame([("A", "X"), ("b", None), (None, "y")], df.schema))
+    assert rows(T.rewrite_labels(df, table.limit(0))) == rows(df)
+    two = spark.createDataFrame([("sector", "a", "A"), ("sector", "a", "B")], k)
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        T.rewrite_labels(df, two).collect()
