@@ -2,21 +2,52 @@
 
 For every participant of a conversation the dialogue is rendered once with
 that speaker as ``assistant`` and all others as named users; the loss mask is
-1 on the assistant's segments and 0 elsewhere.
+1 on what the assistant says and 0 elsewhere.
 
-A rendering has one row per turn and perspective.  Nothing is collected: a
-conversation of any length stays spread over tasks, and its turns meet its few
+``rotate`` has one row per turn and perspective; ``render`` joins the turns to
+texts with their masks.  Neither collects a conversation: ``render`` gathers
+turns by ranges of turn numbers, cut again where rows repeat a number, so a
+row holds a fixed number of turns.  These parts move once and meet the few
 participants in an equi-join on the conversation, which adaptive execution
-splits when one conversation holds most of the rows.
+splits when one conversation holds most of the rows; the renderings are made
+after it and are not shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CONTEXT_ROLES = ("system",)
 START, NAME, END = "<|", "|>", "<|end|>\n"
+TURNS_PER_ROW = 256
+
+
+def _turns(turns: DataFrame) -> DataFrame:
+    return turns.select(F.col("conv_id"), F.col("turn"), F.coalesce(F.col("role"), F.lit("unknown")).alias("speaker"),
+                        F.coalesce(F.col("text"), F.lit("")).alias("body"), F.col("role").isNull().alias("nameless"))
+
+
+def _participants(rows: DataFrame, context_roles: tuple[str, ...]) -> DataFrame:
+    return (rows.where(~F.col("nameless") & ~F.col("speaker").isin(*context_roles))
+            .select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct())
+
+
+def _own(speaker: Column, nameless: Column) -> Column:
+    return (speaker == F.col("perspective")) & ~nameless
+
+
+def _name(speaker: Column, nameless: Column, context_roles: tuple[str, ...]) -> Column:
+    return F.when(~_own(speaker, nameless) & ~speaker.isin(*context_roles), speaker)
+
+
+def _chat_role(speaker: Column, nameless: Column, context_roles: tuple[str, ...]) -> Column:
+    return F.when(_own(speaker, nameless), "assistant").when(speaker.isin(*context_roles), speaker).otherwise("user")
+
+
+def _header(speaker: Column, nameless: Column, context_roles: tuple[str, ...]) -> Column:
+    name = F.concat(F.lit(" name="), _name(speaker, nameless, context_roles))
+    return F.concat(F.lit(START), _chat_role(speaker, nameless, context_roles), F.coalesce(name, F.lit("")), F.lit(NAME))
 
 
 def rotate(turns: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES) -> DataFrame:
@@ -32,40 +63,46 @@ def rotate(turns: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES) ->
     first prefix_chars characters are the role header; the mask holds for the
     rest.
     """
-    rows = turns.select(F.col("conv_id"), F.col("turn"), F.coalesce(F.col("role"), F.lit("unknown")).alias("speaker"),
-                        F.coalesce(F.col("text"), F.lit("")).alias("body"), F.col("role").isNull().alias("nameless"))
-    people = (rows.where(~F.col("nameless") & ~F.col("speaker").isin(*context_roles))
-              .select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective")).distinct())
-    own = (F.col("speaker") == F.col("perspective")) & ~F.col("nameless")
-    context = F.col("speaker").isin(*context_roles)
-    chat_role = F.when(own, "assistant").when(context, F.col("speaker")).otherwise("user")
-    name = F.when(~own & ~context, F.col("speaker"))
-    header = F.concat(F.lit(START), F.col("chat_role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")),
-                      F.lit(NAME))
-    return (rows.join(people, F.col("conv_id").eqNullSafe(F.col("_conv")))
-            .withColumns({"chat_role": chat_role, "name": name, "loss_mask": own.cast("int")})
-            .withColumn("header", header)
+    rows = _turns(turns)
+    who = F.col("speaker"), F.col("nameless")
+    return (rows.join(_participants(rows, context_roles), F.col("conv_id").eqNullSafe(F.col("_conv")))
+            .withColumns({"chat_role": _chat_role(*who, context_roles), "name": _name(*who, context_roles),
+                          "loss_mask": _own(*who).cast("int"), "header": _header(*who, context_roles)})
             .select("conv_id", "perspective", "turn", "speaker", "chat_role", "name",
                     F.concat("header", "body", F.lit(END)).alias("segment"),
                     F.length("header").alias("prefix_chars"), "loss_mask"))
 
 
-def assemble(segments: DataFrame, turns_per_row: int = 256) -> DataFrame:
-    """(conv_id, perspective, part, text, masks): renderings joined to strings.
+def render(turns: DataFrame, context_roles: tuple[str, ...] = CONTEXT_ROLES,
+           turns_per_row: int = TURNS_PER_ROW) -> DataFrame:
+    """(conv_id, perspective, part, piece, n_turns, text, masks): the rotated dialogue as text.
 
-    A part holds the segments of ``turns_per_row`` turn numbers, so a row stays
-    bounded however long the dialogue is; ordinary dialogues are part 0 alone.
-    ``masks`` has (chars, mask) for each header and body, in the text's order.
-    Ties on the turn are ordered by speaker and segment; a null turn goes first.
+    The rows of a dialogue in order of (part, piece) are its whole rendering: a
+    part is a range of ``turns_per_row`` turn numbers, and where it has more
+    rows than that, pieces cut it at every ``turns_per_row`` rows.  Ordinary
+    dialogues are part 0, piece 0 alone.  ``masks`` has (chars, mask) for each
+    role header and each body with its end mark, in the text's order; the
+    lengths add up to the text's.  Ties on the turn are ordered by speaker,
+    namelessness and text; null turns lie in part 0 and go first in it.  All
+    else is as in ``rotate``.
     """
-    pieces = F.sort_array(F.collect_list(F.struct("turn", "speaker", "segment", "prefix_chars", "loss_mask")))
-    return (segments
-            .groupBy("conv_id", "perspective",
-                     F.floor(F.coalesce(F.col("turn"), F.lit(0)) / turns_per_row).alias("part"))
-            .agg(pieces.alias("s"))
-            .select("conv_id", "perspective", "part",
-                    F.array_join(F.transform("s", lambda x: x["segment"]), "").alias("text"),
-                    F.flatten(F.transform("s", lambda x: F.array(
-                        F.struct(x["prefix_chars"].alias("chars"), F.lit(0).alias("mask")),
-                        F.struct((F.length(x["segment"]) - x["prefix_chars"]).alias("chars"),
-                                 x["loss_mask"].alias("mask"))))).alias("masks")))
+    rows = _turns(turns)
+    part = F.floor(F.coalesce(F.col("turn"), F.lit(0)) / turns_per_row)
+    order = Window.partitionBy("conv_id", "part").orderBy("turn", "speaker", "nameless", "body")
+    pieces = (rows.withColumn("part", part)
+              .withColumn("_n", F.row_number().over(order) - 1)
+              .groupBy("conv_id", "part", F.floor(F.col("_n") / turns_per_row).alias("piece"))
+              .agg(F.sort_array(F.collect_list(F.struct("_n", "speaker", "nameless", "body"))).alias("_turns")))
+
+    def segment(t: Column) -> Column:
+        header = _header(t["speaker"], t["nameless"], context_roles)
+        body = F.concat(t["body"], F.lit(END))
+        return F.struct(F.concat(header, body).alias("segment"), F.array(
+            F.struct(F.length(header).alias("chars"), F.lit(0).alias("mask")),
+            F.struct(F.length(body).alias("chars"), _own(t["speaker"], t["nameless"]).cast("int").alias("mask")),
+        ).alias("masks"))
+
+    return (pieces.join(_participants(rows, context_roles), F.col("conv_id").eqNullSafe(F.col("_conv")))
+            .withColumn("_segments", F.transform("_turns", segment))
+            .select("conv_id", "perspective", "part", "piece", F.size("_turns").alias("n_turns"),
+                    F.array_join("_segments.segment", "").alias("text"), F.flatten("_segments.masks").alias("masks")))

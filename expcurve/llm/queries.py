@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from expcurve.llm import (interactions, itq, packing, periodic, perspectives, rules, sharding, simhash, suffixes, tiling,
                           toxicity, warc, wrappers)
@@ -55,7 +56,8 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+    masks = F.transform("masks", lambda m: F.concat_ws(":", m["chars"].cast("string"), m["mask"].cast("string")))
+    return perspectives.render(table(spark, sf_dir, "conversations")).withColumn("masks", F.array_join(masks, " "))
 
 
 def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +83,11 @@ def queries() -> dict[str, Query]:
 ORACLE = {
     "op10_chat": """
         WITH t AS (
-          SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body, role IS NULL AS nameless
-          FROM conversations),
+          SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, speaker, nameless, body) - 1 AS n
+          FROM (
+            SELECT conv_id, turn, CAST(floor(coalesce(turn, 0) / 256) AS BIGINT) AS part,
+                   coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body, role IS NULL AS nameless
+            FROM conversations)),
         p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE NOT nameless AND speaker <> 'system'),
         r AS (
           SELECT t.*, p.perspective, t.speaker = p.perspective AND NOT nameless AS own
@@ -91,13 +96,10 @@ ORACLE = {
           SELECT *, CASE WHEN own THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>'
                          ELSE '<|user name=' || speaker || '|>' END AS header
           FROM r)
-        SELECT conv_id, perspective, turn, speaker,
-               CASE WHEN own THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS chat_role,
-               CASE WHEN NOT own AND speaker <> 'system' THEN speaker END AS name,
-               header || body || '<|end|>' || chr(10) AS segment,
-               CAST(length(header) AS INTEGER) AS prefix_chars,
-               CAST(own AS INTEGER) AS loss_mask
-        FROM h""",
+        SELECT conv_id, perspective, part, n // 256 AS piece, CAST(count(*) AS INTEGER) AS n_turns,
+               string_agg(header || body || '<|end|>' || chr(10), '' ORDER BY n) AS text,
+               string_agg(length(header) || ':0 ' || (length(body) + 8) || ':' || own::INT, ' ' ORDER BY n) AS masks
+        FROM h GROUP BY conv_id, perspective, part, n // 256""",
     "op12_interactions": """
         WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
         w AS (SELECT *, regexp_extract_all(body, '[^\\x20\\x09-\\x0D]+') AS words FROM d),

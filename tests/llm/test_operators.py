@@ -670,15 +670,43 @@ def test_rotation(spark):
             want.append((str(conv), p, str(turn), f"{head}{text or ''}<|end|>\n", len(head), int(role == p)))
     assert sorted((str(r.conv_id), r.perspective, str(r.turn), r.segment, r.prefix_chars, r.loss_mask)
                   for r in got.collect()) == sorted(want)
-    whole = {(r.conv_id, r.perspective): r for r in perspectives.assemble(got).collect()}
-    one = whole[1, "ann"]
-    assert one.text.startswith("<|system|>be kind<|end|>\n<|assistant|>hi<|end|>\n<|user name=bob|>")
-    assert sum(m.chars for m in one.masks) == len(one.text) and [m.mask for m in one.masks][:4] == [0, 0, 0, 1]
     assert perspectives.rotate(table.limit(0)).count() == 0
     plan = got._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def test_rendering(spark):
+    """Texts and masks of whole dialogues against a plain loop: ties, nulls, a long and a repetitive conversation."""
+    turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 3, None, "who"),
+             (2, 0, "system", "alone"), (None, 0, "ann", "x"), (None, 0, "cy", "\U0001f600é"), (3, None, "ann", ""), (3, -1, "ann", "b")]
+    turns += [(4, i, "ann" if i % 2 else "bob", f"t{i}") for i in range(23)]
+    turns += [(5, 7, ("ann", "bob", "cy")[i % 3], f"t{i % 11}") for i in range(40)]
+    table = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, part string")
+    per_row, want = 8, {}
+    for conv in {t[0] for t in turns}:
+        mine = [(n, r or "unknown", r is None, t or "") for c, n, r, t in turns if c == conv]
+        for p in {s for _, s, nameless, _ in mine if not nameless and s != "system"}:
+            parts = {}
+            for t in sorted(mine, key=lambda t: (t[0] is not None, *t)):
+                parts.setdefault((t[0] or 0) // per_row, []).append(t)
+            for part, rows in parts.items():
+                for at in range(0, len(rows), per_row):
+                    text, mask = "", []
+                    for _, s, nameless, body in rows[at:at + per_row]:
+                        own = s == p and not nameless
+                        head = "<|assistant|>" if own else "<|system|>" if s == "system" else f"<|user name={s}|>"
+                        text += f"{head}{body}<|end|>\n"
+                        mask += [0] * len(head) + [int(own)] * (len(body) + 8)
+                    want[conv, p, part, at // per_row] = (len(rows[at:at + per_row]), text, mask)
+    got = perspectives.render(table, turns_per_row=per_row)
+    assert {(r.conv_id, r.perspective, r.part, r.piece): (r.n_turns, r.text, [b for m in r.masks for b in [m.mask] * m.chars])
+            for r in got.collect()} == want
+    assert max(n for n, _, _ in want.values()) == per_row and (5, "ann", 0, 4) in want and (4, "ann", 2, 0) in want
+    assert perspectives.render(table.limit(0)).count() == 0
+    plan = got._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
 # ------------------------------------------------------------ pipeline
 
 def test_pipeline_stages(spark, tmp_path):
