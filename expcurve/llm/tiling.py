@@ -11,8 +11,10 @@ Scale: one scan of the documents keeps the words around possible seeds alone.
 It tests a bitmap of a fixed size (2 MB) that Spark builds from the benchmark's
 seeds; a hit is only a hint, the join on seeds decides.  No text is shuffled,
 and the join is a plain shuffle join that adaptive execution may broadcast or
-split.  A seed that very many documents share gives a row per document and
-item, not per pair of documents.
+split.  A seed that very many documents share would give a row per document and
+item that has it; each item leaves out as many places of its commonest seeds
+as a copy can do without (a copy must share more seeds than these), and what
+they might have added is allowed for in the bound on shared places.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from expcurve.llm.common import map_arrow, stored, text_or_empty
@@ -33,15 +35,18 @@ from expcurve.llm.rolling import window_hashes, word_hashes
 MIN_MATCH = 5
 MIN_COVERAGE = 0.8
 FIRST_LENGTH = 20
+STOCK_DOCUMENTS = 100
 BITMAP_BITS = 1 << 24
 _BUCKET_BITS = 1 << 15                    # of Spark's bitmap functions
-_WORD = re.compile(r"\w+")
+#: Unicode blocks of scripts written without spaces; each of their characters is a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
 _PRIME = (1 << 61) - 1
 _RADIX = 1_000_003
 
 
 def words_of(text: str) -> list[bytes]:
-    """Lower-cased words, without punctuation."""
+    """Lower-cased words, without punctuation; in scripts without spaces, characters."""
     return [w.encode() for w in _WORD.findall(text.lower())]
 
 
@@ -200,6 +205,31 @@ def _counted_seeds(rows: DataFrame, *keys: str, count: str) -> DataFrame:
             .select(*keys, F.col("_s.seeds").alias("seed"), F.col("_s.counts").alias(count)))
 
 
+def left_out_seeds(doc_seeds: DataFrame, seeds: DataFrame, items: DataFrame, min_match: int, min_coverage: float,
+                   stock_documents: int) -> DataFrame:
+    """(item_id, item_key, seed, left_out): seeds that an item need not be probed with.
+
+    A text that covers enough of an item of n words shares n * min_coverage /
+    min_match seed places with it at least.  While fewer places than that are
+    left out, it still shares one of the others.  Seeds in more than
+    ``stock_documents`` texts are left out, commonest first; ``left_out`` is
+    the item's number of places up to this seed.
+    """
+    stock = doc_seeds.groupBy("seed").agg(F.count("*").alias("texts")).where(F.col("texts") > stock_documents)
+    size = items.select("item_id", "item_key", F.size("words").alias("n")).distinct()
+    common = seeds.join(stock, "seed").alias("s").join(
+        size.alias("i"), F.expr("s.item_id <=> i.item_id and s.item_key = i.item_key"))
+    first = Window.partitionBy("s.item_id", "s.item_key").orderBy(F.desc("texts"), "seed")
+    return (common.select("s.item_id", "s.item_key", "seed", "n", F.sum("item_places").over(first).alias("left_out"))
+            .where(F.col("left_out") * min_match < F.col("n") * min_coverage).drop("n"))
+
+
+def probes(seeds: DataFrame, left_out: DataFrame) -> DataFrame:
+    """The seeds of items that are not left out."""
+    same = F.expr("s.item_id <=> c.item_id and s.item_key = c.item_key and s.seed = c.seed")
+    return seeds.alias("s").join(left_out.alias("c"), same, "left_anti")
+
+
 def _tile(min_match: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,9 +255,10 @@ def _tile(min_match: int):
 
 def tiled_documents(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH,
                     min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id", text_col: str = "text",
-                    item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                    item_id_col: str = "item_id", item_text_col: str = "text",
+                    stock_documents: int = STOCK_DOCUMENTS) -> DataFrame:
     """(doc_id, doc_key, item_id, item_words, covered_words, tiles, coverage) of every text that covers enough
-    of an item; doc_key is the hash of the text."""
+    of an item; doc_key is the hash of the text.  ``stock_documents`` changes the work, not the result."""
     items = stored(item_seeds(benchmark, min_match, item_id_col, item_text_col), "items")
     seeds = stored(_counted_seeds(items, "item_id", "item_key", count="item_places").distinct(), "seeds")
     hinted = stored(hinted_documents(docs, seed_bitmap(seeds.select("seed").distinct()), min_match, id_col, text_col)
@@ -235,11 +266,16 @@ def tiled_documents(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_
     pair = ["doc_id", "doc_key", "item_id", "item_key"]
     size = items.select(F.col("item_id").alias("_item"), F.col("item_key").alias("_key"), F.size("words").alias("_n"),
                         F.col("words").alias("item")).dropDuplicates(["_item", "_key"])
-    hits = (_counted_seeds(hinted, "doc_id", "doc_key", count="doc_places").join(seeds, "seed")
+    doc_seeds = _counted_seeds(hinted, "doc_id", "doc_key", count="doc_places")
+    common = stored(left_out_seeds(doc_seeds, seeds, items, min_match, min_coverage, stock_documents), "common")
+    of_item = F.expr("s.item_id <=> c.item_id and s.item_key = c.item_key")
+    hits = (doc_seeds.join(probes(seeds, common), "seed")
             .groupBy(*pair).agg(F.sum(F.least("item_places", "doc_places")).alias("hits")))
+    spare = common.groupBy("item_id", "item_key").agg(F.max("left_out").alias("left_out"))
+    hits = hits.alias("s").join(spare.alias("c"), of_item, "left").select("s.*", F.coalesce("left_out", F.lit(0)).alias("spare"))
     # a tile of n words has n - min_match + 1 seeds at as many places on either side, so fewer than this can't cover enough
     pairs = (hits.join(size, hits["item_id"].eqNullSafe(F.col("_item")) & (F.col("item_key") == F.col("_key")))
-             .where(F.col("hits") * min_match >= F.col("_n") * min_coverage)
+             .where((F.col("hits") + F.col("spare")) * min_match >= F.col("_n") * min_coverage)
              .select(*pair, "item"))
     text = hinted.select(F.col("doc_id").alias("_doc"), F.col("doc_key").alias("_dkey"), "places", "words")
     both = pairs.join(text, pairs["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("doc_key") == F.col("_dkey")))
@@ -254,8 +290,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MAT
                  item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, item_words, covered_words, tiles, coverage) of contaminated documents.
 
-    Words are runs of letters, digits and underscores, lower-cased; whole texts
-    are read.  Null and empty texts have no words.  Items under ``min_match``
+    Words are runs of letters, digits and underscores, lower-cased, and single
+    characters in scripts written without spaces; whole texts are read.  Null and empty texts have no words.  Items under ``min_match``
     words have no tile of that length and match nothing.  Rows that repeat an
     id count once, with the best coverage among their texts; null ids are ids
     like any other.  Other columns are ignored; with an empty table on either

@@ -268,6 +268,38 @@ def test_copies_of_repetitive_items(spark):
     assert got == {(1, 1): 1.0, (2, 2): 1.0, (3, 1): 1.0, (5, 2): 1.0, (7, 1): 1.0, (7, 3): 1.0}
 
 
+def test_stock_phrases_make_few_rows(spark):
+    """A phrase of a tenth of every item that every document has: copies are found, and its seeds are not joined."""
+    rng = random.Random(12)
+    phrase = words(rng, 10, 9000)
+    items = [(i, f"{words(rng, 45, 9000)} {phrase} {words(rng, 45, 9000)}") for i in range(100)]
+    docs = [(i, f"{words(rng, 20, 9000)} {phrase} {words(rng, 20, 9000)}") for i in range(1000)]
+    docs += [(1000 + i, "so " + " ".join(t.split()[50:] + t.split()[:50])) for i, t in items[:5]]
+    docs += [(2000 + i, " ".join(t.split()[:60])) for i, t in items[:5]]
+    items += [(100, phrase), (None, items[7][1])]
+    items = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(map(str, tiling.contaminated(docs, items).collect()))
+    all_seeds = tiling.tiled_documents(docs, items, stock_documents=10 ** 9)
+    assert got == sorted(map(str, all_seeds.select("doc_id", "item_id", "item_words", "covered_words", "tiles", "coverage").collect()))
+    assert sum("item_id=100," in r for r in got) == 1010 and len(got) == 1015
+    kept = tiling.item_seeds(items, 5, "item_id", "text")
+    seeds = tiling._counted_seeds(kept, "item_id", "item_key", count="item_places").cache()
+    bits = tiling.seed_bitmap(seeds)
+    doc_seeds = tiling._counted_seeds(tiling.hinted_documents(docs, bits, 5, "doc_id", "text"), "doc_id", "doc_key", count="doc_places")
+    left = tiling.left_out_seeds(doc_seeds, seeds, kept, 5, 0.8, 100)
+    assert doc_seeds.join(seeds, "seed").count() > 600_000
+    assert doc_seeds.join(tiling.probes(seeds, left), "seed").count() < 10 * 1100
+
+
+def test_scripts_without_spaces(spark):
+    item = "\u4eca\u5929\u5929\u6c14\u5f88\u597d\uff0c\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u5427"
+    docs = spark.createDataFrame([(1, f"\u4ed6\u8bf4{item}\u3002"), (2, item[:6]), (3, "a b c d e")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.doc_id, r.coverage) for r in tiling.contaminated(docs, items).collect()] == [(1, 1.0)]
+    assert tiling.words_of("Ab_1 c\u4eca\u5929d") == [b"ab_1", b"c", "\u4eca".encode(), "\u5929".encode(), b"d"]
+
+
 def test_tiling_of_many_short_repeats():
     doc = ([1] * 15 + [2]) * 200
     tiles = tiling.greedy_string_tiling([1] * 300, doc)
